@@ -1 +1 @@
-
+"""pairlab: data work around supervised text pairs on PySpark."""

@@ -58,7 +58,9 @@ def _literal(row) -> Column:
     return F.struct(*[F.lit(v).alias(n) for n, v in row.asDict().items()])
 
 
-def range_bucket(df: DataFrame, key: Sequence[str]) -> Bucket:
+def range_bucket(
+    df: DataFrame, key: Sequence[str], rows: int | None = None
+) -> Bucket:
     """Ordered bucket number of a row under the natural order of ``key``.
 
     Small tables get one bucket. Otherwise a sample of the key columns, of at
@@ -67,7 +69,7 @@ def range_bucket(df: DataFrame, key: Sequence[str]) -> Bucket:
     a pure expression of the row: a lost task recomputes the same bucket.
     """
     keys = df.select(*[quoted(k) for k in key])
-    rows = keys.count()
+    rows = keys.count() if rows is None else rows
     buckets = min(MAX_BUCKETS, ceil(rows / ROWS_PER_BUCKET))
     if buckets <= 1:
         return _one_bucket
@@ -240,3 +242,53 @@ def global_index(
     indexed = ranked.join(offsets, [*by, "_b"])
     place = (F.col("_off") + F.col("_r") - 1).cast("bigint").alias(name)
     return indexed.select(*[quoted(c) for c in df.columns], place)
+
+
+HOT_SHARE = 1000
+
+
+def average_rank(
+    df: DataFrame, value: str, name: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Rank of ``value`` within ``by``, ties sharing the mean of their ranks.
+
+    Tables of up to ``ROWS_PER_BUCKET`` rows are ranked by one window. Beyond
+    that equal values are counted first, so a value that holds a third of all
+    rows is one row to rank; the distinct values are ranked by range bucket and
+    joined back. Values with more than a thousandth of the rows, which number
+    under a thousand, are joined by broadcast and the others by shuffle.
+    """
+    by = list(by)
+    rows = df.count()
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if rows <= ROWS_PER_BUCKET:
+        ordered = group.orderBy(quoted(value))
+        last = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        rank = (F.rank().over(ordered) + F.count(F.lit(1)).over(last)) / 2
+        return df.withColumn(name, rank)
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    bucket = range_bucket(df, [value], rows)
+    counts = counts.withColumn("_b", bucket(natural_order([value])))
+    sums = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")
+    offsets = sums.select(*by, "_b", earlier)
+    inside = Window.partitionBy(*by, "_b").orderBy(quoted(value))
+    upto = F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ranks = (
+        counts.withColumn("_upto", upto)
+        .join(offsets, [*by, "_b"])
+        .select(
+            *by,
+            value,
+            "_c",
+            (F.col("_off") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name),
+        )
+    )
+    hot = F.col("_c") > rows // HOT_SHARE
+    keys = [*by, value]
+    hot_ranks = F.broadcast(ranks.where(hot).drop("_c"))
+    cold = df.join(hot_ranks.select(*keys), keys, "left_anti")
+    placed = cold.join(ranks.where(~hot).drop("_c"), keys)
+    result = placed.unionByName(df.join(hot_ranks, keys))
+    return result.select(*[quoted(c) for c in df.columns], name)
