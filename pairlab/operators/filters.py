@@ -176,13 +176,16 @@ def filter_stats(
     return tagged.groupBy(by).agg(*columns)
 
 
+def _blank_reason() -> Column:
+    no_prompt = strip(F.coalesce("prompt", F.lit(""))) == ""
+    no_completion = strip(F.coalesce("completion", F.lit(""))) == ""
+    return F.when(no_prompt, "empty prompt").when(no_completion, "empty completion")
+
+
 def blank_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs unfit for modelling, with the reason."""
-    no_prompt = strip(F.col("prompt")) == ""
-    no_completion = strip(F.col("completion")) == ""
-    reason = F.when(no_prompt, "empty prompt").when(no_completion, "empty completion")
     return (
-        pairs.withColumn("reason", reason)
+        pairs.withColumn("reason", _blank_reason())
         .where("reason is not null")
         .select("split", "pair_id", "reason")
     )
@@ -193,15 +196,21 @@ def check_pairs(
 ) -> None:
     """Raise unless every split has rows and no prompt or completion is blank."""
     wanted = pairs.where(F.col("split").isin(*splits))
-    found = {r["split"] for r in wanted.select("split").distinct().collect()}
+    blank = F.when(_blank_reason().isNotNull(), F.col("pair_id"))
+    checked = wanted.groupBy("split").agg(
+        F.min(blank).alias("pair_id"),
+        F.min_by(_blank_reason(), blank).alias("reason"),
+    )
+    found = {row["split"]: row for row in checked.collect()}
     missing = [s for s in splits if s not in found]
     if missing:
         raise ValueError(f"Data splits without records: {missing}")
-    first = blank_pairs(wanted).head()
-    if first is not None:
-        raise ValueError(
-            f"Data row has {first['reason']}: {first['split']} ({first['pair_id']})"
-        )
+    for split in splits:
+        if found[split]["reason"] is not None:
+            raise ValueError(
+                f"Data row has {found[split]['reason']}: "
+                f"{split} ({found[split]['pair_id']})"
+            )
 
 
 def feature_shape(df: DataFrame, features: str = "features") -> DataFrame:

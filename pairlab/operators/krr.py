@@ -291,10 +291,14 @@ def select_landmarks(
 
 
 def collect_landmarks(
-    landmarks: DataFrame, key: Sequence[str], features: str = "features"
+    landmarks: DataFrame,
+    key: Sequence[str],
+    features: str = "features",
+    shape: tuple[int, int] | None = None,
 ) -> np.ndarray:
-    """Landmark vectors as a matrix in key order, behind a size check."""
-    rows, dim = check_features(landmarks, features)
+    """Landmark vectors as a matrix in key order, behind a size check; ``shape``
+    spares the check's pass where rows and dimension are known."""
+    rows, dim = shape or check_features(landmarks, features)
     _check_landmarks(rows, dim)
     ordered = landmarks.orderBy(*key).select(features).toArrow()
     return matrix_of(ordered[features])
@@ -325,10 +329,15 @@ def fit_nystrom(
 ) -> LinearKernelModel:
     """Ridge on the Nystrom components; landmark count and rank are cut down to
     what the data allows."""
+    shape = None
     if landmarks is None:
-        count = min(int(num_landmarks), df.count())
-        landmarks = select_landmarks(df, count, key, seed)
-    points = collect_landmarks(landmarks, key, features)
+        rows, dim = check_features(df, features)
+        shape = (min(int(num_landmarks), rows), dim)
+        _check_landmarks(*shape)
+        if shape[0] < 1:
+            raise ValueError("No rows to take landmarks from.")
+        landmarks = take_subset(df, shape[0], key, seed)
+    points = collect_landmarks(landmarks, key, features, shape)
     if len(points) > MAX_SOLVE:
         raise ValueError(f"At most {MAX_SOLVE} landmarks, got {len(points)}.")
     basis = nystrom_basis(points, rank)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +47,9 @@ def with_ranks(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Average ranks as ``{column}__rank``."""
+    rows = df.count()
     for name in columns:
-        df = average_rank(df, name, f"{name}__rank", by)
+        df = average_rank(df, name, f"{name}__rank", by, rows)
     return df
 
 
@@ -73,6 +74,30 @@ def bundle(x: str, y: str, prefix: str, kinds: Sequence[str]) -> list[Column]:
     return [_metric(kind, x, y).alias(f"{prefix}_{kind}") for kind in kinds]
 
 
+def evaluate_bundles(
+    df: DataFrame,
+    by: Sequence[str],
+    bundles: Mapping[str, tuple[str, str, Sequence[str]]],
+    extra: Sequence[Column] = (),
+) -> DataFrame:
+    """Several bundles (prefix to true column, predicted column and metrics) in
+    one aggregation; each column is ranked once."""
+    names = dict.fromkeys(
+        name
+        for x, y, kinds in bundles.values()
+        if "spearman" in kinds
+        for name in (x, y)
+    )
+    ranked = with_ranks(df, list(names), by)
+    measures = [
+        measure
+        for prefix, (x, y, kinds) in bundles.items()
+        for measure in bundle(x, y, prefix, kinds)
+    ]
+    count = F.count(F.lit(1)).alias("num_examples")
+    return ranked.groupBy(*by).agg(count, *measures, *extra)
+
+
 def evaluate_scores(
     df: DataFrame,
     by: Sequence[str] = (),
@@ -83,14 +108,11 @@ def evaluate_scores(
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Metric bundle per group: five metrics on the deltas, four on the scores."""
-    names = list(dict.fromkeys([true_delta, pred_delta, true_score, pred_score]))
-    ranked = with_ranks(df, names, by)
-    return ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("num_examples"),
-        *bundle(true_delta, pred_delta, "delta", DELTA_METRICS),
-        *bundle(true_score, pred_score, "adapter_score", SCORE_METRICS),
-        *extra,
-    )
+    bundles = {
+        "delta": (true_delta, pred_delta, DELTA_METRICS),
+        "adapter_score": (true_score, pred_score, SCORE_METRICS),
+    }
+    return evaluate_bundles(df, by, bundles, extra)
 
 
 def rmse_gain(baseline: Column, model: Column) -> Column:

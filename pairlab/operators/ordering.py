@@ -34,7 +34,9 @@ def seeded_hash(seed: int, key: Sequence[str]) -> Column:
     """Seeded order of a row: SHA-256 over seed and key, the same in any engine
     and under any partitioning."""
     parts = [F.coalesce(quoted(k).cast("string"), F.lit("")) for k in key]
-    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256)
+    # Never null; saying so spares a null filter that would hash once more.
+    return F.coalesce(digest, F.lit(""))
 
 
 def seeded_order(seed: int, key: Sequence[str]) -> Column:
@@ -132,9 +134,11 @@ def keys_at_each(
         .select(*by, "_b", "n", "_k", F.col("_w.name").alias("name"))
     )
     # Bounded: one row per group and wanted position.
-    inside = slim.join(F.broadcast(cuts), [*by, "_b"])
-    ranked = Window.partitionBy(*by, "_b", "name").orderBy("_o")
-    found = inside.withColumn("_r", F.row_number().over(ranked)).where("_r = _k")
+    held = F.broadcast(cuts.select(*by, "_b").distinct())
+    inside = slim.join(held, [*by, "_b"], "left_semi")
+    ranked = Window.partitionBy(*by, "_b").orderBy("_o")
+    inside = inside.withColumn("_k", F.row_number().over(ranked).cast("bigint"))
+    found = inside.join(F.broadcast(cuts), [*by, "_b", "_k"])
     return found.select(*by, "name", F.col("_o").alias("key"), "n")
 
 
@@ -248,7 +252,11 @@ HOT_SHARE = 1000
 
 
 def average_rank(
-    df: DataFrame, value: str, name: str, by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    name: str,
+    by: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
     """Rank of ``value`` within ``by``, ties sharing the mean of their ranks.
 
@@ -259,7 +267,7 @@ def average_rank(
     under a thousand, are joined by broadcast and the others by shuffle.
     """
     by = list(by)
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     if rows <= ROWS_PER_BUCKET:
         ordered = group.orderBy(quoted(value))

@@ -31,7 +31,7 @@ from .vectors import (
 )
 
 MAX_COMPONENTS = 1024
-MAX_ENTRIES = 64_000_000  # 12 bytes each: under 800 MB broadcast
+MAX_ENTRIES = 64_000_000  # 16 bytes each: about 1 GB broadcast
 BLOCK_VALUES = 16_000_000  # dense slice of the matrix built at a time
 
 
@@ -81,7 +81,7 @@ def _load_entries(
         table[name].to_numpy() for name in ("feature", "component", "value")
     )
     order = np.argsort(feature, kind="stable")
-    return feature[order], component[order], value[order].astype(np.float32)
+    return feature[order], component[order], value[order]
 
 
 def _project_rows(

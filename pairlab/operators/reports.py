@@ -226,9 +226,13 @@ def kernel_measures(df: DataFrame) -> list[Column]:
 
 
 def fixed_point(value: Column, digits: int = 4) -> Column:
-    """Number with fixed decimals, ``-`` where there is none."""
-    text = F.format_string(f"%.{digits}f", value)
-    return F.when(value.isNull(), "-").otherwise(text)
+    """Number with fixed decimals, ``-`` where there is none.
+
+    ``format_number`` rounds by the exact binary value, as Python and C do;
+    ``format_string`` rounds the shortest decimal form.
+    """
+    text = F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+    return F.coalesce(text, F.lit("-"))
 
 
 def run_table(runs: DataFrame) -> DataFrame:

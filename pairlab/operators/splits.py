@@ -31,6 +31,7 @@ SPLIT_ALIASES = {
     "test": ("test",),
 }
 HELD_OUT_ALIASES = ("test", "validation")
+TOP_K = 256
 SPLIT_SEED_OFFSET = {"train": 0, "valid": 1, "test": 2}
 
 
@@ -87,11 +88,19 @@ def _label(
 def take_subset(
     df: DataFrame, size: int | None, key: Sequence[str], seed: int = 42
 ) -> DataFrame:
-    """At most ``size`` rows in seeded order; ``None`` keeps all."""
+    """At most ``size`` rows in seeded order; ``None`` keeps all.
+
+    A few keys are found by a top-k over the key columns, which hashes every row
+    once; larger subsets by a cut point, so that no task holds the subset.
+    """
     if size is None:
         return df
     if int(size) <= 0:
         return df.where(F.lit(False))
+    if int(size) <= TOP_K:
+        keys = df.select(*[quoted(k) for k in key])
+        keys = keys.orderBy(seeded_order(seed, key)).limit(int(size))
+        return df.join(F.broadcast(keys), list(key), "left_semi")
     return take_seeded(df, cap(size), key, seed)
 
 

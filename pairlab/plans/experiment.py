@@ -10,15 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import check_features, check_pairs
 from ..operators.krr import LinearKernelModel, fit
-from ..operators.metrics import evaluate_scores
+from ..operators.metrics import DELTA_METRICS, SCORE_METRICS, evaluate_bundles
 from ..operators.projection import project_features
-from ..operators.scoring import (
-    KEYS,
-    prediction_rows,
-    score_deltas,
-    unmatched_pairs,
-    with_baseline,
-)
+from ..operators.scoring import KEYS, prediction_rows, with_baseline
 from ..operators.splits import subset_pairs
 from ..operators.vectors import (
     FEATURES,
@@ -62,17 +56,29 @@ class ExperimentResult:
 
 def _evaluate(predictions: DataFrame) -> DataFrame:
     """Metrics per split of the model and of the train-mean baseline."""
-    model = evaluate_scores(predictions, ["split"])
-    baseline = evaluate_scores(
-        predictions,
-        ["split"],
-        pred_delta="baseline_score_delta",
-        pred_score="baseline_adapter_score",
-    ).drop("num_examples")
-    named = {c: f"baseline_{c}" for c in baseline.columns if c != "split"}
-    joined = model.join(baseline.withColumnsRenamed(named), "split")
+    bundles = {}
+    for prefix, guess in (("", "predicted"), ("baseline_", "baseline")):
+        bundles[f"{prefix}delta"] = (
+            "score_delta",
+            f"{guess}_score_delta",
+            DELTA_METRICS,
+        )
+        bundles[f"{prefix}adapter_score"] = (
+            "adapter_score",
+            f"{guess}_adapter_score",
+            SCORE_METRICS,
+        )
+    measured = evaluate_bundles(predictions, ["split"], bundles)
     gain = F.col("baseline_delta_rmse") - F.col("delta_rmse")
-    return joined.withColumn("delta_rmse_gain", gain)
+    return measured.withColumn("delta_rmse_gain", gain)
+
+
+def _check_complete(joined: DataFrame) -> None:
+    sides = ("base_score", "adapter_score", "features")
+    gaps = joined.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in sides]).head()
+    missing = {side: gaps[side] for side in sides if gaps[side]}
+    if missing:
+        raise ValueError(f"Chosen pairs lack values: {missing}")
 
 
 def run_experiment(
@@ -91,13 +97,6 @@ def run_experiment(
     chosen = subset_pairs(pairs, config.limits, config.seed)
     check_pairs(chosen, SPLITS)
     chosen = chosen.select(*KEYS)
-    base = base_scores.join(chosen, KEYS, "left_semi")
-    adapter = adapter_scores.join(chosen, KEYS, "left_semi")
-    if not unmatched_pairs(chosen, base).isEmpty():
-        raise ValueError("Some chosen pairs have no base score.")
-    if not unmatched_pairs(base, adapter).isEmpty():
-        raise ValueError("Base and adapter scores cover different pairs.")
-    deltas = with_baseline(score_deltas(base, adapter))
     params = transformation_params(config.transformation_params, config.threshold)
     column = transform_features(F.col("features"), config.transformations, params)
     vectors = features.join(chosen, KEYS, "left_semi").select(
@@ -106,11 +105,17 @@ def run_experiment(
     vectors = project_features(
         vectors, config.projection, config.projection_components, config.seed
     )
-    # Read by the fit and by the predictions: written once.
-    joined = materialize(deltas.join(vectors, KEYS))
-    rows, dim = check_features(joined)
-    if rows != chosen.count():
-        raise ValueError("Some chosen pairs have no features.")
+    base = base_scores.select(*KEYS, F.col("score").alias("base_score"))
+    adapter = adapter_scores.select(*KEYS, F.col("score").alias("adapter_score"))
+    joined = chosen
+    for side in (base, adapter, vectors):
+        joined = joined.join(side, KEYS, "left")
+    delta = F.col("adapter_score") - F.col("base_score")
+    # Read by the checks, the fit and the predictions: written once.
+    joined = materialize(joined.withColumn("score_delta", delta))
+    _check_complete(joined)
+    _, dim = check_features(joined)
+    joined = with_baseline(joined)
     options = {"ridge_lambda": config.ridge_lambda, "key": ("pair_id",)}
     if config.method.lower() == "nystrom":
         options |= {

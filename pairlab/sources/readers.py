@@ -128,7 +128,10 @@ def number_lines(df: DataFrame, name: str = LINE_INDEX) -> DataFrame:
 
 
 def pair_id(split, index):
-    return F.format_string("%s-%06d", split, index)
+    """``train-000042``; longer numbers keep all their digits."""
+    digits = index.cast("string")
+    padded = F.when(index < 1_000_000, F.lpad(digits, 6, "0")).otherwise(digits)
+    return F.concat(split, F.lit("-"), padded)
 
 
 def read_pairs(spark: SparkSession, path, split: str) -> DataFrame:

@@ -189,7 +189,7 @@ def training_runs(spark, sf_dir):
     status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("run-"), key.cast("string")).alias("run_name"),
-        F.format_string("runs/%09d", key).alias("run_dir"),
+        F.concat(F.lit("runs/"), F.lpad(key.cast("string"), 9, "0")).alias("run_dir"),
         F.concat(F.lit("adapters/"), cust.cast("string"), F.lit("/")).alias(
             "adapter_dir"
         ),

@@ -59,12 +59,15 @@ def predict_linear(spark, sf_dir):
     return found.select("row_id", F.round("predicted", 9).alias("predicted"))
 
 
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def priced_lines(spark, sf_dir):
     """Two features and a target per line item."""
     return table(spark, sf_dir, "lineitem").select(
         F.array("l_discount", "l_tax").alias("features"),
         (F.col("l_extendedprice") / 100000).alias("score_delta"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
+        *LINE_KEY,
         "l_returnflag",
     )
 
@@ -103,7 +106,7 @@ def by_flag(model, rows):
 @query("fit_dual", RIDGE)
 def fit_dual(spark, sf_dir):
     rows = priced_lines(spark, sf_dir)
-    return by_flag(krr.fit_dual(rows, ridge_lambda=0.01, key=["key"]), rows)
+    return by_flag(krr.fit_dual(rows, ridge_lambda=0.01, key=LINE_KEY), rows)
 
 
 # With two features two independent landmarks span everything, so the Nystrom
@@ -112,7 +115,7 @@ def fit_dual(spark, sf_dir):
 def fit_nystrom(spark, sf_dir):
     rows = priced_lines(spark, sf_dir)
     model = krr.fit_nystrom(
-        rows, ridge_lambda=0.01, num_landmarks=16, rank=2, key=["key"]
+        rows, ridge_lambda=0.01, num_landmarks=16, rank=2, key=LINE_KEY
     )
     return by_flag(model, rows)
 

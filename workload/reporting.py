@@ -48,7 +48,7 @@ def kernel_runs(spark, sf_dir):
     evaluated = some(key % 10 == 0, F.lit("Sign "))
     return table(spark, sf_dir, "orders").select(
         F.concat(
-            F.format_string("run%08d", key), F.lit("-kernel-n"), train.cast("string")
+            F.concat(F.lit("run"), F.lpad(key.cast("string"), 8, "0")), F.lit("-kernel-n"), train.cast("string")
         ).alias("run_name"),
         F.when(status == "F", "completed")
         .when(status == "O", "Completed")
@@ -344,7 +344,7 @@ def line_predictions(spark, sf_dir):
     split = F.when(flag == "A", "train").when(flag == "N", "valid").otherwise("test")
     train = (F.col("l_orderkey") % 4 + 1) * 16
     run = F.concat(
-        F.format_string("run%08d", "l_orderkey"), F.lit("-kernel-n"), train.cast("string")
+        F.lit("run"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lit("-kernel-n"), train.cast("string")
     )
     delta = F.when(F.col("l_quantity") == 50, float("nan")).otherwise(
         F.col("l_discount") - F.col("l_tax")
