@@ -37,16 +37,12 @@ def read_json(spark: SparkSession, path, schema: Schema = None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path) -> DataFrame:
-    """CSV with a header; all columns are strings, quotes are doubled."""
-    return spark.read.csv(
-        path,
-        header=True,
-        inferSchema=False,
-        multiLine=True,
-        escape='"',
-        nullValue="\x00",
-        emptyValue="",
+    """CSV with a header; all columns are strings, quotes are doubled, empty
+    cells are empty strings."""
+    rows = spark.read.csv(
+        path, header=True, inferSchema=False, multiLine=True, escape='"'
     )
+    return rows.na.fill("")
 
 
 READERS = {

@@ -10,6 +10,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 for folder in (ROOT, os.path.join(ROOT, "tests")):
     if folder not in sys.path:
         sys.path.insert(0, folder)
+# Python workers import what the tests hand to them.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH", "")]
+)
 
 
 @pytest.fixture(scope="session")
