@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import average_rank
+from .ordering import average_ranks
 
 DELTA_METRICS = ("pearson", "spearman", "rmse", "mae", "sign_accuracy")
 SCORE_METRICS = ("pearson", "spearman", "rmse", "mae")
@@ -47,10 +47,7 @@ def with_ranks(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Average ranks as ``{column}__rank``."""
-    rows = df.count()
-    for name in columns:
-        df = average_rank(df, name, f"{name}__rank", by, rows)
-    return df
+    return average_ranks(df, {name: f"{name}__rank" for name in columns}, by)
 
 
 def spearman(x: str, y: str) -> Column:

@@ -13,14 +13,15 @@ Order columns must identify a row; ties beyond them are cut arbitrarily.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.paths import quoted
+from ..session import materialize
 
 Bucket = Callable[[Column], Column]  # order column -> ordered bucket
 
@@ -251,29 +252,40 @@ def global_index(
 HOT_SHARE = 1000
 
 
-def average_rank(
-    df: DataFrame,
-    value: str,
-    name: str,
-    by: Sequence[str] = (),
-    rows: int | None = None,
+def average_ranks(
+    df: DataFrame, values: Mapping[str, str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Rank of ``value`` within ``by``, ties sharing the mean of their ranks.
+    """Rank of each value column within ``by``, ties sharing the mean of their
+    ranks, under the names ``values`` maps the columns to.
 
-    Tables of up to ``ROWS_PER_BUCKET`` rows are ranked by one window. Beyond
-    that equal values are counted first, so a value that holds a third of all
-    rows is one row to rank; the distinct values are ranked by range bucket and
-    joined back. Values with more than a thousandth of the rows, which number
-    under a thousand, are joined by broadcast and the others by shuffle.
+    Tables of up to ``ROWS_PER_BUCKET`` rows are ranked by windows. Larger ones
+    are written once, and each column's ranks are worked out on its distinct
+    values and joined back.
     """
     by = list(by)
-    rows = df.count() if rows is None else rows
+    rows = df.count()
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     if rows <= ROWS_PER_BUCKET:
-        ordered = group.orderBy(quoted(value))
-        last = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        rank = (F.rank().over(ordered) + F.count(F.lit(1)).over(last)) / 2
-        return df.withColumn(name, rank)
+        for value, name in values.items():
+            ordered = group.orderBy(quoted(value))
+            last = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            rank = (F.rank().over(ordered) + F.count(F.lit(1)).over(last)) / 2
+            df = df.withColumn(name, rank)
+        return df
+    stored = materialize(df)
+    result = stored
+    for value, name in values.items():
+        ranks = _ranks_of_values(stored, value, by, group, rows)
+        result = _attach_ranks(result, ranks, value, name, by, rows)
+    return result
+
+
+def _ranks_of_values(
+    df: DataFrame, value: str, by: list[str], group: WindowSpec, rows: int
+) -> DataFrame:
+    """(by, value, count, rank) of the distinct values. Equal values are counted
+    on the map side first, so one that holds a third of all rows is one row to
+    rank; the distinct values are ranked by range bucket."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     bucket = range_bucket(df, [value], rows)
     counts = counts.withColumn("_b", bucket(natural_order([value])))
@@ -283,20 +295,27 @@ def average_rank(
     offsets = sums.select(*by, "_b", earlier)
     inside = Window.partitionBy(*by, "_b").orderBy(quoted(value))
     upto = F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ranks = (
-        counts.withColumn("_upto", upto)
-        .join(offsets, [*by, "_b"])
-        .select(
-            *by,
-            value,
-            "_c",
-            (F.col("_off") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(name),
-        )
-    )
-    hot = F.col("_c") > rows // HOT_SHARE
+    ranked = counts.withColumn("_upto", upto).join(offsets, [*by, "_b"])
+    last = F.col("_off") + F.col("_upto")
+    return ranked.select(*by, value, "_c", (last - (F.col("_c") - 1) / 2).alias("_r"))
+
+
+def _attach_ranks(
+    df: DataFrame, ranks: DataFrame, value: str, name: str, by: list[str], rows: int
+) -> DataFrame:
+    """Join ranks back by value. Values with more than a thousandth of the rows
+    number under a thousand and come by broadcast; their rows pass the shuffle
+    join for the others under a salt that finds no partner, so that no value
+    gathers its rows in one task."""
     keys = [*by, value]
-    hot_ranks = F.broadcast(ranks.where(hot).drop("_c"))
-    cold = df.join(hot_ranks.select(*keys), keys, "left_anti")
-    placed = cold.join(ranks.where(~hot).drop("_c"), keys)
-    result = placed.unionByName(df.join(hot_ranks, keys))
-    return result.select(*[quoted(c) for c in df.columns], name)
+    hot = F.col("_c") > rows // HOT_SHARE
+    hot_ranks = ranks.where(hot).select(*keys, F.col("_r").alias("_hot"))
+    cold_ranks = ranks.where(~hot).select(
+        *keys, F.lit(0).alias("_salt"), F.col("_r").alias("_cold")
+    )
+    spread = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(4096)) + 1
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(spread).cast("int")
+    placed = df.join(F.broadcast(hot_ranks), keys, "left").withColumn("_salt", salt)
+    placed = placed.join(cold_ranks, [*keys, "_salt"], "left")
+    rank = F.coalesce("_hot", "_cold").alias(name)
+    return placed.select(*[quoted(c) for c in df.columns], rank)

@@ -7,16 +7,20 @@ silently dropped.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import BLANK_CLASS
+from ..operators.ordering import global_index, rows_between
 
 LINE_INDEX = "line_index"
+SLICE = re.compile(r"(?P<name>[\w.-]+)(?P<range>\[(?P<start>\d*):(?P<stop>\d*)\])?")
 Schema = T.StructType | str | None
 
 
@@ -72,9 +76,15 @@ def read_splits(
     return result
 
 
-def read_source(spark: SparkSession, source: Mapping) -> DataFrame:
+def read_source(
+    spark: SparkSession, source: Mapping, key: Sequence[str] = ()
+) -> DataFrame:
     """The scan a recipe's ``source`` block names. A DataFrame under ``data``
-    stands for itself."""
+    stands for itself.
+
+    ``split`` picks one published split, ``name[start:stop]`` a row range of it
+    in the order of ``key``.
+    """
     if source.get("data") is not None:
         df = source["data"]
     else:
@@ -85,9 +95,19 @@ def read_source(spark: SparkSession, source: Mapping) -> DataFrame:
         else:
             path = source.get("path") or source.get("dataset")
             df = READERS[kind](spark, path, schema)
-    if source.get("split") is not None and "split" in df.columns:
-        df = df.where(F.col("split") == source["split"]).drop("split")
-    return df
+    if source.get("split") is None:
+        return df
+    wanted = SLICE.fullmatch(str(source["split"]))
+    if wanted is None:
+        raise ValueError(f"Unreadable `source.split`: {source['split']!r}")
+    if "split" in df.columns:
+        df = df.where(F.col("split") == wanted["name"]).drop("split")
+    if wanted["range"] is None:
+        return df
+    if not key:
+        raise ValueError("A row range needs the key columns that order the rows.")
+    stop = wanted["stop"]
+    return rows_between(df, key, int(wanted["start"] or 0), int(stop) if stop else None)
 
 
 def number_lines(df: DataFrame, name: str = LINE_INDEX) -> DataFrame:
@@ -99,8 +119,6 @@ def number_lines(df: DataFrame, name: str = LINE_INDEX) -> DataFrame:
     per input block (128 MB by default) is aggregated and broadcast, about
     25 MB for 100 TB.
     """
-    from pyspark.sql.window import Window
-
     scanned = df.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
@@ -163,8 +181,6 @@ def read_pairs(spark: SparkSession, path, split: str) -> DataFrame:
 
 def pairs_from_rows(df: DataFrame, key, split: str = "train") -> DataFrame:
     """Pair records from a table, numbered in key order."""
-    from ..operators.ordering import global_index
-
     for field in ("prompt", "completion"):
         if field not in df.columns:
             raise ValueError(f"Selector row is missing `{field}`")

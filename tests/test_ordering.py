@@ -124,7 +124,7 @@ def test_average_rank_of_a_hot_value(spark, small_buckets, by):
     """A third of all rows share one value; both paths give the same ranks."""
     value = F.when(F.col("id") % 3 == 0, 5.0).otherwise((F.col("id") * 17 % 50).cast("double"))
     df = spark.range(300).select("id", value.alias("x"), (F.col("id") % 2).alias("g"))
-    many = small_buckets.average_rank(df, "x", "r", by)
+    many = small_buckets.average_ranks(df, {"x": "r"}, by)
     found = {r["id"]: r["r"] for r in many.collect()}
     frame = df.toPandas()
     grouped = frame.groupby("g")["x"] if by else frame["x"]
@@ -135,3 +135,14 @@ def test_average_rank_of_a_hot_value(spark, small_buckets, by):
 def test_seeded_hash_is_plain_sha256(spark):
     got = spark.range(1).select(ordering.seeded_hash(7, ["id"]).alias("h")).head()["h"]
     assert got == hashlib.sha256(b"7|0").hexdigest()
+
+
+def test_large_tables_rank_several_columns(spark, small_buckets):
+    half = F.when(F.col("id") % 2 == 0, 1.0)
+    df = spark.range(240).select(
+        "id", half.otherwise(F.col("id") / 3).alias("x"), (F.col("id") % 5).alias("y")
+    )
+    found = small_buckets.average_ranks(df, {"x": "rx", "y": "ry"}).toPandas()
+    assert len(found) == 240
+    assert (found["rx"] == found["x"].rank()).all()
+    assert (found["ry"] == found["y"].rank()).all()

@@ -196,3 +196,18 @@ def test_check_pairs(spark):
     with pytest.raises(ValueError, match="empty prompt: valid \\(valid-000000\\)"):
         filters.check_pairs(df, ("train", "valid"))
     filters.check_pairs(df, ("train",))
+
+
+def test_source_row_range(spark):
+    data = questions(spark, 50).withColumn("split", F.when(F.col("id") < 40, "cot").otherwise("tir"))
+    made = recipe(data, split={"strategy": "train_valid", "valid_ratio": 0.2})
+    made["source"]["split"] = "cot[10:30]"
+    found = prepare(spark, made, ["id"])
+    assert counts(found) == {"train": 16, "valid": 4}
+    prompts = {r["prompt"] for r in found.pairs().collect()}
+    assert prompts == {f"q{i}" for i in range(10, 30)}
+    made["source"]["split"] = "tir"
+    assert counts(prepare(spark, made, ["id"])) == {"train": 8, "valid": 2}
+    made["source"]["split"] = "cot[1%:2%]"
+    with pytest.raises(ValueError, match="Unreadable"):
+        prepare(spark, made, ["id"])

@@ -101,7 +101,7 @@ def average_ranks(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
     )
-    ranked = metrics.average_rank(rows, "l_quantity", "quantity_rank")
+    ranked = metrics.average_ranks(rows, {"l_quantity": "quantity_rank"})
     return ranked.drop("l_quantity")
 
 

@@ -100,13 +100,6 @@ def _entries(components: int, seed: int) -> str:
     """
 
 
-@query("projection_entries", _entries(24, 11))
-def projection_entries(spark, sf_dir):
-    # The dimension comes from the table, like everywhere a projection is made.
-    shape = feature_shape(features(spark, sf_dir)).head()
-    return projection.projection_entries(spark, shape["max_dim"], 24, 11)
-
-
 def _projected(source: str, components: int, seed: int) -> str:
     """Every row has every component, zero where no entry meets it."""
     return f"""
