@@ -129,7 +129,9 @@ def normalize_sql(col: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    return F.regexp_extract_all(normalize(col), F.lit(WORD), 0)
+    """Lower-case words. Blanks never belong to a word, so they need no
+    collapsing first."""
+    return F.regexp_extract_all(F.lower(col), F.lit(WORD), 0)
 
 
 def last_number(col: Column) -> Column:

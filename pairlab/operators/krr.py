@@ -285,7 +285,7 @@ def select_landmarks(
     rows = df.count()
     if not 1 <= count <= rows:
         raise ValueError(
-            f"Landmark count must be between 1 and n_train={rows}, got {count}."
+            f"Cannot take {count} landmarks from {rows} rows."
         )
     return take_subset(df, count, key, seed)
 
@@ -360,4 +360,4 @@ def fit(df: DataFrame, method: str, **options) -> LinearKernelModel:
         return fit_dual(df, **options)
     if kind == "nystrom":
         return fit_nystrom(df, **options)
-    raise ValueError(f"Unsupported kernel method: {method}")
+    raise ValueError(f"No kernel method {method!r}; use dual or nystrom")

@@ -42,7 +42,7 @@ def render(template: str, fields: Mapping[str, Column], name: str) -> Column:
         if field is None:
             continue
         if field not in fields:
-            raise ValueError(f"Missing field `{field}` while rendering `{name}`.")
+            raise ValueError(f"`{name}` uses `{field}`, which no column or path provides")
         parts.append(fields[field])
     return F.concat(*parts) if parts else F.lit("")
 

@@ -155,7 +155,7 @@ def project_features(
 ) -> DataFrame:
     kind = canonical(name or "identity")
     if kind not in PROJECTIONS:
-        raise ValueError(f"Unknown selector projection: {name}")
+        raise ValueError(f"No projection named {name!r}")
     return PROJECTIONS[kind](df, components=components, seed=seed, features=features)
 
 

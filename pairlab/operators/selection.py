@@ -269,7 +269,7 @@ def run_selector(
     chosen = call(rows, **options)
     if not isinstance(chosen, DataFrame):
         raise ValueError(
-            f"Selector returned {type(chosen).__name__}; expected a DataFrame."
+            f"The selector gave {type(chosen).__name__}, not a DataFrame"
         )
     return chosen
 
@@ -322,11 +322,11 @@ def scaled_iterations(
         return base
     if policy not in SCALING_POLICIES:
         raise ValueError(
-            "`subset_training.iters_policy` must be one of "
-            f"{sorted({*SCALING_POLICIES, 'none', 'fixed'})}; got {policy!r}."
+            f"No scaling policy {policy!r}; known: "
+            f"{sorted({*SCALING_POLICIES, *FIXED_POLICIES[1:]})}"
         )
     if min_iters < 1:
-        raise ValueError("`subset_training.min_iters` must be at least 1.")
+        raise ValueError("min_iters must be 1 or more")
     share = F.ceil(F.try_divide(base * selected, original))
     scaled = F.greatest(F.lit(min_iters), share).cast("bigint")
     if cap_at_full:

@@ -52,19 +52,19 @@ def held_out(rows: Column, size: float | int | Column) -> Column:
     taken as it is, and both sides keep at least one row."""
     if isinstance(size, float):
         if not 0 < size < 1:
-            raise ValueError("A split ratio must be between 0 and 1.")
+            raise ValueError(f"{size} is no ratio between 0 and 1")
         size = F.rint(rows * F.lit(size)).cast("bigint")
     elif isinstance(size, int):
         size = F.lit(size).cast("bigint")
     clamped = F.greatest(F.lit(1), F.least(rows - 1, size)).cast("bigint")
-    too_few = F.raise_error(F.lit("At least two rows are required to split."))
+    too_few = F.raise_error(F.lit("A split needs two rows or more"))
     return F.when(rows < 2, too_few).otherwise(clamped)
 
 
 def _check_ratio(name: str, ratio: float) -> float:
     ratio = float(ratio)
     if not 0 < ratio < 1:
-        raise ValueError(f"{name} must be between 0 and 1.")
+        raise ValueError(f"{name}: {ratio} is no ratio between 0 and 1")
     return ratio
 
 
@@ -141,7 +141,7 @@ def train_valid_test(
     valid_ratio = _check_ratio("valid_ratio", valid_ratio)
     test_ratio = _check_ratio("test_ratio", test_ratio)
     if valid_ratio + test_ratio >= 1:
-        raise ValueError("valid_ratio + test_ratio must be less than 1.")
+        raise ValueError("valid and test ratios leave nothing to train on")
     rows = cap(max_examples)
     test = held_out(rows, test_ratio)
     valid = held_out(rows - test, valid_ratio / (1.0 - test_ratio))
@@ -167,7 +167,7 @@ def existing_splits(
     for target, defaults in aliases.items():
         tried = [names[target]] if names.get(target) else []
         tried += [name for name in defaults if name not in tried]
-        missing = F.raise_error(F.lit(f"None of the splits exist: {tuple(tried)}"))
+        missing = F.raise_error(F.lit(f"No published split named any of {tuple(tried)}"))
         chosen = F.coalesce(
             *[F.when(F.array_contains(present, name), name) for name in tried],
             missing.cast("string"),

@@ -160,12 +160,12 @@ def read_pairs(spark: SparkSession, path, split: str) -> DataFrame:
     where = F.concat(F.lit(f"{split} line "), (F.col(LINE_INDEX) + 1).cast("string"))
 
     def required(field: str):
-        gone = F.concat(F.lit(f"Data row is missing `{field}`: "), where)
+        gone = F.concat(F.lit(f"No `{field}` in "), where)
         text = F.coalesce(F.get_json_object("value", f"$.{field}"), F.lit(""))
         return (
             F.when(
                 keys.isNull(),
-                F.raise_error(F.concat(F.lit("Data row must be an object: "), where)),
+                F.raise_error(F.concat(F.lit("No JSON object in "), where)),
             )
             .when(~F.array_contains(keys, field), F.raise_error(gone))
             .otherwise(text)
@@ -183,7 +183,7 @@ def pairs_from_rows(df: DataFrame, key, split: str = "train") -> DataFrame:
     """Pair records from a table, numbered in key order."""
     for field in ("prompt", "completion"):
         if field not in df.columns:
-            raise ValueError(f"Selector row is missing `{field}`")
+            raise ValueError(f"The rows have no `{field}` column")
     indexed = global_index(df, key, LINE_INDEX)
     return indexed.select(
         pair_id(F.lit(split), F.col(LINE_INDEX)).alias("pair_id"),

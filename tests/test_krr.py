@@ -89,9 +89,9 @@ def test_nystrom_with_more_landmarks_than_rows(spark):
 def test_landmark_counts(spark):
     df = table(spark, np.eye(4), np.ones(4))
     for count in (0, 5):
-        with pytest.raises(ValueError, match="Landmark count must be between"):
+        with pytest.raises(ValueError, match="Cannot take"):
             krr.select_landmarks(df, count, ["pair_id"])
-    with pytest.raises(ValueError, match="Unsupported kernel method"):
+    with pytest.raises(ValueError, match="No kernel method"):
         krr.fit(df, "svm")
 
 

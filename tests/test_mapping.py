@@ -103,7 +103,7 @@ def test_lookups(spark):
 
 def test_missing_field_fails_at_plan_time(spark):
     recipe = {"prompt_template": "{nope}", "completion_template": "x"}
-    with pytest.raises(ValueError, match="Missing field `nope` while rendering `prompt_template`"):
+    with pytest.raises(ValueError, match="`prompt_template` uses `nope`"):
         mapping.format_records(spark.range(1), recipe)
 
 

@@ -50,7 +50,7 @@ def test_append_to_a_split(spark):
     found = prepare(spark, made, ["id"])
     assert counts(found) == {"train": 2, "valid": 1, "test": 1}
     made["source"]["append"] = {"dev": [{"data": questions(spark, 2, 10)}]}
-    with pytest.raises(RecipeError, match="targets a split that does not exist"):
+    with pytest.raises(RecipeError, match="there is no such split"):
         prepare(spark, made, ["id"])
 
 
@@ -128,29 +128,29 @@ GOOD = {
 }
 
 BAD = [
-    ("dataset_name", None, "`dataset_name` is required"),
-    ("extra", 1, "Unknown keys in `recipe`"),
-    ("source.type", "xml", "Unsupported `source.type`"),
-    ("source.files", {"train": "x"}, "exactly one of `path` or `files`"),
-    ("source.append", {"train": []}, "non-empty list"),
-    ("source.append", {"train": [{"type": "csv", "path": "y", "append": {}}]}, "only supported on the primary"),
-    ("source.max_examples", "many", "must be a number"),
-    ("split.strategy", "random", "Unsupported `split.strategy`"),
-    ("split.splits", {}, "Unknown keys in `split`"),
-    ("split.ratios", {"valid": "x"}, "must be a number"),
-    ("mapping.type", "code", "Only `mapping.type: template`"),
-    ("mapping.completion_template", None, "completion_template` is required"),
-    ("mapping.prompt_parts", None, "requires either"),
-    ("mapping.prompt_parts", ["{a"], "Invalid format template"),
-    ("mapping.prompt_parts", [{"template": "x", "unless": 1}], "Unknown keys"),
-    ("mapping.computed_fields", {"c": {"upper": "x"}}, "Unknown computed_fields op"),
-    ("mapping.computed_fields", {"c": {"first_non_empty": []}}, "non-empty list"),
+    ("dataset_name", None, "`dataset_name` is missing"),
+    ("extra", 1, "`recipe` does not know"),
+    ("source.type", "xml", "`source.type`: no reader"),
+    ("source.files", {"train": "x"}, "either `path` or `files`"),
+    ("source.append", {"train": []}, "list of sources"),
+    ("source.append", {"train": [{"type": "csv", "path": "y", "append": {}}]}, "cannot append"),
+    ("source.max_examples", "many", "is no number"),
+    ("split.strategy", "random", "is none of"),
+    ("split.splits", {}, "`split` does not know"),
+    ("split.ratios", {"valid": "x"}, "is no number"),
+    ("mapping.type", "code", "only templates are known"),
+    ("mapping.completion_template", None, "completion_template`: expected a template"),
+    ("mapping.prompt_parts", None, "has neither"),
+    ("mapping.prompt_parts", ["{a"], "no valid template"),
+    ("mapping.prompt_parts", [{"template": "x", "unless": 1}], "does not know"),
+    ("mapping.computed_fields", {"c": {"upper": "x"}}, "is none of"),
+    ("mapping.computed_fields", {"c": {"first_non_empty": []}}, "list of paths"),
     ("mapping.computed_fields", {"c": {"format_choices": {}}}, "text_field"),
-    ("mapping.computed_fields", {"c": {"lookup_index": {"index": "i"}}}, "requires one of"),
-    ("mapping.computed_fields", {"c": {"lookup_index": {"labels": []}}}, "index` is required"),
-    ("filters.max_words", 3, "Unknown keys in `filters`"),
-    ("filters.exclude_prompt_hashes", {"sources": [" "]}, "non-empty path string"),
-    ("filters.token_supervision", {"enabled": True}, "max_seq_length` is required"),
+    ("mapping.computed_fields", {"c": {"lookup_index": {"index": "i"}}}, "nothing to look up in"),
+    ("mapping.computed_fields", {"c": {"lookup_index": {"labels": []}}}, "index` is missing"),
+    ("filters.max_words", 3, "`filters` does not know"),
+    ("filters.exclude_prompt_hashes", {"sources": [" "]}, "expected a path or a table"),
+    ("filters.token_supervision", {"enabled": True}, "max_seq_length` is needed"),
 ]
 
 
