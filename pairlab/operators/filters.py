@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import quoted
 from ..functions.text import as_text, prompt_hash, strip
+from .joins import join_unique
 
 DEFAULT_MAX_FEATURE_BYTES = 4 * 1024**3
 
@@ -82,9 +83,9 @@ def tag_pairs(
 ) -> DataFrame:
     """Strip prompt and completion and add the columns the filters decide on.
 
-    ``excluded`` has one ``prompt_hash`` per row. The join is an equi-join on the
-    hash: Spark broadcasts the set when its size allows, and a prompt copied
-    very often is split by adaptive execution otherwise.
+    ``excluded`` has one ``prompt_hash`` per row. It is broadcast if its measured
+    size allows and joined under salts otherwise, as one prompt may be copied
+    very often.
     """
     rest = [quoted(c) for c in df.columns if c not in ("prompt", "completion")]
     tagged = df.select(
@@ -95,10 +96,11 @@ def tag_pairs(
     if excluded is None:
         tagged = tagged.withColumn("is_excluded", F.lit(False))
     else:
-        marked = excluded.select("prompt_hash").distinct()
+        # Half the size as bytes.
+        marked = excluded.select(F.unhex("prompt_hash").alias("_hash")).distinct()
         marked = marked.withColumn("_hit", F.lit(True))
-        tagged = tagged.withColumn("prompt_hash", prompt_hash(F.col("prompt")))
-        tagged = tagged.join(marked, "prompt_hash", "left").drop("prompt_hash")
+        tagged = tagged.withColumn("_hash", F.unhex(prompt_hash(F.col("prompt"))))
+        tagged = join_unique(tagged, marked, ["_hash"]).drop("_hash")
         hit = F.coalesce("_hit", F.lit(False))
         tagged = tagged.withColumn("is_excluded", hit).drop("_hit")
     limits = exceeds_chars(F.col("prompt"), F.col("completion"), filters)

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.paths import quoted
 from ..session import materialize
+from .joins import spread
 
 Bucket = Callable[[Column], Column]  # order column -> ordered bucket
 
@@ -313,8 +314,8 @@ def _attach_ranks(
     cold_ranks = ranks.where(~hot).select(
         *keys, F.lit(0).alias("_salt"), F.col("_r").alias("_cold")
     )
-    spread = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(4096)) + 1
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(spread).cast("int")
+    apart = spread(df, 4096) + 1
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(apart).cast("int")
     placed = df.join(F.broadcast(hot_ranks), keys, "left").withColumn("_salt", salt)
     placed = placed.join(cold_ranks, [*keys, "_salt"], "left")
     rank = F.coalesce("_hot", "_cold").alias(name)

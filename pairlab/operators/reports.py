@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import nested_number, nested_text, quoted, resolve
 from ..functions.text import dataset_key, finite, short_model_name, strip
+from .joins import join_unique
 from .metrics import mae, rmse, sign_accuracy
 
 # The order methods are shown in; others follow by name.
@@ -548,7 +549,7 @@ def baseline_from_predictions(
     known = computed.withColumnRenamed("_computed", "train_mean_delta").where(
         "train_mean_delta is not null"
     )
-    joined = finite_rows.join(known, "run_name")
+    joined = join_unique(finite_rows, known, ["run_name"], "inner")
     true, guess = F.col("score_delta"), F.col("train_mean_delta")
     return joined.groupBy("run_name", "split").agg(
         F.max(guess).alias("train_mean_delta"),

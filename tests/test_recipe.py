@@ -211,3 +211,20 @@ def test_source_row_range(spark):
     made["source"]["split"] = "cot[1%:2%]"
     with pytest.raises(ValueError, match="Unreadable"):
         prepare(spark, made, ["id"])
+
+
+def test_exclusion_joins_agree(spark, monkeypatch):
+    """Half of the rows copy one prompt; broadcast and salted join give the same."""
+    from pairlab.operators import joins
+
+    prompt = F.when(F.col("id") % 2 == 0, "copied").otherwise(F.concat(F.lit("p"), "id"))
+    df = spark.range(200).select(
+        "id", F.lit("train").alias("split"), prompt.alias("prompt"), F.lit("c").alias("completion")
+    )
+    seen = spark.createDataFrame([("copied",), ("p7",), ("none",)], "prompt string")
+    found = []
+    for limit in (joins.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", limit)
+        tagged = filters.tag_pairs(df, filters.PairFilters(), filters.prompt_hashes(seen))
+        found.append(sorted(r["id"] for r in tagged.where("is_kept").collect()))
+    assert found[0] == found[1] == [i for i in range(1, 200, 2) if i != 7]
