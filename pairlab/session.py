@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="pairlab-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a local session without one gets a
     temporary folder, a cluster without one is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
-    folder = tempfile.mkdtemp(prefix="pairlab-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_dir(context.applicationId)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table:
     later reads neither recompute it nor depend on an executor staying alive."""
-    path = f"{shared_dir(df.sparkSession)}/pairlab/{uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/pairlab/{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from ..operators.filters import check_features
 
 
-def write_pairs(pairs: DataFrame, path: str, format: str = "json") -> None:
-    """``{path}/split=.../`` with prompt and completion only; text is UTF-8."""
+def write_pairs(
+    pairs: DataFrame, path: str, format: str = "json", shuffle: bool = False
+) -> None:
+    """``{path}/split=.../`` with prompt and completion only; text is UTF-8.
+
+    Files are in seeded order each. ``shuffle`` also spreads the rows over the
+    files by that order, which moves every row once.
+    """
     order = [c for c in ("split", "shuffle_key") if c in pairs.columns]
-    rows = pairs.sortWithinPartitions(*order).select("split", "prompt", "completion")
+    rows = pairs.repartitionByRange(*order) if shuffle else pairs
+    rows = rows.sortWithinPartitions(*order).select("split", "prompt", "completion")
     rows.write.mode("overwrite").partitionBy("split").format(format).save(path)
 
 

@@ -110,6 +110,9 @@ def test_write_and_metadata(spark, tmp_path):
     lines = [json.loads(line) for p in (tmp_path / "out" / "split=train").glob("*.json") for line in p.read_text("utf-8").splitlines()]
     assert len(lines) == 6
     assert all(set(line) == {"prompt", "completion"} and line["completion"] == "naïve 中" for line in lines)
+    again = found.write(str(tmp_path / "mixed"), shuffle=True)
+    assert again == {"train": 6, "valid": 2, "test": 2}
+    assert spark.read.json(str(tmp_path / "mixed")).count() == 10
     row = found.metadata().head()
     assert row["split_counts"] == {"train": 6, "valid": 2, "test": 2}
     assert row["filter_stats"]["train"]["kept"] == 6

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +279,14 @@ def test_summaries_are_assembled(spark):
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
+    def session(master):
+        context = SimpleNamespace(master=master, applicationId="a1")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+
+    assert shared_dir(session("local[2]")) == shared_dir(session("local[2]"))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared_dir(session("yarn"))
+
 
 def test_adapter_lookup(spark):
     rows = [
