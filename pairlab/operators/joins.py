@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import quoted
 from ..session import materialize
@@ -15,14 +16,26 @@ ROW_OVERHEAD = 64
 SALTS = 32
 
 
+def _hashable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _hashable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_hashable(field.dataType) for field in dtype.fields)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
 def spread(df: DataFrame, salts: int) -> Column:
     """Salt of a row, a pure function of it: a recomputed row keeps its salt."""
-    return F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(salts))
+    fields = [f.name for f in df.schema.fields if _hashable(f.dataType)]
+    return F.pmod(F.xxhash64(*[quoted(c) for c in fields]), F.lit(salts))
 
 
 def table_bytes(df: DataFrame) -> int:
     """Size of a table's values as text, plus a fixed overhead per row."""
-    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    widths = [
+        F.coalesce(F.octet_length(quoted(c).cast("string")), F.lit(0))
+        for c in df.columns
+    ]
     total = sum(widths, F.lit(ROW_OVERHEAD))
     return df.agg(F.sum(total.cast("bigint")).alias("bytes")).head()["bytes"] or 0
 
@@ -46,6 +59,7 @@ def join_unique(
     limit = MAX_BROADCAST_BYTES if limit is None else limit
     if table_bytes(stored) <= limit:
         return df.join(F.broadcast(stored), keys, how)
-    repeated = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    repeated = stored.withColumn("_salt", F.explode(salts))
     salted = df.withColumn("_salt", spread(df, SALTS).cast("int"))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.paths import quoted, resolve, walk
+from ..functions.paths import quoted, resolve
 from ..functions.text import as_text, strip
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.filters import check_features
 
 
 def write_pairs(
-    pairs: DataFrame, path: str, format: str = "json", shuffle: bool = False
-) -> None:
+    pairs: DataFrame,
+    path: str,
+    splits: Sequence[str],
+    format: str = "json",
+    shuffle: bool = False,
+) -> dict[str, int]:
     """``{path}/split=.../`` with prompt and completion only; text is UTF-8.
+    Returns the rows of each split, counted by the writing tasks.
 
     Files are in seeded order each. ``shuffle`` also spreads the rows over the
     files by that order, which moves every row once.
     """
     order = [c for c in ("split", "shuffle_key") if c in pairs.columns]
     rows = pairs.repartitionByRange(*order) if shuffle else pairs
+    # After the shuffle: its sampling pass runs everything before it once more.
+    watch = Observation("rows_per_split")
+    counts = [F.count_if(F.col("split") == name).alias(name) for name in splits]
+    rows = rows.observe(watch, *counts)
     rows = rows.sortWithinPartitions(*order).select("split", "prompt", "completion")
     rows.write.mode("overwrite").partitionBy("split").format(format).save(path)
+    return {name: int(watch.get[name]) for name in splits}
 
 
 def dataset_metadata(
@@ -70,7 +80,3 @@ def read_features(
     df = spark.read.parquet(path)
     check_features(df, features, rows)
     return df
-
-
-def metadata_row(metadata: DataFrame) -> Mapping:
-    return metadata.head().asDict(recursive=True)

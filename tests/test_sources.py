@@ -137,7 +137,9 @@ def test_keyed_tables_prune_by_split(spark, tmp_path):
     df = spark.createDataFrame([("a", "train", 1.0), ("b", "test", 2.0)], "pair_id string, split string, score double")
     writers.write_keyed(df, str(tmp_path / "s"))
     found = spark.read.parquet(str(tmp_path / "s")).where("split = 'test'")
-    assert "split = test" in found._jdf.queryExecution().toString().replace("'", "") or found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+    assert found.count() == 1
 
 
 def test_report_over_scanned_summaries(spark, tmp_path):
@@ -146,3 +148,16 @@ def test_report_over_scanned_summaries(spark, tmp_path):
     shown = {r["run"]: r for r in reports.run_table(runs).collect()}
     assert shown["r3"]["status"] == "-"
     assert shown["r1"]["task_metric"] == "-"
+
+
+def test_predictions_and_metadata(spark, tmp_path):
+    path = tmp_path / "predictions.jsonl"
+    path.write_text('{"prediction": "a", "reference": "A", "id": 3}\n')
+    found = readers.read_predictions(spark, str(path))
+    assert [tuple(r) for r in found.collect()] == [("a", "A")]
+    stats = spark.createDataFrame([("train", 3, 1)], "split string, kept long, skipped long")
+    row = writers.dataset_metadata(stats, "d", "s", 7)
+    writers.write_metadata(row, str(tmp_path / "metadata"))
+    stored = spark.read.json(str(tmp_path / "metadata")).head().asDict(True)
+    assert stored["split_counts"] == {"train": 3}
+    assert stored["filter_stats"]["train"] == {"kept": 3, "skipped": 1}
