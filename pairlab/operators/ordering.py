@@ -26,7 +26,10 @@ from .joins import spread
 
 Bucket = Callable[[Column], Column]  # order column -> ordered bucket
 
-HASH_DIGITS = 4  # 65,536 buckets: 1e11 rows leave about 1.5e6 in a cut bucket
+# 4,096 hash buckets. More would make the histogram of each task almost as long as
+# its rows; with these, 1e11 rows leave 2.4e7 keys in a cut bucket, a few GB that
+# one task sorts with spilling.
+HASH_DIGITS = 3
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 64
