@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -34,7 +35,12 @@ def test_strip_equals_python(spark, values):
 @RELAXED
 @given(st.lists(LETTERS, min_size=20, max_size=40))
 def test_words_equal_python(spark, values):
-    ascii_or_cased = [v for v in values if v.lower() == v]
+    # Java 17 knows Unicode 13, Python 3.13 knows 15.1: letters added in between
+    # are words for Python only (see README), so old characters are compared.
+    def old(v):
+        return all(unicodedata.ucd_3_2_0.category(c) != "Cn" for c in v)
+
+    ascii_or_cased = [v for v in values if v.lower() == v and old(v)]
     expected = [re.findall(r"\w+", re.sub(r"\s+", " ", v.lower().strip())) for v in ascii_or_cased]
     if ascii_or_cased:
         assert apply(spark, ascii_or_cased, text.words) == expected
