@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import bpe, queries, repeats
+import pairlab
+from pairlab.llm import bpe, queries, repeats, toxicity
 from pairlab.session import materialize
 
+# Python workers need not have this folder.
+cloudpickle.register_pickle_by_value(pairlab)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier, fitted on the labelled ones, doesn't reject."""
+    labels = queries.read(spark, sf_dir, "labels")
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of later repeated three-line windows."""
@@ -19,6 +30,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxic),
     ("line_dedup", line_dedup),
     ("bpe", encode),
 ]

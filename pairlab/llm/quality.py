@@ -8,12 +8,11 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .common import BLANKS, pick
 
 #: Rows on which costs and rejections are estimated. They decide the order in which
 #: rules are asked, never a verdict.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 500
 
 # Thresholds of the base rules.
 MIN_WORDS = 50
@@ -133,8 +132,8 @@ def default_rules() -> dict[str, Column]:
 def rule_order(
     sample: DataFrame, rules: Mapping[str, Column], rounds: int = 2
 ) -> list[str]:
-    """Rules by rejections per second on a stored sample, the best first. Each is
-    run on its own over the whole sample; the quicker of ``rounds`` runs counts."""
+    """Rules by rejections per second on a sample, the best first. Each is run on
+    its own over the whole sample; the quicker of ``rounds`` runs counts."""
     gain = {}
     for name, rejects in rules.items():
         seconds, hits = float("inf"), 0
@@ -170,8 +169,10 @@ def judge(
     """
     rules = dict(default_rules() if rules is None else rules)
     rows = pick(df, doc_id="doc_id", text="text")
-    sample = materialize(measures(rows.limit(sample_rows)).where(~base_failed()))
-    order = rule_order(sample, rules)
+    # take() reads as few partitions as it needs; limit() would gather as many rows
+    # from each of them.
+    sample = df.sparkSession.createDataFrame(rows.take(sample_rows), rows.schema)
+    order = rule_order(measures(sample).where(~base_failed()), rules)
     return measures(rows).select(
         "doc_id",
         "n_words",

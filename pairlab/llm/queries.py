@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, credentials, quality, repeats, url_rules
+from . import bpe, credentials, quality, repeats, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,23 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages")).select(
+        "page_id",
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        "urlkey",
+        "captured",
+    )
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
