@@ -50,7 +50,7 @@ NEAR_WORST = 0.25
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
 _JUNK = re.compile(r"[\W_]+")
 # Digits and signs written for letters.
-_WRITTEN = str.maketrans("013457@$", "oleastas")
+_WRITTEN = str.maketrans("013457@$", "oieastas")
 
 
 def held_out(doc_id: Column) -> Column:
