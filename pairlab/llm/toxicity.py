@@ -237,17 +237,33 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.
     return w[:-1], float(w[-1])
 
 
-def _spread(points: np.ndarray, count: int, alike: float = 0.7) -> list[int]:
-    """The first ``count`` points that aren't like an earlier one chosen."""
-    chosen: list[int] = []
-    best = np.full(len(points), -np.inf)
-    for k in range(len(points)):
-        if best[k] <= alike:
-            chosen.append(k)
-            best = np.maximum(best, points @ points[k])
-            if len(chosen) == count:
-                break
-    return chosen
+def _landmarks(
+    words: list[str], first: int, end: int, count: int, alike: float = 0.7
+) -> tuple[list[int], np.ndarray]:
+    """The first ``count`` of words ``first`` to ``end`` that aren't like an earlier
+    one chosen, and the kernel's values between all words and these."""
+    places: dict[str, list[int]] = {}
+    for k, word in enumerate(words):
+        places.setdefault(f"^{word}$", []).append(k)
+    groups = []
+    for length, some in by_length(dict.fromkeys(words)).items():
+        codes, decay = subsequences(some, length)
+        groups.append((codes, decay, [places[w] for w in some]))
+    chosen, columns = [], []
+    best = np.full(len(words), -np.inf)
+    for k in range(first, end):
+        if best[k] > alike:
+            continue
+        point, column = features(words[k]), np.zeros(len(words))
+        for codes, decay, at in groups:
+            for value, own in zip((point[codes] @ decay).tolist(), at, strict=True):
+                column[own] = value
+        chosen.append(k)
+        columns.append(column)
+        best = np.maximum(best, column)
+        if len(chosen) == count:
+            break
+    return chosen, np.array(columns).reshape(len(chosen), len(words)).T
 
 
 def disguised(words: list[tuple[str, int]], count: int) -> list[tuple[str, int]]:
@@ -272,29 +288,20 @@ def train(
     weight = np.where(
         y > 0, counts / counts[y > 0].sum(), counts / counts[y < 0].sum()
     ) * len(y) / 2
-    at = np.unique(
-        np.concatenate([np.unique(_codes(w)) for w in words] + [np.zeros(1, int)])
-    )
-    points = np.stack([features(w)[at] for w in words])
     n = len(positive)
-    landmarks = [
-        *_spread(points[:n], 2 * LANDMARKS // 3),
-        *[n + k for k in _spread(points[n:], LANDMARKS // 3)],
-    ]
-    marks = points[landmarks]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    toxic, toxic_values = _landmarks(words, 0, n, 2 * LANDMARKS // 3)
+    clean, clean_values = _landmarks(words, n, len(words), LANDMARKS // 3)
+    landmarks, kernel = toxic + clean, np.hstack([toxic_values, clean_values])
+    values, vectors = np.linalg.eigh(kernel[landmarks])
     held = values > 1e-6 * values.max()
     root = vectors[:, held] / np.sqrt(values[held])
-    beta, bias = _machine(points @ (marks.T @ root), y, weight)
+    beta, bias = _machine(kernel @ root, y, weight)
     dense = np.zeros(CLASSES**3)
-    dense[at] = marks.T @ (root @ beta)
+    for share, k in zip((root @ beta).tolist(), landmarks, strict=True):
+        dense += share * features(words[k])
     return dense, bias
 
 
-def _codes(word: str) -> np.ndarray:
-    return subsequences([f"^{word}$"], len(word) + 2)[0]
-
-
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
     """Up to ``DOCS_PER_CLASS`` labelled documents of each class outside fold 0, as
     a written table (doc_id, text, toxic), and the number of labels by class. A
