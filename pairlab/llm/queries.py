@@ -7,7 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, credentials, decontamination, quality, repeats, toxicity, url_rules, warc
+from . import (
+    bpe,
+    credentials,
+    decontamination,
+    jaccard_join,
+    quality,
+    repeats,
+    toxicity,
+    url_rules,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,6 +193,13 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 @query()
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).select(
