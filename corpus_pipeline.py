@@ -6,7 +6,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import pairlab
-from pairlab.llm import bpe, queries, repeats, toxicity
+from pairlab.llm import (
+    bpe,
+    decontamination,
+    jaccard_join,
+    queries,
+    repeats,
+    toxicity,
+)
 from pairlab.session import materialize
 
 # Python workers need not have this folder.
@@ -24,6 +31,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeats.drop_repeated_lines(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    items = queries.read(spark, sf_dir, "benchmark")
+    return decontamination.drop_contaminated(docs, items)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded text."""
     return bpe.encode(docs, queries.vocabulary(), ids=True)
@@ -32,6 +50,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxic),
     ("line_dedup", line_dedup),
+    ("jaccard_join", near_copies),
+    ("decontamination", decontaminate),
     ("bpe", encode),
 ]
 #: SQL has no classifier and no BPE.

@@ -120,8 +120,9 @@ def dedup_lines(df: DataFrame, lines: int = 3) -> DataFrame:
 
 
 def drop_repeated_lines(df: DataFrame, lines: int = 3) -> DataFrame:
-    """All rows and columns of ``df`` with those lines gone from ``text``. A text
-    that repeats as a whole becomes empty; its row stays."""
+    """All rows and columns of ``df`` with those lines gone from ``text``; a column
+    ``n_chars`` counts what is left. A text that repeats as a whole becomes empty;
+    its row stays."""
     names = [f"c{i}" for i in range(len(df.columns))]
     doc_id, text = (names[df.columns.index(c)] for c in ("doc_id", "text"))
     sides = materialize(repeated_lines(df, lines))
@@ -132,11 +133,15 @@ def drop_repeated_lines(df: DataFrame, lines: int = 3) -> DataFrame:
     joined = placed.join(
         sides, placed[doc_id].cast("bigint") == sides["span_doc"], "left"
     )
-    cut = F.when(
-        F.col("spans").isNotNull(), without_lines(F.col(text), F.col("spans"))
-    ).otherwise(F.col(text))
+    less = F.col("spans").isNotNull()
+    left = without_lines(F.col(text), F.col("spans"))
+    values = {text: F.when(less, left).otherwise(F.col(text))}
+    if "n_chars" in df.columns:
+        count = names[df.columns.index("n_chars")]
+        kind = placed.schema[count].dataType
+        values[count] = F.when(less, F.length(left).cast(kind)).otherwise(F.col(count))
     return joined.select(
-        *[cut.alias(n) if n == text else F.col(n) for n in names]
+        *[values.get(n, F.col(n)).alias(n) for n in names]
     ).toDF(*df.columns)
 
 
