@@ -218,11 +218,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         first = first & (
             (F.col("block") <= k) | (F.bit_count(_block(differ, k)) > BLOCK_RADIUS)
         )
-    candidates = (
+    near = (
         windows.join(hinted(index, 64), ["m", "block", "value"])
         .where((F.bit_count(differ) <= RADIUS) & first)
-        .select("doc_id", "position", "window", "item_id")
-        .join(items.select("item_id", "item_sh"), "item_id")
+        .select("doc_id", "position", "window", "item_id", "item_fp")
+    )
+    texts_of = items.select(F.col("item_id").alias("own"), "item_fp", "item_sh")
+    candidates = (
+        near.join(texts_of.withColumnRenamed("item_fp", "own_fp"), [
+            F.col("item_id").eqNullSafe(F.col("own")),
+            F.col("item_fp") == F.col("own_fp"),
+        ])
         .withColumn("common", common_weight(F.col("window"), F.col("item_sh")))
         .withColumn("all", F.size("window") + F.size("item_sh") - F.col("common"))
         .where(100 * F.col("common") >= PERCENT * F.col("all"))

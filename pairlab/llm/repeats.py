@@ -146,7 +146,7 @@ def drop_repeated_lines(df: DataFrame, lines: int = 3) -> DataFrame:
 
 
 #: A run holds at least so many sentences and so many words.
-RUN_SENTENCES, RUN_WORDS = 2, 24
+RUN_SENTENCES, RUN_WORDS = 2, 20
 #: Longer sentences count as several, so that a run fits into a passage whose
 #: sentences are long.
 PART_WORDS = 12

@@ -380,8 +380,11 @@ def _word_odds(sentences: DataFrame) -> DataFrame:
     )
 
 
-def _witnesses(sentences: DataFrame, odds: dict[str, float]) -> DataFrame:
-    """For each sentence its most suspicious word: (word, toxic, z)."""
+def _witnesses(
+    sentences: DataFrame, odds: dict[str, float], least: float
+) -> DataFrame:
+    """For each clean sentence its most suspicious word, for each toxic one all
+    words with odds of ``least``: (word, toxic, z)."""
     known = sentences.sparkSession.sparkContext.broadcast(odds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,9 +393,11 @@ def _witnesses(sentences: DataFrame, odds: dict[str, float]) -> DataFrame:
             rows: list[tuple[str, int, float]] = []
             for sentence, label in _pairs(batch):
                 own = _sentence_words(sentence)
-                if own:
+                if label:
+                    rows += [(v, 1, z[v]) for v in own if z.get(v, 0.0) >= least]
+                elif own:
                     best = max(own, key=lambda v: (z.get(v, 0.0), v))
-                    rows.append((best, label, z.get(best, 0.0)))
+                    rows.append((best, 0, z.get(best, 0.0)))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -426,13 +431,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     top = words.orderBy(F.desc("z"), "word").limit(WORDS_PER_CLASS).collect()
     odds = {r["word"]: r["z"] for r in top if r["z"] > 0}
     least = max(SUSPICIOUS, NEAR_WORST * max(odds.values(), default=0.0))
-    seen = _witnesses(sentences, odds).groupBy("word", "toxic").agg(
+    seen = _witnesses(sentences, odds, least).groupBy("word", "toxic").agg(
         F.count("*").alias("n"), F.max("z").alias("z")
     )
     seen = materialize(seen)
     most = (F.desc("n"), "word")
-    positive = seen.where((F.col("toxic") == 1) & (F.col("z") >= least))
-    positive = positive.orderBy(*most).limit(WORDS_PER_CLASS).collect()
+    positive = seen.where("toxic = 1").orderBy(*most).limit(WORDS_PER_CLASS).collect()
     negative = seen.where((F.col("toxic") == 0) & (F.col("z") < least))
     negative = negative.orderBy(*most).limit(WORDS_PER_CLASS // 2).collect()
     if not positive or not negative:
