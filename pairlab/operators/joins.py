@@ -1,8 +1,9 @@
-"""Joining a large table to a side with one row per key."""
+"""Joins that keep rows with null keys, and joins to a side with one row per key."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,6 @@ from ..session import materialize
 
 MAX_BROADCAST_BYTES = 256 * 1024**2
 ROW_OVERHEAD = 64
-SALTS = 32
 
 
 def _hashable(dtype: T.DataType) -> bool:
@@ -30,6 +30,33 @@ def spread(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*[quoted(c) for c in fields]), F.lit(salts))
 
 
+def join_same(
+    df: DataFrame,
+    side: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    small: bool = False,
+) -> DataFrame:
+    """Join by equal keys, null being equal to null. The keys are kept once;
+    ``small`` broadcasts the side."""
+    names = [f"_same_{n}" for n in range(len(keys))]
+    renamed = side.select(
+        *[quoted(k).alias(n) for k, n in zip(keys, names, strict=True)],
+        *[quoted(c) for c in side.columns if c not in keys],
+    )
+    same = [
+        df[quoted_name(k)].eqNullSafe(renamed[n])
+        for k, n in zip(keys, names, strict=True)
+    ]
+    if small:
+        renamed = F.broadcast(renamed)
+    return df.join(renamed, reduce(Column.__and__, same), how).drop(*names)
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table_bytes(df: DataFrame) -> int:
     """Size of a table's values as text, plus a fixed overhead per row."""
     widths = [
@@ -47,19 +74,13 @@ def join_unique(
     how: str = "left",
     limit: int | None = None,
 ) -> DataFrame:
-    """Join ``side``, which has one row per key, to ``df``.
+    """Join ``side``, which has one row per key, to ``df``; null equals null.
 
     The side is written once and measured. Up to ``limit`` bytes it is broadcast
-    and ``df`` stays in place; beyond, ``df`` is shuffled under salts and the side
-    repeated for each, so that a key with a third of all rows is spread over
-    ``SALTS`` tasks.
+    and ``df`` stays in place; beyond, both are shuffled, and adaptive execution
+    splits the partitions of ``df`` that a frequent key makes large. The result is
+    the same.
     """
-    keys = list(keys)
     stored = materialize(side)
     limit = MAX_BROADCAST_BYTES if limit is None else limit
-    if table_bytes(stored) <= limit:
-        return df.join(F.broadcast(stored), keys, how)
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    repeated = stored.withColumn("_salt", F.explode(salts))
-    salted = df.withColumn("_salt", spread(df, SALTS).cast("int"))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return join_same(df, stored, list(keys), how, table_bytes(stored) <= limit)

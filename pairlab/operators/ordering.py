@@ -18,11 +18,11 @@ from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from ..functions.paths import quoted
 from ..session import materialize
-from .joins import spread
+from .joins import join_same, join_unique
 
 Bucket = Callable[[Column], Column]  # order column -> ordered bucket
 
@@ -139,11 +139,11 @@ def keys_at_each(
         .select(*by, "_b", "n", "_k", F.col("_w.name").alias("name"))
     )
     # Bounded: one row per group and wanted position.
-    held = F.broadcast(cuts.select(*by, "_b").distinct())
-    inside = slim.join(held, [*by, "_b"], "left_semi")
+    held = cuts.select(*by, "_b").distinct()
+    inside = join_same(slim, held, [*by, "_b"], "left_semi", small=True)
     ranked = Window.partitionBy(*by, "_b").orderBy("_o")
     inside = inside.withColumn("_k", F.row_number().over(ranked).cast("bigint"))
-    found = inside.join(F.broadcast(cuts), [*by, "_b", "_k"])
+    found = join_same(inside, cuts, [*by, "_b", "_k"], small=True)
     return found.select(*by, "name", F.col("_o").alias("key"), "n")
 
 
@@ -186,7 +186,7 @@ def attach_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
     packed = cuts.select(*by, F.struct(*names).alias("_cut"))
     if by:
         # Bounded: one row per group of a declared, small-cardinality column.
-        return df.join(F.broadcast(packed), list(by), "left")
+        return join_same(df, packed, list(by), "left", small=True)
     return df.withColumn("_cut", packed.scalar())
 
 
@@ -237,89 +237,78 @@ def global_index(
     One shuffle, on the range bucket; offsets come from a count per bucket.
     """
     by = list(by)
-    bucketed = df.withColumn("_b", range_bucket(df, key)(natural_order(key)))
+    bucket = range_bucket(df, key)
+    bucketed = df.withColumn("_b", bucket(natural_order(key)))
+    inside = Window.partitionBy(*by, "_b").orderBy(*[quoted(k) for k in key])
+    ranked = bucketed.withColumn("_r", F.row_number().over(inside))
+    columns = [quoted(c) for c in df.columns]
+    if bucket is _one_bucket:
+        return ranked.select(*columns, (F.col("_r") - 1).cast("bigint").alias(name))
     counts = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")
     )
-    if not by:
-        offsets = F.broadcast(offsets)  # at most MAX_BUCKETS rows
-    inside = Window.partitionBy(*by, "_b").orderBy(*[quoted(k) for k in key])
-    ranked = bucketed.withColumn("_r", F.row_number().over(inside))
-    indexed = ranked.join(offsets, [*by, "_b"])
+    # Without groups at most MAX_BUCKETS rows.
+    indexed = join_same(ranked, offsets, [*by, "_b"], small=not by)
     place = (F.col("_off") + F.col("_r") - 1).cast("bigint").alias(name)
-    return indexed.select(*[quoted(c) for c in df.columns], place)
-
-
-HOT_SHARE = 1000
+    return indexed.select(*columns, place)
 
 
 def average_ranks(
     df: DataFrame, values: Mapping[str, str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Rank of each value column within ``by``, ties sharing the mean of their
-    ranks, under the names ``values`` maps the columns to.
-
-    Tables of up to ``ROWS_PER_BUCKET`` rows are ranked by windows. Larger ones
-    are written once, and each column's ranks are worked out on its distinct
-    values and joined back.
+    ranks, under the names ``values`` maps the columns to. Nulls come first and
+    tie with one another; a null group is a group.
+
+    One way for tables of any size: the rows are written once, equal values are
+    counted for all columns together on the map side first (a value that a third
+    of all rows hold is one row to rank), the distinct values are ranked by range
+    bucket, and ranks are joined back by value: by broadcast where their measured
+    size allows, else under a shuffle that splits frequent values.
     """
     by = list(by)
-    rows = df.count()
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    if rows <= ROWS_PER_BUCKET:
-        for value, name in values.items():
-            ordered = group.orderBy(quoted(value))
-            last = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-            rank = (F.rank().over(ordered) + F.count(F.lit(1)).over(last)) / 2
-            df = df.withColumn(name, rank)
-        return df
     stored = materialize(df)
+    kinds: dict[str, list[str]] = {}
+    for value in values:
+        kinds.setdefault(df.schema[value].dataType.simpleString(), []).append(value)
     result = stored
-    for value, name in values.items():
-        ranks = _ranks_of_values(stored, value, by, group, rows)
-        result = _attach_ranks(result, ranks, value, name, by, rows)
-    return result
-
-
-def _ranks_of_values(
-    df: DataFrame, value: str, by: list[str], group: WindowSpec, rows: int
-) -> DataFrame:
-    """(by, value, count, rank) of the distinct values. Equal values are counted
-    on the map side first, so one that holds a third of all rows is one row to
-    rank; the distinct values are ranked by range bucket."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    bucket = range_bucket(df, [value], rows)
-    counts = counts.withColumn("_b", bucket(natural_order([value])))
-    sums = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
-    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")
-    offsets = sums.select(*by, "_b", earlier)
-    inside = Window.partitionBy(*by, "_b").orderBy(quoted(value))
-    upto = F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto).join(offsets, [*by, "_b"])
-    last = F.col("_off") + F.col("_upto")
-    return ranked.select(*by, value, "_c", (last - (F.col("_c") - 1) / 2).alias("_r"))
-
-
-def _attach_ranks(
-    df: DataFrame, ranks: DataFrame, value: str, name: str, by: list[str], rows: int
-) -> DataFrame:
-    """Join ranks back by value. Values with more than a thousandth of the rows
-    number under a thousand and come by broadcast; their rows pass the shuffle
-    join for the others under a salt that finds no partner, so that no value
-    gathers its rows in one task."""
-    keys = [*by, value]
-    hot = F.col("_c") > rows // HOT_SHARE
-    hot_ranks = ranks.where(hot).select(*keys, F.col("_r").alias("_hot"))
-    cold_ranks = ranks.where(~hot).select(
-        *keys, F.lit(0).alias("_salt"), F.col("_r").alias("_cold")
+    for same in kinds.values():
+        ranks = materialize(_ranks_of_values(stored, same, by))
+        for value in same:
+            own = ranks.where(F.col("_column") == value).select(
+                *by, F.col("_v").alias(value), F.col("_r").alias(values[value])
+            )
+            result = join_unique(result, own, [*by, value])
+    return result.select(*[quoted(c) for c in [*df.columns, *values.values()]])
+
+
+def _ranks_of_values(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """(by, _column, _v, _r): ranks of the distinct values of columns of one type."""
+    each = F.array(
+        *[F.struct(F.lit(v).alias("_column"), quoted(v).alias("_v")) for v in values]
     )
-    apart = spread(df, 4096) + 1
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(apart).cast("int")
-    placed = df.join(F.broadcast(hot_ranks), keys, "left").withColumn("_salt", salt)
-    placed = placed.join(cold_ranks, [*keys, "_salt"], "left")
-    rank = F.coalesce("_hot", "_cold").alias(name)
-    return placed.select(*[quoted(c) for c in df.columns], rank)
+    keys = [*by, "_column"]
+    counts = (
+        df.select(*[quoted(c) for c in by], F.inline(each))
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    counts = materialize(counts)
+    bucket = range_bucket(counts, ["_v"])
+    counts = counts.withColumn("_b", bucket(natural_order(["_v"])))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+    upto = F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_upto", upto)
+    if bucket is _one_bucket:
+        last = F.col("_upto")
+    else:
+        sums = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+        group = Window.partitionBy(*keys).orderBy("_b")
+        before = group.rowsBetween(Window.unboundedPreceding, -1)
+        earlier = F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")
+        ranked = join_same(ranked, sums.select(*keys, "_b", earlier), [*keys, "_b"])
+        last = F.col("_off") + F.col("_upto")
+    return ranked.select(*keys, "_v", (last - (F.col("_c") - 1) / 2).alias("_r"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import quoted
+from .joins import join_same
 from .ordering import (
     attach_cuts,
     hash_keys_at,
@@ -31,7 +32,6 @@ SPLIT_ALIASES = {
     "test": ("test",),
 }
 HELD_OUT_ALIASES = ("test", "validation")
-TOP_K = 256
 SPLIT_SEED_OFFSET = {"train": 0, "valid": 1, "test": 2}
 
 
@@ -88,19 +88,12 @@ def _label(
 def take_subset(
     df: DataFrame, size: int | None, key: Sequence[str], seed: int = 42
 ) -> DataFrame:
-    """At most ``size`` rows in seeded order; ``None`` keeps all.
-
-    A few keys are found by a top-k over the key columns, which hashes every row
-    once; larger subsets by a cut point, so that no task holds the subset.
-    """
+    """At most ``size`` rows in seeded order; ``None`` keeps all. Rows are kept by
+    comparison with a cut point, so that no task holds the subset."""
     if size is None:
         return df
     if int(size) <= 0:
         return df.where(F.lit(False))
-    if int(size) <= TOP_K:
-        keys = df.select(*[quoted(k) for k in key])
-        keys = keys.orderBy(seeded_order(seed, key)).limit(int(size))
-        return df.join(F.broadcast(keys), list(key), "left_semi")
     return take_seeded(df, cap(size), key, seed)
 
 
@@ -260,4 +253,4 @@ def decimate(df: DataFrame, key: Sequence[str], max_points: int = 500) -> DataFr
     wanted = F.transform(places, lambda k: F.struct(k.alias("name"), k.alias("k")))
     found = keys_at_each(df, natural_order(key), range_bucket(df, key), wanted)
     # Bounded by 2 * max_points rows.
-    return df.join(F.broadcast(found.select("key.*")), list(key), "left_semi")
+    return join_same(df, found.select("key.*"), list(key), "left_semi", small=True)

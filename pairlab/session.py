@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-@cache
-def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="pairlab-")
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local session without one gets a
-    temporary folder, a cluster without one is an error."""
+    """The cluster's ``spark.checkpoint.dir``; where none is set, a folder of the
+    warehouse, which all executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pairlab"
+
+
+def _filesystem(spark: SparkSession, path: str):
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
-    return _local_dir(context.applicationId)
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def shared_path(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the shared folder. What is written there goes with the session,
+    or before it by :func:`release`."""
+    path = f"{shared_dir(spark).rstrip('/')}/pairlab/{uuid4().hex}{suffix}"
+    files, place = _filesystem(spark, path)
+    # Hadoop forgets paths that don't exist yet.
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    _written.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables written so far. Only for when no DataFrame
+    that reads them is used any more."""
+    while _written:
+        files, place = _filesystem(spark, _written.pop())
+        files.delete(place, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table:
     later reads neither recompute it nor depend on an executor staying alive."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/pairlab/{uuid4().hex}"
-    df.write.parquet(path)
+    path = shared_path(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,15 +26,12 @@ def ids(df):
 
 
 @pytest.mark.parametrize("size", [0, 1, 40, 99, 100, 5000])
-def test_subset_is_the_head_of_the_seeded_order(spark, size, monkeypatch):
+def test_subset_is_the_head_of_the_seeded_order(spark, size):
     expected = sorted(by_hash(100, 42)[:size])
     assert ids(splits.take_subset(rows(spark, 100), size, ["id"])) == expected
-    monkeypatch.setattr(splits, "TOP_K", 0)
-    assert ids(splits.take_subset(rows(spark, 100), size, ["id"])) == expected
 
 
-def test_subset_does_not_depend_on_partitioning(spark, monkeypatch):
-    monkeypatch.setattr(splits, "TOP_K", 0)
+def test_subset_does_not_depend_on_partitioning(spark):
     one = splits.take_subset(rows(spark, 300, 1), 50, ["id"], 3)
     many = splits.take_subset(rows(spark, 300, 17), 50, ["id"], 3)
     assert ids(one) == ids(many)
@@ -146,3 +143,45 @@ def test_large_tables_rank_several_columns(spark, small_buckets):
     assert len(found) == 240
     assert (found["rx"] == found["x"].rank()).all()
     assert (found["ry"] == found["y"].rank()).all()
+
+
+def nulls(spark, n=40):
+    """A fourth of the groups and of the values null."""
+    return spark.range(n).select(
+        "id",
+        F.when(F.col("id") % 4 > 0, F.col("id") % 3).alias("g"),
+        F.when(F.col("id") % 5 > 0, (F.col("id") % 7).cast("double")).alias("x"),
+    )
+
+
+@pytest.mark.parametrize("buckets", [20, 1_000_000])
+def test_null_groups_and_values_have_ranks(spark, monkeypatch, buckets):
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", buckets)
+    found = ordering.average_ranks(nulls(spark), {"x": "r"}, ["g"]).toPandas()
+    frame = nulls(spark).toPandas().fillna(-1.0)
+    want = frame.groupby("g")["x"].rank(method="average")
+    got = found.sort_values("id")["r"].to_numpy()
+    assert (got == want.to_numpy()).all()
+
+
+@pytest.mark.parametrize("buckets", [5, 1_000_000])
+def test_null_groups_keep_their_rows(spark, monkeypatch, buckets):
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", buckets)
+    found = ordering.global_index(nulls(spark), ["id"], by=["g"]).toPandas()
+    want = found.sort_values("id").groupby("g", dropna=False).cumcount()
+    assert len(found) == 40
+    assert (found.sort_values("id")["row_index"].to_numpy() == want.to_numpy()).all()
+
+
+def test_caps_keep_rows_of_a_null_split(spark):
+    df = nulls(spark).withColumn("split", F.when(F.col("id") % 4 > 0, "a"))
+    assert splits.cap_splits(df, 100, ["id"]).count() == 40
+    found = splits.cap_splits(df, 3, ["id"]).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in found} == {"a": 3, None: 3}
+
+
+@pytest.mark.parametrize("size", [255, 256, 257, 300])
+def test_subset_with_a_null_key(spark, size):
+    key = F.when(F.col("id") > 0, F.col("id")).alias("k")
+    df = spark.range(300).select("id", key)
+    assert splits.take_subset(df, size, ["k"]).count() == size

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from pairlab.operators import runlogs
 from pairlab.operators.reports import run_table
-from pairlab.session import shared_dir
+from pairlab.session import shared_path
 from pairlab.streaming import logs
 
 from .registry import query, table
@@ -210,7 +208,7 @@ def streamed_lines(spark, sf_dir):
 @query("stream_events", EVENTS)
 def stream_events(spark, sf_dir):
     """Lines arrive as a stream; events are appended and read back."""
-    root = f"{shared_dir(spark)}/pairlab/{uuid4().hex}"
+    root = shared_path(spark)
     events = logs.stream_events(streamed_lines(spark, sf_dir), "train")
     running = logs.append_events(events, f"{root}/events", f"{root}/state", once=True)
     running.awaitTermination()
@@ -222,7 +220,7 @@ def stream_events(spark, sf_dir):
 @query("stream_summaries", SUMMARY)
 def stream_summaries(spark, sf_dir):
     """The run summary kept up to date while lines arrive."""
-    root = f"{shared_dir(spark)}/pairlab/{uuid4().hex}"
+    root = shared_path(spark)
     events = logs.stream_events(streamed_lines(spark, sf_dir), "train")
     running = logs.write_summaries(
         logs.live_summaries(events), f"{root}/summaries", f"{root}/state", once=True
