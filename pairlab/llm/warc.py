@@ -6,13 +6,12 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir
+from ..session import materialize, shared_path
 from .common import hinted, in_batches, pick
 from .url_rules import split_url
 
@@ -171,7 +170,8 @@ def write_archives(rows: DataFrame, path: str) -> None:
     (
         rows.sortWithinPartitions(*ORDER)
         .select(record_text().alias("value"))
-        .write.option("lineSep", END)
+        .write.mode("overwrite")
+        .option("lineSep", END)
         .option("compression", "gzip")
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .text(path)
@@ -380,6 +380,6 @@ def archive(
     """
     spark = pages.sparkSession
     if path is None:
-        path = f"{shared_dir(spark).rstrip('/')}/pairlab/{uuid4().hex}-warc"
+        path = shared_path(spark, "-warc")
     write_archives(captures(pages, min_bytes), path)
     return capture_histories(read_archives(spark, path))
