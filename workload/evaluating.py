@@ -73,6 +73,40 @@ def spearman(spark, sf_dir):
     return grouped.agg(F.round(metrics.spearman("x", "y"), 9).alias("value"))
 
 
+@query(
+    "spearman_with_nulls",
+    """
+    with rows as (
+      select nullif(l_returnflag, 'R') as flag,
+             case when l_linenumber % 3 > 0 then l_quantity end as x, l_extendedprice as y
+      from lineitem),
+    ranked as (
+      select flag,
+             (rank() over (partition by flag order by x nulls first) + count(*) over (
+               partition by flag order by x nulls first
+               range between unbounded preceding and current row)) / 2 as x_rank,
+             (rank() over (partition by flag order by y) + count(*) over (
+               partition by flag order by y
+               range between unbounded preceding and current row)) / 2 as y_rank
+      from rows)
+    select flag, count(*) as pairs, round(corr(x_rank, y_rank), 9) as value
+    from ranked group by flag
+    """,
+)
+def spearman_with_nulls(spark, sf_dir):
+    """Null values tie for the first ranks, and the null group is a group."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.nullif("l_returnflag", F.lit("R")).alias("flag"),
+        F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity")).alias("x"),
+        F.col("l_extendedprice").alias("y"),
+    )
+    ranked = metrics.with_ranks(rows, ["x", "y"], ["flag"])
+    return ranked.groupBy("flag").agg(
+        F.count("*").alias("pairs"),
+        F.round(metrics.spearman("x", "y"), 9).alias("value"),
+    )
+
+
 @query("rmse", flag_sql("sqrt(avg((x - y) ** 2))"))
 def rmse(spark, sf_dir):
     return per_flag(spark, sf_dir, metrics.rmse(F.col("x"), F.col("y")))

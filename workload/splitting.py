@@ -43,6 +43,46 @@ def take_subset(spark, sf_dir):
     return splits.take_subset(docs, 64, ["doc_id"])
 
 
+def null_key(name):
+    """A key that is null in one row."""
+    return F.when(F.col(name) > 0, F.col(name))
+
+
+@query(
+    "take_subset_null_key",
+    """
+    with keyed as (select doc_id, nullif(doc_id, 0) as key from documents)
+    select doc_id from (
+      select doc_id, row_number() over (
+        order by sha256('42|' || coalesce(key::varchar, '')), key) as r from keyed)
+    where r <= 150
+    """,
+)
+def take_subset_null_key(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", null_key("doc_id").alias("key"))
+    return splits.take_subset(docs, 150, ["key"]).select("doc_id")
+
+
+@query(
+    "cap_splits_null_split",
+    f"""
+    with named as (select o_orderkey, nullif(trim({ORDER_SPLIT}), 'test') as split
+                   from orders)
+    select o_orderkey, split from (
+      select *, row_number() over (partition by split
+                 order by sha256('42|' || o_orderkey), o_orderkey) as r from named)
+    where split is null or r <= 300
+    """,
+)
+def cap_splits_null_split(spark, sf_dir):
+    """Rows without a split have no cap of their own and all stay."""
+    named = published_orders(spark, sf_dir)
+    split = F.when(F.col("split") != "test", F.col("split"))
+    sizes = {"train": 300, "validation": 300}
+    return splits.cap_splits(named.withColumn("split", split), sizes, ["o_orderkey"])
+
+
 @query(
     "shuffle_rows",
     "select o_orderkey, sha256('5|' || o_orderkey) as shuffle_key from orders",
@@ -216,6 +256,21 @@ def indexed_rows(spark, sf_dir):
     return global_index(rows, ["c_mktsegment", "c_custkey"]).drop("c_mktsegment")
 
 
+@query(
+    "global_index_by_null",
+    """
+    select c_custkey, row_number() over (
+             partition by nullif(c_mktsegment, 'BUILDING') order by c_custkey) - 1
+             as row_index
+    from customer
+    """,
+)
+def indexed_by_null(spark, sf_dir):
+    segment = F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", segment)
+    return global_index(rows, ["c_custkey"], by=["segment"]).drop("segment")
+
+
 @query(
     "subset_iterations",
     """
