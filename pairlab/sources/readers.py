@@ -53,7 +53,7 @@ READERS = {
     "jsonl": read_jsonl,
     "json": read_json,
     "csv": lambda spark, path, schema=None: read_csv(spark, path),
-    "parquet": lambda spark, path, schema=None: spark.read.parquet(path),
+    "parquet": lambda spark, path, schema=None: spark.read.load(path, "parquet"),
     "orc": lambda spark, path, schema=None: spark.read.orc(path),
     "table": lambda spark, path, schema=None: spark.table(path),
 }
@@ -76,24 +76,39 @@ def read_splits(
     return result
 
 
+def _inside(folder: str, files: str | Sequence[str]) -> list[str]:
+    """Files or patterns of a dataset's folder."""
+    listed = [files] if isinstance(files, str) else files
+    return [f"{folder}/{name}" for name in listed]
+
+
 def read_source(
     spark: SparkSession, source: Mapping, key: Sequence[str] = ()
 ) -> DataFrame:
     """The scan a recipe's ``source`` block names. A DataFrame under ``data``
     stands for itself.
 
-    ``split`` picks one published split, ``name[start:stop]`` a row range of it
-    in the order of ``key``.
+    ``config`` or ``name`` picks a folder of the dataset, ``data_files`` files or
+    patterns in it, by split if it is a mapping. ``split`` picks one published
+    split, ``name[start:stop]`` a row range of it in the order of ``key``.
     """
     if source.get("data") is not None:
         df = source["data"]
     else:
         kind = str(source.get("type", "table")).lower()
         schema = source.get("schema")
-        if source.get("files") is not None:
-            df = read_splits(spark, kind, source["files"], schema)
+        files, path = source.get("files"), source.get("path") or source.get("dataset")
+        # A named configuration is a folder of the dataset.
+        part = source.get("config") or source.get("name")
+        path = f"{path}/{part}" if part else path
+        chosen = source.get("data_files")
+        if isinstance(chosen, Mapping):
+            files = {split: _inside(path, own) for split, own in chosen.items()}
+        elif chosen is not None:
+            path = _inside(path, chosen)
+        if files is not None:
+            df = read_splits(spark, kind, files, schema)
         else:
-            path = source.get("path") or source.get("dataset")
             df = READERS[kind](spark, path, schema)
     if source.get("split") is None:
         return df

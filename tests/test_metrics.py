@@ -133,7 +133,7 @@ def test_evaluation(spark):
 @pytest.mark.parametrize(
     ("options", "message"),
     [
-        ({"metrics": ["bleu"]}, "No metrics named"),
+        ({"metrics": ["bleu"]}, "bleu is none of"),
         ({"metrics": []}, "needs a list"),
         ({"metrics": ["token_f1"], "primary_metric": "exact_match"}, "not among"),
         ({"k": 1}, "does not know"),

@@ -131,29 +131,32 @@ GOOD = {
 }
 
 BAD = [
-    ("dataset_name", None, "`dataset_name` is missing"),
+    ("dataset_name", None, "dataset_name` is missing"),
     ("extra", 1, "`recipe` does not know"),
-    ("source.type", "xml", "`source.type`: no reader"),
+    ("source.type", "xml", "source.type`: no reader"),
     ("source.files", {"train": "x"}, "either `path` or `files`"),
     ("source.append", {"train": []}, "list of sources"),
     ("source.append", {"train": [{"type": "csv", "path": "y", "append": {}}]}, "cannot append"),
     ("source.max_examples", "many", "is no number"),
     ("split.strategy", "random", "is none of"),
-    ("split.splits", {}, "`split` does not know"),
+    ("source.streaming", True, "lazily"),
+    ("source.revision", "main", "no revisions"),
+    ("source.trust_remote_code", True, "no code"),
+    ("split.splits", {}, "split` does not know"),
     ("split.ratios", {"valid": "x"}, "is no number"),
     ("mapping.type", "code", "only templates are known"),
-    ("mapping.completion_template", None, "completion_template`: expected a template"),
+    ("mapping.completion_template", None, "completion_template` is missing"),
     ("mapping.prompt_parts", None, "has neither"),
     ("mapping.prompt_parts", ["{a"], "no valid template"),
     ("mapping.prompt_parts", [{"template": "x", "unless": 1}], "does not know"),
-    ("mapping.computed_fields", {"c": {"upper": "x"}}, "is none of"),
+    ("mapping.computed_fields", {"c": {"upper": "x"}}, "does not know"),
     ("mapping.computed_fields", {"c": {"first_non_empty": []}}, "list of paths"),
     ("mapping.computed_fields", {"c": {"format_choices": {}}}, "text_field"),
     ("mapping.computed_fields", {"c": {"lookup_index": {"index": "i"}}}, "nothing to look up in"),
     ("mapping.computed_fields", {"c": {"lookup_index": {"labels": []}}}, "index` is missing"),
-    ("filters.max_words", 3, "`filters` does not know"),
+    ("filters.max_words", 3, "filters` does not know"),
     ("filters.exclude_prompt_hashes", {"sources": [" "]}, "expected a path or a table"),
-    ("filters.token_supervision", {"enabled": True}, "max_seq_length` is needed"),
+    ("filters.token_supervision", {"enabled": True}, "needs `max_seq_length`"),
 ]
 
 
