@@ -16,7 +16,8 @@ from ..functions.paths import quoted
 from ..functions.text import as_text, prompt_hash, strip
 from .joins import join_unique
 
-DEFAULT_MAX_FEATURE_BYTES = 4 * 1024**3
+#: Off: Spark never holds the features in one place. Set a number to refuse more.
+DEFAULT_MAX_FEATURE_BYTES = 0
 
 
 def limit_or_none(value: int | None) -> int | None:

@@ -3,9 +3,9 @@
 With ``K = X X'`` the dual solution and the Nystrom solution are both linear in
 the features, so a fitted model is one weight per feature and a prediction one
 dot product. Fitting needs only sums over rows: every task folds its rows into
-one small matrix, these are added up on the executors, and the driver solves a
-system of at most ``MAX_SOLVE`` unknowns. Nothing of size rows x rows exists
-unless the rows are that few.
+one matrix, these are added up on the executors, and the driver solves a system
+of at most ``MAX_SOLVE`` unknowns. With more features it takes steps of conjugate
+gradients instead, each a pass over the rows. Nothing of size rows x rows exists.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import quoted
+from ..session import materialize
 from .filters import check_features
 from .splits import take_subset
 from .vectors import lists_of, matrix_of
@@ -29,9 +30,15 @@ from .vectors import lists_of, matrix_of
 # Numerical guards.
 CLIP = 1e12
 RELATIVE_JITTER = 1e-12
+EIGENVALUE_FLOOR = 1e-12
+RELATIVE_EIGENVALUE_FLOOR = 1e-10
+
 MAX_SOLVE = 4096
 MAX_LANDMARK_BYTES = 1024**3
-FEATURE_BLOCK = 65_536
+#: Residual over right side at which conjugate gradients end.
+CG_TOLERANCE = 1e-10
+#: Features of one Arrow batch in a pass over wide vectors.
+BATCH_BYTES = 64 * 1024**2
 
 
 @dataclass(frozen=True)
@@ -77,7 +84,7 @@ def multiply(
                 continue
             at = batch.schema.get_field_index(features)
             with np.errstate(all="ignore"):
-                values = tame(matrix_of(batch.column(at)) @ shared.value)
+                values = tame(tame(matrix_of(batch.column(at))) @ shared.value)
             columns = [*batch.columns, *[pa.array(v) for v in values.T]]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
@@ -150,7 +157,8 @@ def normal_equations(
     features: str = "features",
     basis: np.ndarray | None = None,
 ) -> NormalEquations:
-    """Fold all rows into X'X and X'Y, of ``features`` or of ``features @ basis``."""
+    """Fold all rows into X'X and X'Y, of ``features`` or of ``features @ basis``.
+    Non-finite values are tamed row by row, so that one doesn't spoil the sums."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(basis)
     count = len(targets)
@@ -161,13 +169,10 @@ def normal_equations(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = matrix_of(batch.column(0))
+            x = tame(matrix_of(batch.column(0)))
             if shared.value is not None:
-                x = x @ shared.value
-            y = np.column_stack(
-                [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
-            )
-            part = x.T @ np.hstack([x, y])
+                x = tame(x @ shared.value)
+            part = x.T @ np.hstack([x, _columns(batch.columns[1:])])
             total = part if total is None else total + part
             rows += len(x)
             squares += float((x * x).sum())
@@ -176,7 +181,9 @@ def normal_equations(
 
     columns = [quoted(t).cast("double").alias(f"y{n}") for n, t in enumerate(targets)]
     slim = df.select(quoted(features).alias("x"), *columns)
-    sums = _sum_rows(slim.mapInArrow(run, PARTIAL))
+    # A task's sums don't shrink with its rows: tasks follow cores, not splits.
+    cores = spark.sparkContext.defaultParallelism
+    sums = _sum_rows(slim.coalesce(cores).mapInArrow(run, PARTIAL))
     if -1 not in sums:
         raise ValueError("No rows to fit.")
     rows, squares = sums.pop(-1)
@@ -192,82 +199,104 @@ def fit_dual(
     features: str = "features",
     key: Sequence[str] = ("pair_id",),
 ) -> LinearKernelModel:
-    """Ridge on the full kernel.
+    """Ridge on the full kernel, for any number of rows and features.
 
-    Up to ``MAX_SOLVE`` features the equivalent system over features is solved,
-    for any number of rows. Longer vectors need at most ``MAX_SOLVE`` rows, whose
-    kernel is summed over blocks of features. Beyond both use ``fit_nystrom``.
+    The dual solution equals the ridge system over features. Up to ``MAX_SOLVE``
+    features that system is folded in one pass and solved; beyond, conjugate
+    gradients solve it with one pass of X'(Xw) over the written rows per step, so
+    that neither X'X nor XX' is ever held. Both give the solution to within
+    ``CG_TOLERANCE``. Non-finite features and targets are tamed row by row first.
     """
-    rows, dim = check_features(df, features)
+    _, dim = check_features(df, features)
     if dim <= MAX_SOLVE:
         sums = normal_equations(df, targets, features)
-        penalty = sums.rows * ridge_lambda
-        jitter = RELATIVE_JITTER * max(sums.squares / max(sums.rows, 1) + penalty, 1.0)
-        system = sums.gram + (penalty + jitter) * np.eye(dim)
-        weights = _solve(system, sums.moments)
-    elif rows <= MAX_SOLVE:
-        weights = _fit_rows(df, targets, ridge_lambda, features, key)
+        system = sums.gram + _ridge(sums.rows, sums.squares, ridge_lambda) * np.eye(dim)
+        weights, rows = _solve(system, sums.moments), sums.rows
+        details = {"rows": rows}
     else:
-        raise ValueError(
-            f"Dual fit of {rows} rows with {dim} features exceeds {MAX_SOLVE} "
-            "unknowns either way. Use the Nystrom fit or project the features."
-        )
-    return LinearKernelModel("dual", weights, ridge_lambda, {"rows": rows})
+        weights, details = _conjugate_gradients(df, targets, features, ridge_lambda, dim)
+    return LinearKernelModel("dual", weights, ridge_lambda, details)
 
 
-def _fit_rows(
-    df: DataFrame,
-    targets: Sequence[str],
-    ridge_lambda: float,
-    features: str,
-    key: Sequence[str],
-) -> np.ndarray:
-    """Few rows with long vectors: the rows x rows kernel is the sum of the
-    kernels of feature blocks, each of which one task holds."""
-    names = [quoted(t).cast("double").alias(f"y{n}") for n, t in enumerate(targets)]
-    few = df.select(F.struct(*key).alias("k"), *names).orderBy("k").toPandas()
-    n = len(few)
-    place = df.sparkSession.createDataFrame(
-        [(*row, i) for i, row in enumerate(few["k"])], _key_schema(df, key)
-    )
-    starts = F.sequence(F.lit(0), F.size(quoted(features)) - 1, F.lit(FEATURE_BLOCK))
-    blocks = (
-        df.join(F.broadcast(place), list(key))
-        .select("place", quoted(features).alias("x"), F.explode(starts).alias("start"))
-        .select(
-            "place",
-            "start",
-            F.slice("x", F.col("start") + 1, F.lit(FEATURE_BLOCK)).alias("x"),
-        )
-    )
+def _ridge(rows: int, squares: float, ridge_lambda: float) -> float:
+    penalty = rows * ridge_lambda
+    return penalty + RELATIVE_JITTER * max(squares / max(rows, 1) + penalty, 1.0)
 
-    def kernel(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        x = matrix_of(table["x"])
-        return pa.Table.from_batches(_partial_rows((0, tame(x @ x.T))))
-
-    partials = blocks.groupBy("start").applyInArrow(kernel, PARTIAL)
-    sums = _sum_rows(partials)
-    gram = np.vstack([sums[i] for i in range(n)])
-    system = 0.5 * (gram + gram.T) + n * ridge_lambda * np.eye(n)
-    jitter = RELATIVE_JITTER * max(float(np.trace(system)) / n, 1.0)
-    rhs = few[[f"y{i}" for i in range(len(targets))]].to_numpy()
-    alpha = _solve(system + jitter * np.eye(n), rhs)
-
-    def weigh(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        start = table["start"][0].as_py()
-        return pa.Table.from_batches(
-            _partial_rows((start, matrix_of(table["x"]).T @ alpha))
-        )
 
-    weights = _sum_rows(blocks.groupBy("start").applyInArrow(weigh, PARTIAL))
-    return np.vstack([weights[i] for i in sorted(weights)])
+def _passes(
+    df: DataFrame, features: str, count: int, dim: int, weights: np.ndarray | None
+) -> tuple[np.ndarray, int, float]:
+    """X'(X w), or X'y without weights, with the row count and the sum of squares:
+    one pass, a matrix of features x targets from each task."""
+    shared = df.sparkSession.sparkContext.broadcast(weights)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dim, count))
+        rows = squares = 0.0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = tame(matrix_of(batch.column(0)))
+            if shared.value is None:
+                right = _columns(batch.columns[1:])
+            else:
+                right = x @ shared.value
+            total += x.T @ right
+            rows += len(x)
+            squares += float((x * x).sum())
+        if rows:
+            yield from _partial_rows((0, total.T), (-1, np.array([[rows, squares]])))
+
+    # A task's sums are as large as one row: tasks follow cores, not splits.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    sums = _sum_rows(df.coalesce(cores).mapInArrow(run, PARTIAL))
+    if -1 not in sums:
+        raise ValueError("No rows to fit.")
+    rows, squares = sums.pop(-1)
+    return np.vstack([sums[i] for i in range(count)]).T, int(rows), float(squares)
 
-def _key_schema(df: DataFrame, key: Sequence[str]) -> T.StructType:
-    place = T.StructField("place", T.IntegerType())
-    return T.StructType([*[df.schema[k] for k in key], place])
+
+def _conjugate_gradients(
+    df: DataFrame,
+    targets: Sequence[str],
+    features: str,
+    ridge_lambda: float,
+    dim: int,
+) -> tuple[np.ndarray, dict]:
+    columns = [quoted(t).cast("double").alias(f"y{n}") for n, t in enumerate(targets)]
+    stored = materialize(df.select(quoted(features).alias("x"), *columns))
+    bound = max(1, BATCH_BYTES // (8 * dim))
+    stored = bounded_batches(stored, bound)
+    count = len(targets)
+    rhs, rows, squares = _passes(stored, "x", count, dim, None)
+    ridge = _ridge(rows, squares, ridge_lambda)
+    weights, residual = np.zeros((dim, count)), rhs.copy()
+    direction, norm = residual.copy(), (residual**2).sum(axis=0)
+    least, steps = CG_TOLERANCE**2 * np.maximum(norm, 1e-300), 0
+    while steps < min(dim, rows) + 50 and (norm > least).any():
+        image = _passes(stored, "x", count, dim, direction)[0] + ridge * direction
+        curve = (direction * image).sum(axis=0)
+        pace = np.where(curve > 0, norm / np.where(curve > 0, curve, 1.0), 0.0)
+        weights += pace * direction
+        residual -= pace * image
+        after = (residual**2).sum(axis=0)
+        direction = residual + direction * (after / np.maximum(norm, 1e-300))
+        norm, steps = after, steps + 1
+    return tame(weights), {"rows": rows, "steps": steps}
+
+
+def bounded_batches(df: DataFrame, rows: int) -> DataFrame:
+    """Let Arrow batches of this session hold at most ``rows`` rows from now on:
+    wide vectors, not their number, fill a worker's memory."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
+def _columns(columns: Sequence[pa.Array]) -> np.ndarray:
+    return tame(np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]))
 
 
 def _check_landmarks(count: int, dim: int) -> None:
@@ -312,7 +341,8 @@ def nystrom_basis(landmarks: np.ndarray, rank: int | None = None) -> np.ndarray:
     kernel = tame(landmarks @ landmarks.T)
     values, vectors = np.linalg.eigh(0.5 * (kernel + kernel.T))
     values, vectors = values[::-1][:rank], vectors[:, ::-1][:, :rank]
-    floor = max(1e-12, 1e-10 * max(float(values.max()), 1.0))
+    largest = max(float(values.max()), 1.0)
+    floor = max(EIGENVALUE_FLOOR, RELATIVE_EIGENVALUE_FLOOR * largest)
     return landmarks.T @ (vectors / np.sqrt(np.maximum(values, floor)))
 
 
@@ -337,7 +367,7 @@ def fit_nystrom(
         if shape[0] < 1:
             raise ValueError("No rows to take landmarks from.")
         landmarks = take_subset(df, shape[0], key, seed)
-    points = collect_landmarks(landmarks, key, features, shape)
+    points = tame(collect_landmarks(landmarks, key, features, shape))
     if len(points) > MAX_SOLVE:
         raise ValueError(f"At most {MAX_SOLVE} landmarks, got {len(points)}.")
     basis = nystrom_basis(points, rank)

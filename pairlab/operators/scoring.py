@@ -76,11 +76,7 @@ def split_unscored(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def score_deltas(base: DataFrame, adapter: DataFrame) -> DataFrame:
     """Variant minus base score, joined by pair."""
-    detail = [
-        c
-        for c in ("prompt_offset", "sequence_length", "completion_targets")
-        if c in base.columns
-    ]
+    detail = details_of(base)
     left = base.select(*KEYS, F.col("score").alias("base_score"), *detail)
     right = adapter.select(*KEYS, F.col("score").alias("adapter_score"))
     delta = (F.col("adapter_score") - F.col("base_score")).alias("score_delta")
@@ -105,11 +101,17 @@ def with_baseline(deltas: DataFrame, train: str = "train") -> DataFrame:
     return deltas.withColumn("baseline_score_delta", mean)
 
 
-def prediction_rows(deltas: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Predicted and baseline scores beside the true ones, joined by pair."""
-    joined = deltas.join(
-        predictions.select(*KEYS, "predicted_score_delta"), KEYS, "inner"
-    )
+# What a score row may carry besides the score.
+DETAILS = ("prompt_offset", "sequence_length", "completion_targets")
+
+
+def details_of(scores: DataFrame) -> list[str]:
+    return [c for c in DETAILS if c in scores.columns]
+
+
+def predicted_scores(rows: DataFrame) -> DataFrame:
+    """Predicted and baseline scores beside the true ones, from rows that hold
+    scores, deltas and the predicted delta."""
     base = F.col("base_score")
     columns = [
         *KEYS,
@@ -119,9 +121,16 @@ def prediction_rows(deltas: DataFrame, predictions: DataFrame) -> DataFrame:
         "predicted_score_delta",
         (base + F.col("predicted_score_delta")).alias("predicted_adapter_score"),
     ]
-    if "baseline_score_delta" in deltas.columns:
+    if "baseline_score_delta" in rows.columns:
         columns += [
             "baseline_score_delta",
             (base + F.col("baseline_score_delta")).alias("baseline_adapter_score"),
         ]
-    return joined.select(*columns)
+    return rows.select(*columns, *details_of(rows))
+
+
+def prediction_rows(deltas: DataFrame, predictions: DataFrame) -> DataFrame:
+    """:func:`predicted_scores` of predictions that come as a table of their own,
+    joined by pair."""
+    predicted = predictions.select(*KEYS, "predicted_score_delta")
+    return predicted_scores(deltas.join(predicted, KEYS, "inner"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import check_features, check_pairs
 from ..operators.krr import LinearKernelModel, fit
 from ..operators.metrics import DELTA_METRICS, SCORE_METRICS, evaluate_bundles
 from ..operators.projection import project_features
-from ..operators.scoring import KEYS, prediction_rows, with_baseline
+from ..operators.scoring import KEYS, details_of, predicted_scores, with_baseline
 from ..operators.splits import subset_pairs
 from ..operators.vectors import (
     FEATURES,
@@ -35,15 +35,17 @@ class ExperimentConfig:
     ridge_lambda: float = 0.01
     rank: int = 32
     num_landmarks: int = 32
-    limits: Mapping[str, int] = field(
-        default_factory=lambda: dict.fromkeys(SPLITS, 128)
-    )
+    #: Rows to take of each split; zero takes all.
+    limits: Mapping[str, int] = field(default_factory=lambda: dict.fromkeys(SPLITS, 0))
     seed: int = 42
     transformations: Sequence[str] | str | None = None
     transformation_params: Mapping[str, Mapping] | None = None
     threshold: float | None = None
     projection: str | None = None
     projection_components: int | None = None
+    task: str = ""
+    target: str = "score_delta"
+    adapter_path: str = ""
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,9 @@ def run_experiment(
     vectors = project_features(
         vectors, config.projection, config.projection_components, config.seed
     )
-    base = base_scores.select(*KEYS, F.col("score").alias("base_score"))
+    base = base_scores.select(
+        *KEYS, F.col("score").alias("base_score"), *details_of(base_scores)
+    )
     adapter = adapter_scores.select(*KEYS, F.col("score").alias("adapter_score"))
     joined = chosen
     for side in (base, adapter, vectors):
@@ -124,14 +128,12 @@ def run_experiment(
             "seed": config.seed,
         }
     model = fit(joined.where("split = 'train'"), config.method, **options)
-    predicted = model.predict(joined.select(*KEYS, "features"))
-    predictions = materialize(
-        prediction_rows(joined.drop("features"), predicted)
-    )
+    predicted = model.predict(joined).drop("features")
+    predictions = materialize(predicted_scores(predicted))
     metrics = _evaluate(predictions)
-    return ExperimentResult(
-        model, predictions, metrics, _summary(config, model, metrics, dim, params)
-    )
+    mean = predictions.select(F.max("baseline_score_delta")).scalar()
+    summary = _summary(config, model, metrics, dim, params, mean)
+    return ExperimentResult(model, predictions, metrics, summary)
 
 
 def _summary(
@@ -140,6 +142,7 @@ def _summary(
     metrics: DataFrame,
     dim: int,
     params: Mapping,
+    train_mean: Column,
 ) -> DataFrame:
     """One row shaped like the run summaries the reports read."""
 
@@ -185,6 +188,13 @@ def _summary(
         F.lit(label).alias("feature_transform_label"),
         F.lit(dim).alias("feature_dim"),
         F.lit(model.method).alias("fit_method"),
+        F.lit(config.task).alias("task"),
+        F.lit(config.target).alias("target"),
+        F.lit(config.adapter_path).alias("adapter_path"),
+        F.create_map(
+            *[F.lit(x) for k, v in model.details.items() for x in (k, int(v))]
+        ).alias("fit_details"),
+        F.struct(F.max(train_mean).alias("train_mean_delta")).alias("baseline"),
         sizes.alias("split_sizes"),
         *measures,
         *adapter,

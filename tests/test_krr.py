@@ -44,17 +44,32 @@ def test_primal_equals_dual_for_several_targets(spark):
     assert np.allclose(predicted(model, df, 2), dual_solution(x, y, 0.1), atol=1e-9)
 
 
-def test_few_rows_with_long_vectors(spark, monkeypatch):
-    monkeypatch.setattr(krr, "MAX_SOLVE", 20)
-    monkeypatch.setattr(krr, "FEATURE_BLOCK", 16)
+@pytest.mark.parametrize(("rows", "dim"), [(12, 50), (50, 12), (40, 40)])
+def test_conjugate_gradients_equal_the_dual(spark, monkeypatch, rows, dim):
+    monkeypatch.setattr(krr, "MAX_SOLVE", 5)
     rng = np.random.default_rng(2)
-    x, y = rng.normal(size=(12, 50)), rng.normal(size=(12, 1))
-    df = table(spark, x, y[:, 0])
-    model = krr.fit_dual(df, ["y0"], ridge_lambda=0.05)
-    assert np.allclose(predicted(model, df), dual_solution(x, y, 0.05), atol=1e-9)
-    monkeypatch.setattr(krr, "MAX_SOLVE", 10)
-    with pytest.raises(ValueError, match="Nystrom"):
-        krr.fit_dual(df, ["y0"])
+    x, y = rng.normal(size=(rows, dim)), rng.normal(size=(rows, 2))
+    df = table(spark, x, *y.T)
+    model = krr.fit_dual(df, ["y0", "y1"], ridge_lambda=0.05)
+    assert np.allclose(predicted(model, df, 2), dual_solution(x, y, 0.05), atol=1e-7)
+
+
+def test_bad_values_leave_the_others(spark, monkeypatch):
+    """A row with NaN counts as zero there, the same in all three fits."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6))
+    target = x @ rng.normal(size=6)
+    dirty = x.copy()
+    dirty[7, 2], dirty[9, 0] = np.nan, np.nan
+    df, clean = table(spark, dirty, target), np.nan_to_num(dirty)
+    want = dual_solution(clean, target[:, None], 0.1)
+    for most in (4096, 2):
+        monkeypatch.setattr(krr, "MAX_SOLVE", most)
+        model = krr.fit_dual(df, ["y0"], ridge_lambda=0.1)
+        assert np.allclose(predicted(model, df), want, atol=1e-7)
+    monkeypatch.setattr(krr, "MAX_SOLVE", 4096)
+    model = krr.fit_nystrom(df, ["y0"], 0.1, 60, 60)
+    assert np.allclose(predicted(model, df), want, atol=1e-6)
 
 
 def nystrom_solution(x, y, points, rank, ridge):
@@ -137,6 +152,14 @@ def test_experiment(spark, method):
     baseline = summary["eval"]["test"]["baseline"]["delta"]
     assert baseline["rmse"] == pytest.approx(rows["test"]["baseline_delta_rmse"])
     assert (summary["feature_transform_label"], summary["feature_dim"]) == ("raw", 3)
+    mean = found["score_delta"].mean()
+    assert summary["baseline"]["train_mean_delta"] == pytest.approx(mean)
+    assert summary["fit_details"]["rows"] == 30
+
+
+def test_experiment_takes_all_rows_by_default(spark):
+    result = run_experiment(*experiment_tables(spark, 450), ExperimentConfig())
+    assert result.predictions.count() == 450
 
 
 def test_experiment_with_transforms(spark):
