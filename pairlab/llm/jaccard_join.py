@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import components, documents, hinted, in_batches, rows_by
 from .shingle_sets import (
+    Order,
     candidate_forest,
     links,
-    ordered,
+    low_bits,
+    marked,
     parity_sketch,
     prefix_size,
     set_id,
@@ -23,9 +24,11 @@ from .shingle_sets import (
 )
 
 PERCENT = 80
-#: Counters of the sketch that tells frequent tokens, and of the bitmap that tells
-#: tokens of one set only. Both have these sizes whatever the data.
-SKETCH_WORDS, SEEN_BITS = 1 << 20, 1 << 26
+#: Bits of the bitmaps of tokens seen twice: eight for each such token, within
+#: these bounds (128 KB to 128 MB); classes of frequent tokens.
+LEAST_BITS, MOST_BITS, CLASSES = 1 << 20, 1 << 30, 1 << 20
+#: Tokens that fewer sets have are of the lowest class.
+FREQUENT = 16
 #: Index lists up to this length are compared pair by pair; the members of longer
 #: ones are candidates of one another untested.
 LONG_LIST = 2_048
@@ -41,162 +44,149 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (x.as_py() for x in batch.column("text").cast(pa.binary()))
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """A row (doc_id, said, set_id, size) for every document, and rows (bucket, n)
-    that count frequent tokens, together in one written table."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = np.zeros(SKETCH_WORDS, np.int64)
-        shift = np.uint64(64 - (SKETCH_WORDS.bit_length() - 1))
-        known: set[bytes] = set()
-        for batch in batches:
-            ids, sizes, buckets = [], [], []
-            for text in _texts(batch):
-                tokens = shingle_set(text)
-                digest = set_id(tokens)
-                ids.append(digest)
-                sizes.append(len(tokens))
-                if digest not in known and len(known) < KNOWN_SETS:
+def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """For each batch the sets that this partition has not shown yet."""
+    known: set[bytes] = set()
+    for batch in batches:
+        made = []
+        for text in _texts(batch):
+            tokens = shingle_set(text)
+            digest = set_id(tokens)
+            if len(tokens) and digest not in known:
+                if len(known) < KNOWN_SETS:
                     known.add(digest)
-                    buckets.append((tokens >> shift).astype(np.int64))
-            if buckets:
-                counted += np.bincount(np.concatenate(buckets), minlength=SKETCH_WORDS)
-            rows = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("said"),
-                    pa.array(ids, pa.binary()),
-                    pa.array(sizes, pa.int64()),
-                    pa.nulls(rows, pa.int32()),
-                    pa.nulls(rows, pa.int64()),
-                ],
-                names,
-            )
-        # Only what stands out here can stand out in all.
-        mean = counted.mean()
-        hot = np.flatnonzero(counted > 2 * mean + 4 * np.sqrt(mean) + 2)
-        rows = len(hot)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(rows, pa.int64()),
-                pa.nulls(rows, pa.int64()),
-                pa.nulls(rows, pa.binary()),
-                pa.nulls(rows, pa.int64()),
-                pa.array(hot, pa.int32()),
-                pa.array(counted[hot], pa.int64()),
-            ],
-            names,
-        )
+                made.append(tokens)
+        yield made
 
-    names = ["doc_id", "said", "set_id", "size", "bucket", "n"]
-    schema = (
-        "doc_id bigint, said bigint, set_id binary, size bigint, bucket int, n bigint"
-    )
-    return materialize(in_batches(df, work, schema))
 
+def _low_tokens(df: DataFrame, chosen) -> DataFrame:
+    """Low bits of the tokens that ``chosen`` takes of every set."""
 
-def _frequent(rows: DataFrame) -> np.ndarray:
-    """A class for each counter of the sketch: 0 for most, more for each doubling
-    over the mean. The order of tokens that follows from it is the same everywhere;
-    how well it tells frequent tokens only decides how long index lists are."""
-    tokens = rows.where("bucket is null").agg(F.sum("size")).head()[0] or 0
-    hot = (
-        rows.where("bucket is not null")
-        .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
-    classes = np.zeros(SKETCH_WORDS, np.uint8)
-    if hot.num_rows:
-        over = hot.column("n").to_numpy() / max(1.0, tokens / SKETCH_WORDS)
-        classes[hot.column("bucket").to_numpy()] = np.log2(1 + over).astype(np.uint8)
-    return classes
-
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in _new_sets(batches):
+            held = [low_bits(chosen(tokens)) for tokens in made]
+            flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int32())], ["low"])
 
-def _prefixes(df: DataFrame, classes, percent: int) -> DataFrame:
-    """The prefix tokens of every set, once for each set and partition."""
+    return in_batches(df, work, "low int")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()
-        for batch in batches:
-            made = []
-            for text in _texts(batch):
-                tokens = shingle_set(text)
-                digest = set_id(tokens)
-                if not len(tokens) or digest in known:
-                    continue
-                if len(known) < KNOWN_SETS:
-                    known.add(digest)
-                size = prefix_size(len(tokens), percent)
-                made.append(ordered(tokens, classes.value)[:size])
-            held = np.concatenate(made) if made else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64))], ["token"])
 
-    return in_batches(df, work, "token bigint")
+def _twice(tokens: DataFrame) -> DataFrame:
+    """The tokens that stand there more than once, with their number, as a written
+    table."""
+    counted = tokens.groupBy("low").agg(F.count("*").alias("n"))
+    return materialize(counted.where("n > 1"))
 
 
-def _seen_twice(tokens: DataFrame) -> np.ndarray:
-    """A bitmap of the tokens that stand in more than one prefix; other tokens may
-    share their bits, which costs rows and no result."""
-    bit = F.col("token").bitwiseAND(F.lit(SEEN_BITS - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))
+def _bitmap(twice: DataFrame) -> np.ndarray:
+    """A bitmap of these tokens, eight bits for each within the bounds. Where two
+    share a bit, a token is taken for one seen twice, which costs time only."""
+    wanted = 8 * twice.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, wanted - 1).bit_length()))
+    bit = F.col("low").bitwiseAND(F.lit(size - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit % 64)
     words = (
-        tokens.groupBy("token")
-        .count()
-        .where("count > 1")
-        .groupBy(F.shiftright(bit, 6).cast("int").alias("word"))
+        twice.groupBy(F.shiftright(bit, 6).alias("word"))
         .agg(F.bit_or(one).alias("bits"))
         .toArrow()
     )
-    held = np.zeros(SEEN_BITS // 64, np.int64)
+    held = np.zeros(size // 64, np.int64)
     if words.num_rows:
         held[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return held
 
 
-def _postings(df: DataFrame, classes, seen, percent: int) -> DataFrame:
-    """Rows of the index lists: (token, set_id, size, place, sketch) for prefix
-    tokens of more than one set."""
+def _classes(twice: DataFrame) -> np.ndarray:
+    """A class for each remainder of the tokens' low bits: the doublings of its most
+    frequent token over ``FREQUENT``."""
+    most = (
+        twice.where(F.col("n") >= FREQUENT)
+        .groupBy(F.col("low").bitwiseAND(F.lit(CLASSES - 1)).alias("at"))
+        .agg(F.max("n").alias("n"))
+        .toArrow()
+    )
+    held = np.zeros(CLASSES, np.uint8)
+    if most.num_rows:
+        over = most.column("n").to_numpy() / FREQUENT
+        held[most.column("at").to_numpy()] = 1 + np.log2(over).astype(np.uint8)
+    return held
+
+
+def _token_order(df: DataFrame, percent: int) -> Order:
+    """The order of tokens, from those that stand low in the sets by hash: twice as
+    many as a prefix takes, so that a set with shared passages finds enough others
+    for its prefix."""
+
+    def lowest(tokens: np.ndarray) -> np.ndarray:
+        return tokens[: 2 * prefix_size(len(tokens), percent)]
+
+    twice = _twice(_low_tokens(df, lowest))
+    return Order(_bitmap(twice), _classes(twice))
+
+
+def _sets_and_postings(df: DataFrame, order, seen, percent: int) -> DataFrame:
+    """In one written table a row (doc_id, said, set_id, size) for every document,
+    and the rows (token, set_id, size, place, sketch) of the index lists: the prefix
+    tokens that may stand in another prefix too, once for each set and partition."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         for batch in batches:
-            tokens_out, places, owners, ids, sizes, sketches = [], [], [], [], [], []
-            for text in _texts(batch):
+            ids, sizes = [], []
+            tokens_out, places, owners, sketches = [], [], [], []
+            for k, text in enumerate(_texts(batch)):
                 tokens = shingle_set(text)
                 digest = set_id(tokens)
+                ids.append(digest)
+                sizes.append(len(tokens))
                 if not len(tokens) or digest in known:
                     continue
                 if len(known) < KNOWN_SETS:
                     known.add(digest)
-                first = ordered(tokens, classes.value)
-                first = first[: prefix_size(len(tokens), percent)].view(np.int64)
-                bit = first & (SEEN_BITS - 1)
-                at = np.flatnonzero(seen.value[bit >> 6] >> (bit & 63) & 1)
+                first = order.value.first(tokens, percent)
+                at = np.flatnonzero(marked(seen.value, low_bits(first)))
                 if len(at):
-                    tokens_out.append(first[at])
+                    tokens_out.append(first[at].view(np.int64))
                     places.append(at)
-                    owners.append(np.full(len(at), len(ids)))
-                    ids.append(digest)
-                    sizes.append(len(tokens))
-                    sketches.append(parity_sketch(tokens).tobytes())
-            if not ids:
-                continue
-            owner = pa.array(np.concatenate(owners))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(tokens_out)),
-                    pc.take(pa.array(ids, pa.binary()), owner),
-                    pc.take(pa.array(sizes, pa.int64()), owner),
-                    pa.array(np.concatenate(places), pa.int64()),
-                    pc.take(pa.array(sketches, pa.binary()), owner),
-                ],
-                ["token", "set_id", "size", "place", "sketch"],
-            )
+                    owners.append(np.full(len(at), k))
+                    sketches += [parity_sketch(tokens).tobytes()] * len(at)
+            rows = len(ids)
+            of = pa.array(np.arange(rows))
+            owner = pa.array(np.concatenate([np.arange(0), *owners]), pa.int64())
+            set_ids, set_sizes = pa.array(ids, pa.binary()), pa.array(sizes, pa.int64())
+            none = np.zeros(0, np.int64)
+            for which, columns in (
+                (
+                    of,
+                    [
+                        batch.column("doc_id"),
+                        batch.column("said"),
+                        pa.nulls(rows, pa.int64()),
+                        pa.nulls(rows, pa.int64()),
+                        pa.nulls(rows, pa.binary()),
+                    ],
+                ),
+                (
+                    owner,
+                    [
+                        pa.nulls(len(owner), pa.int64()),
+                        pa.nulls(len(owner), pa.int64()),
+                        pa.array(np.concatenate([none, *tokens_out])),
+                        pa.array(np.concatenate([none, *places])),
+                        pa.array(sketches, pa.binary()),
+                    ],
+                ),
+            ):
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, set_ids.take(which), set_sizes.take(which)],
+                    ["doc_id", "said", "token", "place", "sketch", "set_id", "size"],
+                )
 
-    schema = "token bigint, set_id binary, size bigint, place bigint, sketch binary"
-    return in_batches(df, work, schema)
+    schema = (
+        "doc_id bigint, said bigint, token bigint, place bigint, sketch binary, "
+        "set_id binary, size bigint"
+    )
+    return materialize(in_batches(df, work, schema))
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
@@ -400,9 +390,9 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``percent`` per cent of the union, exactly, whatever the number of copies:
 
     1. Equal sets are one set, told by 128 bits.
-    2. Similar sets share a token among their first ones in an order that puts
-       frequent tokens last, so only those prefixes are shuffled, and of these only
-       tokens that two sets have.
+    2. Similar sets share a token among their first ones in any common order. Here
+       tokens that other sets have come late in it, so most prefixes hold nothing
+       shared, and only tokens that two prefixes have become index lists.
     3. An index list connects the sets on it that may be similar by size, place and
        a sketch that can't overestimate their difference. No pairs leave the task,
        only a spanning forest.
@@ -416,12 +406,15 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     texts = documents(df).withColumn("said", F.xxhash64("text"))
-    rows = _sets(texts)
-    sets = rows.where("bucket is null").select("doc_id", "said", "set_id", "size")
-    classes = context.broadcast(_frequent(rows))
     plain = texts.select("text")
-    seen = context.broadcast(_seen_twice(_prefixes(plain, classes, percent)))
-    postings = _postings(plain, classes, seen, percent)
+    order = context.broadcast(_token_order(plain, percent))
+    prefixes = _low_tokens(plain, lambda tokens: order.value.first(tokens, percent))
+    seen = context.broadcast(_bitmap(_twice(prefixes)))
+    rows = _sets_and_postings(texts, order, seen, percent)
+    sets = rows.where("token is null").select("doc_id", "said", "set_id", "size")
+    postings = rows.where("token is not null").select(
+        "token", "set_id", "size", "place", "sketch"
+    )
     near = components(spark, materialize(_candidates(postings, percent)))
     per_set = sets.groupBy("set_id", "size").agg(
         F.min("doc_id").alias("first"), F.count("*").alias("copies")

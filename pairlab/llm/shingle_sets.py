@@ -69,10 +69,36 @@ def prefix_size(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1
 
 
-def ordered(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Tokens in the global order: rare classes first, then by hash."""
-    shift = _U(64 - int(len(classes) - 1).bit_length())
-    return tokens[np.lexsort((tokens, classes[tokens >> shift]))]
+class Order:
+    """A global order of tokens in which shared ones come late: tokens that no other
+    set has shown first, then the others, frequent ones last, else by hash.
+
+    ``shared`` is a bitmap and ``classes`` an array by the tokens' low bits. Both
+    are of bounded size and may take a token for a shared one, which moves it in
+    every set alike: any order gives right results, a good one short index lists.
+    """
+
+    def __init__(self, shared: np.ndarray, classes: np.ndarray) -> None:
+        self.shared, self.classes = shared, classes
+
+    def first(self, tokens: np.ndarray, percent: int) -> np.ndarray:
+        """The prefix of a set given by its sorted tokens."""
+        low = low_bits(tokens)
+        late = marked(self.shared, low).astype(np.uint8)
+        late += late * self.classes[low & (len(self.classes) - 1)]
+        by_class = np.argsort(late, kind="stable")
+        return tokens[by_class[: prefix_size(len(tokens), percent)]]
+
+
+def low_bits(tokens: np.ndarray) -> np.ndarray:
+    """31 bits of each token."""
+    return (tokens & _U(0x7FFFFFFF)).astype(np.int64)
+
+
+def marked(bitmap: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which of these numbers a bitmap of 64-bit words holds."""
+    bit = low & (64 * len(bitmap) - 1)
+    return (bitmap[bit >> 6] >> (bit & 63) & 1).astype(bool)
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
