@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import quoted
 from ..functions.text import as_text, prompt_hash, strip
-from .joins import join_unique
+from .joins import join_same, join_unique
 
 #: Off: Spark never holds the features in one place. Set a number to refuse more.
 DEFAULT_MAX_FEATURE_BYTES = 0
@@ -57,9 +57,9 @@ def exceeds_chars(prompt: Column, completion: Column, limits: PairFilters) -> Co
 
 
 def prompt_hashes(df: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Exclusion set: the distinct hashes of normalised prompts."""
+    """Hashes of normalised prompts; :func:`tag_pairs` makes them distinct."""
     text = as_text(quoted(prompt), df.schema[prompt].dataType)
-    return df.select(prompt_hash(text).alias("prompt_hash")).distinct()
+    return df.select(prompt_hash(text).alias("prompt_hash"))
 
 
 def supervision_counts(
@@ -98,8 +98,9 @@ def tag_pairs(
         tagged = tagged.withColumn("is_excluded", F.lit(False))
     else:
         # Half the size as bytes.
-        marked = excluded.select(F.unhex("prompt_hash").alias("_hash")).distinct()
-        marked = marked.withColumn("_hit", F.lit(True))
+        marked = excluded.groupBy(F.unhex("prompt_hash").alias("_hash")).agg(
+            F.lit(True).alias("_hit")
+        )
         tagged = tagged.withColumn("_hash", F.unhex(prompt_hash(F.col("prompt"))))
         tagged = join_unique(tagged, marked, ["_hash"]).drop("_hash")
         hit = F.coalesce("_hit", F.lit(False))
@@ -109,7 +110,8 @@ def tag_pairs(
     if filters.counts_tokens:
         if full_length is None or prompt_length is None:
             raise ValueError("Token supervision needs the two token count columns.")
-        # Excluded rows never reach the token counter.
+        # Spark runs a Python counter on every row whatever stands around it: the
+        # caller hands it nulls for excluded rows, which it can skip.
         seen = ~F.col("is_excluded")
         counts = supervision_counts(
             F.when(seen, full_length),
@@ -139,9 +141,13 @@ def kept_pairs(tagged: DataFrame, keep: Sequence[str] = ("split",)) -> DataFrame
 
 
 def filter_stats(
-    tagged: DataFrame, filters: PairFilters, by: str = "split"
+    tagged: DataFrame,
+    filters: PairFilters,
+    by: str = "split",
+    splits: Sequence[str] = (),
 ) -> DataFrame:
-    """Counts and extremes per split, in one map-side combined aggregation."""
+    """Counts and extremes per split, in one map-side combined aggregation. Each of
+    ``splits`` has a row: without pairs its counts are zero and nothing is seen."""
     seen = ~F.col("is_excluded")
     prompt_chars, completion_chars = F.length("prompt"), F.length("completion")
 
@@ -176,7 +182,15 @@ def filter_stats(
                 "zero_supervision_examples"
             ),
         ]
-    return tagged.groupBy(by).agg(*columns)
+    stats = tagged.groupBy(by).agg(*columns)
+    if not splits:
+        return stats
+    wanted = tagged.sparkSession.createDataFrame([(s,) for s in splits], f"{by} string")
+    # Bounded: one row per split.
+    stats = join_same(wanted, stats, [by], "left", small=True)
+    seen_only = [c for c in stats.columns if c.endswith("_seen")]
+    counts = [c for c in stats.columns if c != by and c not in seen_only]
+    return stats.fillna(0, subset=counts)
 
 
 def _blank_reason() -> Column:

@@ -89,7 +89,9 @@ def test_overlap_and_lcs_against_brute_force(spark, pairs):
 def test_lcs_of_long_texts():
     left = [str(i % 97) for i in range(3000)]
     right = [str(i % 89) for i in range(2500)]
-    assert textmetrics._lcs(left, right) == lcs(left, right)
+    codes = [np.array([int(w) for w in words]) for words in (left, right)]
+    assert textmetrics._lcs(*codes) == lcs(left, right)
+    assert textmetrics._lcs(codes[0], codes[0]) == 3000
 
 
 def scored(spark, metric, prediction, reference):

@@ -57,7 +57,10 @@ def test_append_to_a_split(spark):
 def test_caps_per_split(spark):
     split = {"ratios": {"valid": 0.2, "test": 0.2}, "max_examples_per_split": {"train": 3, "test": 0}}
     found = prepare(spark, recipe(questions(spark, 20), split=split), ["id"])
-    assert counts(found) == {"train": 3, "valid": 4}
+    assert counts(found) == {"train": 3, "valid": 4, "test": 0}
+    row = {r["split"]: r for r in found.stats().collect()}["test"]
+    assert (row["seen"], row["skipped"], row["max_prompt_chars_seen"]) == (0, 0, None)
+    assert found.metadata().head()["split_counts"] == {"train": 3, "valid": 4, "test": 0}
 
 
 def test_excluded_prompts(spark, tmp_path):

@@ -109,6 +109,55 @@ def fit_dual(spark, sf_dir):
     return by_flag(krr.fit_dual(rows, ridge_lambda=0.01, key=LINE_KEY), rows)
 
 
+@query(
+    "fit_dual_nonfinite",
+    RIDGE.replace("l_discount as a", "case when l_linenumber % 5 > 0 then l_discount else 0.0::double end as a"),
+)
+def fit_dual_nonfinite(spark, sf_dir):
+    """A feature that is NaN in a fifth of the rows counts as zero there."""
+    rows = priced_lines(spark, sf_dir)
+    known = F.when(F.col("l_linenumber") % 5 > 0, F.get("features", F.lit(0)))
+    bad = F.array(known.otherwise(F.lit(float("nan"))), F.get("features", F.lit(1)))
+    rows = rows.withColumn("features", bad)
+    return by_flag(krr.fit_dual(rows, ridge_lambda=0.01, key=LINE_KEY), rows)
+
+
+WIDE = 4200
+
+
+@query(
+    "fit_dual_wide",
+    f"""
+    with rows as (select c_nationkey, c_custkey % {WIDE} as feature, c_acctbal / 1000 as y
+                  from customer),
+    fitted as (select feature, sum(y) / (count(*) + (select count(*) from rows) * 0.01)
+                 as predicted from rows group by feature)
+    select c_nationkey, count(*) as n, round(avg(predicted), 6) as predicted,
+           round(max(predicted), 6) as highest
+    from rows join fitted using (feature) group by c_nationkey
+    """,
+)
+def fit_dual_wide(spark, sf_dir):
+    """One feature for each remainder of the key: the ridge has a closed form."""
+    one = F.transform(
+        F.sequence(F.lit(0), F.lit(WIDE - 1)),
+        lambda i: (i == F.col("c_custkey") % WIDE).cast("float"),
+    )
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        "c_nationkey",
+        (F.col("c_acctbal") / 1000).alias("score_delta"),
+        one.alias("features"),
+    )
+    model = krr.fit_dual(rows, ridge_lambda=0.01, key=["c_custkey"])
+    found = model.predict(rows, names=["predicted"])
+    return found.groupBy("c_nationkey").agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("predicted"), 6).alias("predicted"),
+        F.round(F.max("predicted"), 6).alias("highest"),
+    )
+
+
 # With two features two independent landmarks span everything, so the Nystrom
 # solution is the exact one.
 @query("fit_nystrom", RIDGE)
