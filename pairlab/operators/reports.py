@@ -561,17 +561,38 @@ def baseline_from_predictions(
     )
 
 
+def baseline_errors(predictions: DataFrame, means: DataFrame) -> DataFrame:
+    """RMSE of the train mean per run and split, from one aggregate over the
+    predictions: the variance plus the squared distance of the means. ``means`` as
+    in :func:`baseline_from_predictions`."""
+    value = finite(F.col("score_delta"))
+    moments = predictions.groupBy("run_name", "split").agg(
+        F.avg(value).alias("_mean"), F.var_pop(value).alias("_variance")
+    )
+    moments = moments.where("_mean is not null")
+    train = moments.where("split = 'train'")
+    known = (
+        means.select("run_name", F.col("train_mean_delta").alias("_stored"))
+        .join(train.select("run_name", F.col("_mean").alias("_train")), "run_name", "full")
+        .select("run_name", F.coalesce("_stored", "_train").alias("_guess"))
+    )
+    apart = F.col("_mean") - F.col("_guess")
+    return moments.join(known, "run_name").select(
+        "run_name", "split", F.sqrt(F.col("_variance") + apart * apart).alias("rmse")
+    )
+
+
 def attach_baselines(runs: DataFrame, predictions: DataFrame) -> DataFrame:
     """Baseline RMSE and RMSE gain on valid and test, stored values first,
     recomputed from predictions where there are none."""
     stored = nested_number(runs, "baseline.train_mean_delta")
     means = runs.select("run_name", stored.alias("train_mean_delta"))
-    computed = baseline_from_predictions(predictions, means)
-    by_run = (
-        computed.groupBy("run_name")
-        .pivot("split", ["valid", "test"])
-        .agg(F.max("delta_rmse"))
-        .withColumnsRenamed({"valid": "_valid", "test": "_test"})
+    errors = baseline_errors(predictions, means)
+    by_run = errors.groupBy("run_name").agg(
+        *[
+            F.max(F.when(F.col("split") == split, F.col("rmse"))).alias(f"_{split}")
+            for split in ("valid", "test")
+        ]
     )
     joined = runs.join(by_run, "run_name", "left")
     result = {}

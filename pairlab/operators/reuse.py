@@ -21,9 +21,9 @@ def fingerprint(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> Da
     folds are combined on the map side and every partitioning gives the same.
     """
     parts = [
-        F.concat(F.length(text).cast("string"), F.lit(":"), text)
-        for name in [*key, *columns]
-        for text in [F.coalesce(quoted(name).cast("string"), F.lit("\x00"))]
+        # A length and a text, or a mark that no length is.
+        F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+        for text in [quoted(name).cast("string") for name in [*key, *columns]]
     ]
     digest = F.sha2(F.concat_ws("|", *parts), 256)
 
@@ -45,7 +45,8 @@ def table_digest(
     """Hex digest of a record set together with the parameters that shape what is
     computed from it."""
     row = fingerprint(df, key, columns).head().asDict()
-    text = json.dumps({"records": row, "params": dict(params)}, sort_keys=True)
+    names = {"key": list(key), "columns": list(columns)}
+    text = json.dumps({"records": row, "params": dict(params)} | names, sort_keys=True)
     return hashlib.sha256(text.encode()).hexdigest()
 
 

@@ -11,9 +11,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..session import materialize
 from .filters import DEFAULT_MAX_FEATURE_BYTES, check_feature_bytes, check_features
+from .joins import join_same
 from .projection import prepare_features
 from .splits import take_subset
 from .vectors import matrix_of
@@ -80,6 +81,7 @@ def nearest_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = shared.value
         best: list[tuple | None] = [None] * len(points)
+        least = np.full(len(points), np.inf)
         for batch in batches:
             ids = batch.column(0)
             x = matrix_of(batch.column(1))
@@ -87,15 +89,17 @@ def nearest_rows(
             for start in range(0, len(x), step):
                 part = x[start : start + step]
                 near = _distances(part, points)
-                # Rounding of the fast form must not decide a tie.
-                lowest = near.min(axis=0)
+                # Rounding of the fast form must not decide a tie: all rows within
+                # it of a centre's least distance are measured exactly.
                 slack = 1e-9 * (1.0 + (part * part).sum(axis=1).max())
-                for c in range(len(points)):
-                    for r in np.flatnonzero(near[:, c] <= lowest[c] + slack):
-                        exact = float(((part[r] - points[c]) ** 2).sum())
-                        found = (exact, ids[int(start + r)].as_py())
+                bound = np.minimum(near.min(axis=0), least) + slack
+                rows, centres_near = np.nonzero(near <= bound)
+                exact = ((part[rows] - points[centres_near]) ** 2).sum(axis=1)
+                for r, c, d in zip(rows, centres_near, exact, strict=True):
+                    if d <= least[c]:
+                        found = (float(d), ids[int(start + r)].as_py())
                         if best[c] is None or found < best[c]:
-                            best[c] = found
+                            best[c], least[c] = found, d
         rows = [(c, b[1], b[0]) for c, b in enumerate(best) if b is not None]
         if rows:
             yield pa.RecordBatch.from_pylist(
@@ -160,18 +164,16 @@ def representative_ids(
 ) -> DataFrame:
     """Exactly ``count`` row ids: the rows nearest to the centres once each,
     filled up with the rows closest to their own centre."""
-    nearest = nearest_rows(df, centres, row_id, features).select(row_id).distinct()
-    spare = own_centre(df, centres, row_id, features).join(
-        F.broadcast(nearest), row_id, "left_anti"
+    vectors = materialize(df.select(row_id, features))
+    nearest = nearest_rows(vectors, centres, row_id, features).select(row_id)
+    nearest = materialize(nearest.distinct())
+    missing = count - nearest.count()
+    spare = join_same(
+        own_centre(vectors, centres, row_id, features), nearest, [row_id], "left_anti"
     )
-    # Top-k: at most ``count`` candidates, as many as there are centres.
-    spare = spare.orderBy("distance", row_id).limit(count)
-    order = Window.partitionBy(F.lit(0)).orderBy("distance", row_id)
-    taken = nearest.select(F.count(F.lit(1))).scalar()
-    fill = spare.withColumn("_r", F.row_number().over(order)).where(
-        F.col("_r") <= F.lit(count) - taken
-    )
-    return nearest.unionByName(fill.select(row_id))
+    # Top-k: fewer rows than there are centres.
+    fill = spare.orderBy("distance", row_id).limit(missing).select(row_id)
+    return nearest.unionByName(fill)
 
 
 def select_by_kmeans(
@@ -195,7 +197,7 @@ def select_by_kmeans(
     check_feature_bytes(total, dim, max_bytes)
     centres = kmeans_centres(features, max_example, seed, n_init, max_iter)
     chosen = representative_ids(features, centres, max_example, row_id)
-    return rows.join(F.broadcast(chosen), row_id, "left_semi")
+    return join_same(rows, chosen, [row_id], "left_semi")
 
 
 Selector = Callable[..., DataFrame]

@@ -34,12 +34,16 @@ def shared_path(spark: SparkSession, suffix: str = "") -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _filesystem(spark, path)
+    files.delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables written so far. Only for when no DataFrame
     that reads them is used any more."""
     while _written:
-        files, place = _filesystem(spark, _written.pop())
-        files.delete(place, True)
+        delete(spark, _written.pop())
 
 
 def materialize(df: DataFrame) -> DataFrame:

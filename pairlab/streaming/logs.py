@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.runlogs import parse_log_lines, summarize_events
+from ..session import delete
 
 
 def stream_lines(
@@ -71,10 +72,14 @@ def write_summaries(
     summaries: DataFrame, path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
     """Keep the table at ``path`` equal to the summaries so far. Each batch writes
-    the whole result, so repeating a batch changes nothing."""
+    the whole result as a version of its own, so readers always find a complete
+    one, and repeating a batch changes nothing; see :func:`read_summaries`."""
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+        # The last one stays for those who are reading it.
+        if number > 1:
+            delete(batch.sparkSession, f"{path}/version={number - 2}")
 
     writer = (
         summaries.writeStream.foreachBatch(store)
@@ -82,3 +87,10 @@ def write_summaries(
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a summary table."""
+    versions = spark.read.parquet(path)
+    newest = versions.select(F.max("version")).scalar()
+    return versions.where(F.col("version") == newest).drop("version")

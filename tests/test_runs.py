@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from pairlab import session
 from pairlab.operators import compare, reports, reuse, runlogs, scoring
 from pairlab.session import shared_dir
 from pairlab.streaming import logs
@@ -262,7 +264,8 @@ def test_streamed_logs(spark, tmp_path):
     assert len(rows) == 6
     assert {r["source_phase"] for r in rows} == {"train"}
     assert all(r["timestamp"][10] == "T" for r in rows)
-    assert spark.read.parquet(str(tmp_path / "sums")).head().asDict() == EXPECTED
+    assert logs.read_summaries(spark, str(tmp_path / "sums")).head().asDict() == EXPECTED
+    assert len(list((tmp_path / "sums").glob("version=*"))) <= 2
 
 
 def test_summaries_are_assembled(spark):
@@ -278,14 +281,18 @@ def test_summaries_are_assembled(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-
-    def session(master):
-        context = SimpleNamespace(master=master, applicationId="a1")
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
-
-    assert shared_dir(session("local[2]")) == shared_dir(session("local[2]"))
-    with pytest.raises(RuntimeError, match="checkpoint.dir"):
-        shared_dir(session("yarn"))
+    held = {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: held.get(k, d)))
+    assert shared_dir(unset) == "hdfs://x/warehouse/_pairlab"
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    made = session.materialize(spark.range(5))
+    assert made.count() == 5
+    folder = Path(session.shared_dir(spark)) / "pairlab"
+    assert list(folder.iterdir())
+    session.release(spark)
+    assert not list(folder.iterdir())
 
 
 def test_adapter_lookup(spark):

@@ -290,15 +290,22 @@ def exact_match(spark, sf_dir):
 @query(
     "sql_exact_match",
     """
-    select page_id, 1.0::double as sql_exact_match from pages
+    select page_id, coalesce((lower(url) = lower(case
+             when page_id % 3 = 0 then url || ' limit 1'
+             when page_id % 3 = 1 then url else 'None' end))::int, 0)::double
+             as sql_exact_match
+    from pages
     """,
 )
 def sql_exact_match(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     shown = F.concat(F.lit("\n"), F.upper("url"), F.lit(";; "))
+    third = F.col("page_id") % 3
+    other = F.when(third == 0, F.concat("url", F.lit(" limit 1")))
+    other = other.when(third == 1, F.col("url"))
     return pages.select(
         "page_id",
-        textmetrics.sql_exact_match(shown, F.col("url")).alias("sql_exact_match"),
+        textmetrics.sql_exact_match(shown, other).alias("sql_exact_match"),
     )
 
 

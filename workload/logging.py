@@ -226,4 +226,4 @@ def stream_summaries(spark, sf_dir):
         logs.live_summaries(events), f"{root}/summaries", f"{root}/state", once=True
     )
     running.awaitTermination()
-    return spark.read.parquet(f"{root}/summaries")
+    return logs.read_summaries(spark, f"{root}/summaries")
