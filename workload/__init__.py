@@ -10,6 +10,7 @@ from . import (  # noqa: F401 - importing registers the queries
     preparing,
     rendering,
     reporting,
+    sources,
     splitting,
     vectors,
 )
