@@ -268,6 +268,34 @@ def test_streamed_logs(spark, tmp_path):
     assert len(list((tmp_path / "sums").glob("version=*"))) <= 2
 
 
+def test_growing_logs_are_followed(spark, tmp_path):
+    """Lines come at the end of a file already read, and in a second one."""
+    file, other = tmp_path / "logs" / "r" / "a.log", tmp_path / "logs" / "s" / "b.log"
+    for one in (file, other):
+        one.parent.mkdir(parents=True)
+    lines = LINES.splitlines()
+    out, state = str(tmp_path / "events"), str(tmp_path / "state")
+
+    def poll():
+        return logs.poll_events(spark, str(tmp_path / "logs"), out, state, "train")
+
+    file.write_text("\n".join(lines[:2]) + "\n")
+    assert (poll(), poll()) == (2, 0)
+    with file.open("a") as more:
+        more.write("\n".join(lines[2:]) + "\n")
+    other.write_text(lines[0] + "\n")
+    assert (poll(), poll()) == (len(lines) - 1, 0)
+    schema = logs.stream_events(logs.read_lines(spark, str(tmp_path / "logs")), "x").schema
+    found = spark.read.schema(schema).json(out)
+    assert found.where("run_name = 'r'").count() == 6
+    assert found.where("run_name = 's'").count() <= 1
+    summary = runlogs.summarize_events(found.where("run_name = 'r'").drop("version"))
+    got = summary.head().asDict()
+    assert {k: got[k] for k in EXPECTED if k in got and k != "run_name"} == {
+        k: v for k, v in EXPECTED.items() if k in got and k != "run_name"
+    }
+
+
 def test_summaries_are_assembled(spark):
     runs = spark.createDataFrame([("r", "d"), ("s", "d")], "run_name string, dataset_name string")
     tasks = spark.createDataFrame([("r", "f1", 0.25)], "run_name string, metric_name string, metric_value double")
