@@ -32,9 +32,9 @@ FREQUENT = 16
 #: Index lists up to this length are compared pair by pair; the members of longer
 #: ones are candidates of one another untested.
 LONG_LIST = 2_048
-#: Sets that a task compares with one another. More candidates are cut into blocks,
-#: and every pair of blocks is a task.
-BLOCK_SETS = 2_048
+#: Sets and tokens that a task compares with one another. More candidates are cut
+#: into blocks, and every pair of blocks is a task.
+BLOCK_SETS, BLOCK_TOKENS = 2_048, 2_000_000
 #: Sets that a partition remembers having written.
 KNOWN_SETS = 500_000
 
@@ -282,22 +282,21 @@ def _members(
 ) -> DataFrame:
     """The sets that have candidates, once each, as (key, side, set_id, tokens):
     for small components one key, for larger ones a key for each pair of blocks."""
-    sizes = labels.groupBy("root").agg(F.count("*").alias("members"))
     reps = sets.groupBy("set_id").agg(
-        F.min(F.struct("doc_id", "said")).alias("one")
+        F.min(F.struct("doc_id", "said")).alias("one"), F.max("size").alias("size")
     )
-    placed = (
-        labels.join(sizes, "root")
-        .join(reps, F.col("node") == F.col("set_id"))
-        .select("root", "members", "set_id", "one.doc_id", "one.said")
+    known = materialize(labels.join(reps, F.col("node") == F.col("set_id")))
+    loads = F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_TOKENS)
+    blocks = known.groupBy("root").agg(F.ceil(loads).cast("int").alias("blocks"))
+    placed = known.join(blocks, "root").select(
+        "root", "blocks", "set_id", "one.doc_id", "one.said"
     )
     wanted = hinted(materialize(placed), 120)
     texts = df.join(
         wanted.withColumnRenamed("doc_id", "one_doc"),
         "said",
     ).where(F.col("doc_id").eqNullSafe(F.col("one_doc")))
-    blocks = F.ceil(F.col("members") / BLOCK_SETS).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(
@@ -305,8 +304,7 @@ def _members(
         ),
     )
     spread = (
-        texts.withColumn("blocks", blocks)
-        .withColumn("block", own)
+        texts.withColumn("block", own)
         .withColumn("pair", F.explode(pair))
         .select("root", "pair.i", "pair.j", "block", "set_id", "text")
     )
@@ -356,8 +354,8 @@ def _verified(members: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
             if len(ids) < 2:
                 continue
             weight = np.array([rows[k][2] for k in ids], np.int64)
-            edges, partners = links(sets, split, percent)
-            linked = [k for k, p in enumerate(partners) if len(p)]
+            edges, degrees = links(sets, split, percent, weight)
+            linked = np.flatnonzero(degrees).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[a] for a, _ in edges], pa.binary()),
@@ -370,7 +368,7 @@ def _verified(members: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
                 [
                     pa.array([ids[k] for k in linked], pa.binary()),
                     pa.nulls(len(linked), pa.binary()),
-                    pa.array([int(weight[partners[k]].sum()) for k in linked], pa.int64()),
+                    pa.array(degrees[linked], pa.int64()),
                 ],
                 ["a", "b", "n"],
             )

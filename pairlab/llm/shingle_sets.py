@@ -155,10 +155,10 @@ def candidate_forest(
 
 
 def links(
-    sets: list[np.ndarray], split: int | None, percent: int
-) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    sets: list[np.ndarray], split: int | None, percent: int, weights: np.ndarray
+) -> tuple[list[tuple[int, int]], np.ndarray]:
     """All similar pairs among ``sets``, or between those before and from ``split``:
-    a spanning forest of them, and each set's partners.
+    a spanning forest of them, and the sum of the weights of each set's partners.
 
     Sets are taken in order of size. Index lists hold them in that order, so that
     only the block with fitting sizes is read of each list. The overlaps of a set
@@ -168,8 +168,6 @@ def links(
     total = len(sets)
     sizes = np.array([len(x) for x in sets])
     order = np.lexsort((np.array([int(x[0]) for x in sets], _U), sizes))
-    rank = np.empty(total, np.int64)
-    rank[order] = np.arange(total)
     sizes = sizes[order]
     flat = np.concatenate([sets[k] for k in order])
     _, tokens = np.unique(flat, return_inverse=True)
@@ -187,7 +185,7 @@ def links(
         return np.concatenate(held) if held else np.zeros(0, np.int64)
 
     forest, edges = Forest(total), []
-    partners: list[list[int]] = [[] for _ in range(total)]
+    weights, degrees = weights[order], np.zeros(total, np.int64)
     counts, before = None, None
     for k in range(total):
         lost = new = None
@@ -208,11 +206,12 @@ def links(
         fit = (100 + percent) * common >= percent * both
         if side is not None:
             fit &= side[block] != side[k]
-        for j in np.flatnonzero(fit) + block.start:
-            partners[k].append(int(j))
-            partners[j].append(k)
-            if forest.join(int(j), k):
+        partners = np.flatnonzero(fit) + block.start
+        degrees[k] += weights[partners].sum()
+        degrees[partners] += weights[k]
+        for j in partners.tolist():
+            if forest.join(j, k):
                 edges.append((int(order[j]), int(order[k])))
-    return edges, [
-        np.sort(order[np.array(partners[rank[k]], np.int64)]) for k in range(total)
-    ]
+    placed = np.empty(total, np.int64)
+    placed[order] = degrees
+    return edges, placed

@@ -77,10 +77,14 @@ def test_links_by_definition(percent):
             and 100 * len(np.intersect1d(sets[a], sets[b]))
             >= percent * len(np.union1d(sets[a], sets[b]))
         }
-        edges, partners = shingle_sets.links(sets, split, percent)
-        got = {(a, int(b)) for a, p in enumerate(partners) for b in p if b < a}
+        # Sums of powers of two tell all partners.
+        weights = np.array([1 << k for k in range(40)], np.int64)
+        edges, degrees = shingle_sets.links(sets, split, percent, weights)
+        got = {(a, b) for a in range(40) for b in range(a) if degrees[a] >> b & 1}
         assert got == want
         assert {(max(e), min(e)) for e in edges} <= want
+        linked = {a for e in want for a in e}
+        assert {a for e in edges for a in e} == linked
 
 
 def test_shingles_by_definition():
