@@ -140,6 +140,38 @@ def kept_pairs(tagged: DataFrame, keep: Sequence[str] = ("split",)) -> DataFrame
     return tagged.where("is_kept").select(*[quoted(c) for c in names])
 
 
+def stat_columns(filters: PairFilters, rows: Column) -> dict[str, Column]:
+    """What is counted and seen of the tagged pairs for which ``rows`` holds. The
+    names are fixed: other tools read them."""
+    seen = rows & ~F.col("is_excluded")
+    prompt_chars, completion_chars = F.length("prompt"), F.length("completion")
+
+    def largest(value: Column) -> Column:
+        return F.max(F.when(seen, value)).cast("bigint")
+
+    columns = {
+        "seen": F.count_if(rows),
+        "kept": F.count_if(rows & F.col("is_kept")),
+        "skipped": F.count_if(rows & ~F.col("is_kept")),
+        "skipped_excluded_prompt_hash": F.count_if(rows & F.col("is_excluded")),
+        "skipped_char_limits": F.count_if(seen & F.col("over_char_limits")),
+        "skipped_token_supervision": F.count_if(seen & F.col("below_supervision")),
+        "max_prompt_chars_seen": largest(prompt_chars),
+        "max_completion_chars_seen": largest(completion_chars),
+        "max_total_chars_seen": largest(prompt_chars + completion_chars),
+    }
+    if filters.counts_tokens:
+        full, supervised = F.col("full_length"), F.col("supervised_tokens")
+        columns |= {
+            "max_sequence_tokens_seen": largest(full),
+            "max_prompt_tokens_seen": largest(F.col("prompt_length")),
+            "min_supervised_tokens_seen": F.min(F.when(rows, supervised)).cast("bigint"),
+            "truncated_examples": F.count_if(seen & (full > filters.max_seq_length)),
+            "zero_supervision_examples": F.count_if(seen & (supervised == 0)),
+        }
+    return columns
+
+
 def filter_stats(
     tagged: DataFrame,
     filters: PairFilters,
@@ -148,48 +180,14 @@ def filter_stats(
 ) -> DataFrame:
     """Counts and extremes per split, in one map-side combined aggregation. Each of
     ``splits`` has a row: without pairs its counts are zero and nothing is seen."""
-    seen = ~F.col("is_excluded")
-    prompt_chars, completion_chars = F.length("prompt"), F.length("completion")
-
-    def largest(value: Column, name: str) -> Column:
-        return F.max(F.when(seen, value)).cast("bigint").alias(name)
-
-    columns = [
-        F.count(F.lit(1)).alias("seen"),
-        F.count_if("is_kept").alias("kept"),
-        F.count_if(~F.col("is_kept")).alias("skipped"),
-        F.count_if("is_excluded").alias("skipped_excluded_prompt_hash"),
-        F.count_if(seen & F.col("over_char_limits")).alias("skipped_char_limits"),
-        F.count_if(seen & F.col("below_supervision")).alias(
-            "skipped_token_supervision"
-        ),
-        largest(prompt_chars, "max_prompt_chars_seen"),
-        largest(completion_chars, "max_completion_chars_seen"),
-        largest(prompt_chars + completion_chars, "max_total_chars_seen"),
-    ]
-    if filters.counts_tokens:
-        full = F.col("full_length")
-        columns += [
-            largest(full, "max_sequence_tokens_seen"),
-            largest(F.col("prompt_length"), "max_prompt_tokens_seen"),
-            F.min("supervised_tokens")
-            .cast("bigint")
-            .alias("min_supervised_tokens_seen"),
-            F.count_if(seen & (full > filters.max_seq_length)).alias(
-                "truncated_examples"
-            ),
-            F.count_if(seen & (F.col("supervised_tokens") == 0)).alias(
-                "zero_supervision_examples"
-            ),
-        ]
-    stats = tagged.groupBy(by).agg(*columns)
+    columns = stat_columns(filters, F.lit(True))
+    stats = tagged.groupBy(by).agg(*[c.alias(n) for n, c in columns.items()])
     if not splits:
         return stats
     wanted = tagged.sparkSession.createDataFrame([(s,) for s in splits], f"{by} string")
     # Bounded: one row per split.
     stats = join_same(wanted, stats, [by], "left", small=True)
-    seen_only = [c for c in stats.columns if c.endswith("_seen")]
-    counts = [c for c in stats.columns if c != by and c not in seen_only]
+    counts = [c for c in columns if not c.endswith("_seen")]
     return stats.fillna(0, subset=counts)
 
 

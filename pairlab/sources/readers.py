@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import BLANK_CLASS
+from ..operators.joins import join_unique
 from ..operators.ordering import global_index, rows_between
 
 LINE_INDEX = "line_index"
@@ -131,8 +132,8 @@ def number_lines(df: DataFrame, name: str = LINE_INDEX) -> DataFrame:
     ``df`` must be a fresh text scan. Lines of one file block are read in order
     by one task, so a line's place inside its block is its id minus the block's
     first id; a count per block gives the blocks' offsets. Only one small row
-    per input block (128 MB by default) is aggregated and broadcast, about
-    25 MB for 100 TB.
+    per input block (128 MB by default) is aggregated and, if its measured size
+    allows, broadcast: about 25 MB for 100 TB.
     """
     scanned = df.select(
         "*",
@@ -150,7 +151,7 @@ def number_lines(df: DataFrame, name: str = LINE_INDEX) -> DataFrame:
     )
     earlier = F.coalesce(F.sum("_lines").over(before), F.lit(0))
     blocks = blocks.select("_file", "_start", (earlier - F.col("_first")).alias("_off"))
-    placed = scanned.join(F.broadcast(blocks), ["_file", "_start"])
+    placed = join_unique(scanned, blocks, ["_file", "_start"], "inner")
     return placed.withColumn(name, F.col("_id") + F.col("_off")).drop(
         "_file", "_start", "_id", "_off"
     )

@@ -237,3 +237,14 @@ def test_exclusion_joins_agree(spark, monkeypatch):
         tagged = filters.tag_pairs(df, filters.PairFilters(), filters.prompt_hashes(seen))
         found.append(sorted(r["id"] for r in tagged.where("is_kept").collect()))
     assert found[0] == found[1] == [i for i in range(1, 200, 2) if i != 7]
+
+
+def test_a_write_counts_the_statistics(spark, tmp_path):
+    split = {"ratios": {"valid": 0.2, "test": 0.2}, "max_examples_per_split": {"test": 0}}
+    made = recipe(questions(spark, 20), split=split, filters={"max_prompt_chars": 2})
+    found = prepare(spark, made, ["id"])
+    counted = sorted(map(tuple, found.stats().collect()))
+    columns = found.stats().columns
+    found.write(str(tmp_path / "out"))
+    assert found.counted is not None and found.stats().columns == columns
+    assert sorted(map(tuple, found.stats().collect())) == counted

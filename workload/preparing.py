@@ -365,22 +365,54 @@ def prepared_stats(spark, sf_dir):
     return prepare(spark, recipe_of(spark, sf_dir), ["doc_id"]).stats()
 
 
+STORED = {
+    "seen": "count(*) filter (split = '{0}')",
+    "kept": "count(*) filter (split = '{0}' and not excluded and not long)",
+    "skipped_excluded_prompt_hash": "count(*) filter (split = '{0}' and excluded)",
+    "skipped_char_limits": "count(*) filter (split = '{0}' and not excluded and long)",
+    "max_total_chars_seen": (
+        "max(length(prompt) + length(completion)) "
+        "filter (split = '{0}' and not excluded)"
+    ),
+}
+STORED_SQL = ",\n".join(
+    f"{sql.format(split)} as {split}_{name}"
+    for split in ("train", "valid", "test")
+    for name, sql in STORED.items()
+)
+
+
 @query(
     "dataset_metadata",
     RECIPE
-    + """
+    + f"""
     select 'documents' as dataset_name, 'unknown' as source_dataset, 42 as seed,
-           count(*) filter (split = 'train') as train_rows,
-           count(*) filter (split = 'valid') as valid_rows,
-           count(*) filter (split = 'test') as test_rows
-    from tagged where not excluded and not long
+           0::bigint as none_seen, 0::bigint as none_kept,
+           count(*) filter (not excluded and not long) as rows, {STORED_SQL}
+    from tagged
     """,
 )
 def metadata(spark, sf_dir):
+    """What is stored of each split, and of one without pairs."""
     prepared = prepare(spark, recipe_of(spark, sf_dir), ["doc_id"])
-    row = dataset_metadata(prepared.stats(), "documents", "unknown", 42)
-    counts = [
-        F.col("split_counts").getItem(s).alias(f"{s}_rows")
-        for s in ("train", "valid", "test")
+    splits = (*prepared.splits, "none")
+    stats = filters.filter_stats(prepared.tagged, prepared.filters, splits=splits)
+    row = dataset_metadata(stats, "documents", "unknown", 42)
+    counts, stored = F.col("split_counts"), F.col("filter_stats")
+    columns = [
+        stored[split][name].alias(f"{split}_{name}")
+        for split in prepared.splits
+        for name in STORED
     ]
-    return row.select("dataset_name", "source_dataset", "seed", *counts)
+    kept = F.aggregate(
+        F.map_values(counts), F.lit(0).cast("bigint"), lambda a, x: a + x
+    )
+    return row.select(
+        "dataset_name",
+        "source_dataset",
+        "seed",
+        stored["none"]["seen"].alias("none_seen"),
+        counts["none"].alias("none_kept"),
+        kept.alias("rows"),
+        *columns,
+    )
