@@ -66,8 +66,8 @@ def later_windows(windows: DataFrame) -> DataFrame:
     Equal means the same 128 bits. The first of each is found by a map-side
     combined minimum, so a window that a third of all documents hold is one row
     per task before it is shuffled. The firsts of windows that occur twice are
-    written; if their size allows they are broadcast, and no window is shuffled,
-    else adaptive execution splits the windows' side of the join where it is skewed.
+    written, so that the join has exchanges of its own and adaptive execution can
+    split the windows' side where it is skewed.
     """
     place = F.struct("doc_id", "pos")
     firsts = (
@@ -77,7 +77,7 @@ def later_windows(windows: DataFrame) -> DataFrame:
         .select("h1", "h2", "first")
     )
     return (
-        windows.join(hinted(materialize(firsts), 48), ["h1", "h2"])
+        windows.join(materialize(firsts), ["h1", "h2"])
         .where(place > F.col("first"))
         .select("doc_id", "pos", "last", F.col("first.doc_id").alias("first_doc"))
     )
