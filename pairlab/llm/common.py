@@ -49,14 +49,10 @@ def in_batches(
     return df.mapInArrow(work, schema)
 
 
-def small(df: DataFrame, row_bytes: int) -> bool:
-    """Whether a stored table fits a broadcast."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
-
-
 def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
     """A stored table, to be broadcast if its counted size allows."""
-    return F.broadcast(df) if small(df, row_bytes) else df
+    small = df.count() * row_bytes <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -102,12 +98,6 @@ def merged(pairs: Column) -> Column:
     return F.aggregate(F.array_sort(pairs), empty, add)
 
 
-def attach(df: DataFrame, side: DataFrame, key: str, row_bytes: int) -> DataFrame:
-    """Left join of a side with one row per key: stored once, broadcast if small,
-    else shuffled."""
-    return df.join(hinted(materialize(side), row_bytes), key, "left")
-
-
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (the smallest node reachable) for every node of
     ``edges`` (a, b).

@@ -109,7 +109,7 @@ def _record_id(page_id: Column) -> Column:
     )
 
 
-def record_text(row_number: Column | None = None) -> Column:
+def record_text() -> Column:
     """A capture as the text of a WARC record. Line ends in a url are escaped; a
     revisit carries the HTTP headers only."""
     line, revisit = F.lit("\r\n"), F.col("refers_to").isNotNull()
