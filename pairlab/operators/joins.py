@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.paths import quoted
 from ..session import materialize
@@ -16,20 +15,6 @@ MAX_BROADCAST_BYTES = 256 * 1024**2
 ROW_OVERHEAD = 64
 
 
-def _hashable(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.ArrayType):
-        return _hashable(dtype.elementType)
-    if isinstance(dtype, T.StructType):
-        return all(_hashable(field.dataType) for field in dtype.fields)
-    return not isinstance(dtype, (T.MapType, T.VariantType))
-
-
-def spread(df: DataFrame, salts: int) -> Column:
-    """Salt of a row, a pure function of it: a recomputed row keeps its salt."""
-    fields = [f.name for f in df.schema.fields if _hashable(f.dataType)]
-    return F.pmod(F.xxhash64(*[quoted(c) for c in fields]), F.lit(salts))
-
-
 def join_same(
     df: DataFrame,
     side: DataFrame,
