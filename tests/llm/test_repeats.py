@@ -85,6 +85,37 @@ def test_long_sentence_repeats(spark):
     assert [r.doc_id for r in repeats.dedup_sentences(df).collect()] == [2]
 
 
+def test_passage_behind_foreign_words_in_one_sentence(spark):
+    passage = " ".join(f"word{k * k}" for k in range(51))
+    rows = [(0, f"{passage} and an end of its own")]
+    rows += [(n, " ".join([f"own{n}x{k}" for k in range(n)] + [passage])) for n in range(1, 13)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in repeats.dedup_sentences(df).collect()}
+    assert {k: r.first_docs[0] for k, r in found.items()} == dict.fromkeys(range(1, 13), 0)
+    assert all(r.text.startswith(f"own{k}x0 ") for k, r in found.items())
+
+
+@pytest.mark.parametrize("words", [3, 40, 5000])
+def test_shared_words_hold_a_common_run(words):
+    rnd = random.Random(words)
+
+    def some(n):
+        ends = ["", "", "", "", "", "", "", ".", "!\n"]
+        return " ".join(f"w{rnd.randrange(words)}" + rnd.choice(ends) for _ in range(n))
+
+    for _ in range(300):
+        passage = some(51).rstrip(".!\n") + " end"
+        texts = [f"{some(rnd.randint(1, 30))} {passage} {some(rnd.randint(1, 30))}" for _ in "ab"]
+        one, two = ({h for h, _, _ in repeats.text_runs(t)} for t in texts)
+        assert one & two
+
+
+def test_same_words_have_bounded_parts():
+    parts = repeats.sentence_parts("a " * 100)
+    assert sum(p[3] for p in parts) == 100
+    assert all(0 < p[3] <= repeats.CUT_WORDS for p in parts)
+
+
 def runs_by_definition(rows):
     seen, gone = {}, {}
     for doc_id, text in sorted(rows):
