@@ -142,24 +142,15 @@ def _bitmap(grams: DataFrame) -> str:
     return json.dumps(held, separators=(",", ":"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id``, ``item_id``, ``similarity`` and ``position`` (of the best
-    window's first word) for every document that holds a copy of an item.
+def text_hash(text: Column) -> list[Column]:
+    """128 bits of a text, in two halves."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
-    Windows of as many shingles as an item has are taken at every word where a
-    shingle of an item of that size stands: another window shares nothing with the
-    item, or less than the one that starts at its first shared shingle. Their
-    fingerprints meet the items' in the block index, which finds all within
-    ``RADIUS`` bits; candidates are kept if the weighted Jaccard similarity of
-    their shingles (each with its number of times) is at least 0.8. At a text's end
-    windows are shorter.
 
-    Null and empty texts hold nothing and match nothing, nor do items without a
-    word; an item of fewer than five words equals only a text that is these words.
-    Repeated rows of a document count once, rows without a ``doc_id`` under null;
-    of equal windows the first is named. Empty tables give none. Only ``doc_id``,
-    ``item_id`` and ``text`` are read.
-    """
+def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id``, ``t1``, ``t2`` (the text's hash), ``item_id``, ``similarity`` and
+    ``position`` of every window that is a copy of an item: see
+    :func:`contaminated`."""
     items = pick(benchmark, item_id="item_id", text="text").select(
         F.col("item_id").cast("bigint").alias("item_id"),
         shingles(F.col("text")).alias("item_sh"),
@@ -199,13 +190,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
 
     texts = pick(docs, doc_id="doc_id", text="text").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text"
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        *text_hash(F.col("text")),
+        "text",
     )
+    row = ["doc_id", "t1", "t2"]
     windows = (
-        texts.select("doc_id", F.explode(let(shingles(F.col("text")), starts)).alias("w"))
-        .select("doc_id", "w.*")
+        texts.select(*row, F.explode(let(shingles(F.col("text")), starts)).alias("w"))
+        .select(*row, "w.*")
         .join(hinted(grams, 40), "h")
-        .select("doc_id", "position", "m", F.expr("slice(window, 1, m)").alias("window"))
+        .select(*row, "position", "m", F.expr("slice(window, 1, m)").alias("window"))
         .withColumn("fp", simhash(F.col("window"), longest))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
         .withColumn("value", _block(F.col("fp"), F.col("block")))
@@ -221,10 +215,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = (
         windows.join(hinted(index, 64), ["m", "block", "value"])
         .where((F.bit_count(differ) <= RADIUS) & first)
-        .select("doc_id", "position", "window", "item_id", "item_fp")
+        .select(*row, "position", "window", "item_id", "item_fp")
     )
     texts_of = items.select(F.col("item_id").alias("own"), "item_fp", "item_sh")
-    candidates = (
+    return (
         near.join(texts_of.withColumnRenamed("item_fp", "own_fp"), [
             F.col("item_id").eqNullSafe(F.col("own")),
             F.col("item_fp") == F.col("own_fp"),
@@ -234,7 +228,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where(100 * F.col("common") >= PERCENT * F.col("all"))
         .withColumn("similarity", F.col("common") / F.col("all"))
     )
-    return candidates.groupBy("doc_id", "item_id").agg(
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id``, ``item_id``, ``similarity`` and ``position`` (of the best
+    window's first word) for every document that holds a copy of an item.
+
+    Windows of as many shingles as an item has are taken at every word where a
+    shingle of an item of that size stands: another window shares nothing with the
+    item, or less than the one that starts at its first shared shingle. Their
+    fingerprints meet the items' in the block index, which finds all within
+    ``RADIUS`` bits; candidates are kept if the weighted Jaccard similarity of
+    their shingles (each with its number of times) is at least 0.8. At a text's end
+    windows are shorter.
+
+    Null and empty texts hold nothing and match nothing, nor do items without a
+    word; an item of fewer than five words equals only a text that is these words.
+    Repeated rows of a document count once, rows without a ``doc_id`` under null;
+    of equal windows the first is named. Empty tables give none. Only ``doc_id``,
+    ``item_id`` and ``text`` are read.
+    """
+    return candidates(docs, benchmark).groupBy("doc_id", "item_id").agg(
         F.max("similarity").alias("similarity"),
         F.max_by("position", F.struct("similarity", -F.col("position"))).alias(
             "position"
@@ -243,12 +257,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``df``, with all columns, that hold no copy of an item. Rows
-    without a ``doc_id`` stay only if none of them holds one."""
-    found = contaminated(df, benchmark).select("doc_id").distinct()
-    found = hinted(materialize(found), 16).withColumnRenamed("doc_id", "found_doc")
+    """The rows of ``df``, with all columns, whose text holds no copy of an item.
+    Each row with a text is judged by it, also without a ``doc_id`` or with one that
+    other rows have. A row whose text is null has nothing to be judged by and goes
+    with any other row of its ``doc_id``, or of none."""
+    found = candidates(df, benchmark).select("doc_id", "t1", "t2").distinct()
+    found = materialize(found)
+    no_text = text_hash(F.lit(None).cast("string"))
+    found = found.union(found.select("doc_id", *no_text)).distinct()
+    found = hinted(found, 32).withColumnRenamed("doc_id", "found_doc")
     names = [f"c{i}" for i in range(len(df.columns))]
-    doc_id = names[df.columns.index("doc_id")]
+    doc_id, text = (names[df.columns.index(c)] for c in ("doc_id", "text"))
     placed = df.toDF(*names)
-    same = placed[doc_id].cast("bigint").eqNullSafe(found["found_doc"])
+    h1, h2 = text_hash(placed[text])
+    same = (
+        placed[doc_id].cast("bigint").eqNullSafe(found["found_doc"])
+        & (h1 == found["t1"])
+        & (h2 == found["t2"])
+    )
     return placed.join(found, same, "left_anti").toDF(*df.columns)

@@ -88,6 +88,18 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert d.drop_contaminated(odd_documents, benchmark.limit(0)).count() == 10
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    item = "One two three four five six seven"
+    rows = [(None, item), (None, "clean text stays"), (None, ""), (3, item)]
+    rows += [(3, "other words of three"), (3, f"so {item}"), (4, item.upper())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = d.drop_contaminated(docs, benchmark).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(
+        [(None, "clean text stays"), (None, ""), (3, "other words of three")], key=repr
+    )
+
+
 def test_no_python_in_plan(spark, planted):
     docs, items = planted
     found = d.contaminated(rows_of(spark, docs, "doc_id"), rows_of(spark, items, "item_id"))
