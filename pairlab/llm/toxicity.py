@@ -2,9 +2,10 @@
 Nyström landmarks, trained on sentences of labelled documents.
 
 The kernel counts common subsequences of three characters, each weighted by a decay
-for every character skipped, so that ``idxiot`` or ``i.d.i.o.t`` still resemble
-``idiot``. A sentence is judged by its most suspicious word, a document by its most
-suspicious sentence. The decision is a sum over landmarks of kernel values, hence
+for every character skipped, so that ``idxiot``, ``i.d.i.o.t`` or ``id iot`` still
+resemble ``idiot``. A sentence is judged by its most suspicious piece, a document by
+its most suspicious sentence; pieces are the words and all pairs of neighbours, the
+blank between them a character to skip. The decision is a sum over landmarks of kernel values, hence
 linear in the weighted subsequences; it is folded into one weight for each of
 ``CLASSES`` ** 3 subsequences, which gives the same numbers at a bounded cost for
 each word.
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,9 @@ CLASSES = 64
 PIECE = 20
 #: Words kept with their margins in a Python worker.
 KNOWN_WORDS = 300_000
-#: Log odds, less two standard errors, from which a word makes a sentence toxic.
-SUSPICIOUS = 0.5
-#: Share of the worst word's odds that it needs too.
-NEAR_WORST = 0.25
+#: Log odds, less so many standard errors, from which a word or pair makes a
+#: sentence toxic. Many are tried, so few may get there by chance.
+SUSPICIOUS, ERRORS = 0.5, 3
 
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
 _JUNK = re.compile(r"[\W_]+")
@@ -106,9 +107,13 @@ def features(word: str) -> np.ndarray:
 def views(word: str) -> list[str]:
     """What is scored of a word between blanks: its letters and digits joined, and
     their runs where there are several; the same with digits read as letters;
-    long ones in overlapping pieces."""
+    long ones in overlapping pieces. Of a pair, its words'
+    letters and digits with a blank between them and without."""
     if word.isalpha():
         found = [word]
+    elif " " in word:
+        runs = [_JUNK.sub("", x) for x in word.split(" ")]
+        found = [" ".join(runs), "".join(runs)] if all(runs) else []
     else:
         runs = [x for x in _JUNK.split(word) if x]
         found = ["".join(runs), *(runs if len(runs) > 1 else [])]
@@ -126,9 +131,12 @@ def views(word: str) -> list[str]:
 
 
 def text_words(text: str) -> set[str]:
-    """Distinct lower-case words, and words spelt with blanks between letters."""
+    """Distinct lower-case words, pairs of neighbours within a sentence, and words
+    spelt with blanks between letters."""
     text = text.lower()
-    found = set(text.split())
+    said = text.split()
+    found = set(said)
+    found.update([f"{a} {b}" for a, b in pairwise(said) if a[-1] not in ".!?"])
     found.update(m[0].replace(" ", "") for m in _SPACED.finditer(text))
     return found
 
@@ -267,13 +275,16 @@ def _landmarks(
 
 
 def disguised(words: list[tuple[str, int]], count: int) -> list[tuple[str, int]]:
-    """The most frequent words with a character inserted at each inner place."""
+    """The most frequent words with a character inserted at each inner place, also
+    a blank."""
     made = []
     for word, n in words[:count]:
         inner = range(1, len(word)) if 4 <= len(word) <= PIECE else ()
         for place in inner:
-            other = "xzvj"[place % 4]
-            made.append((word[:place] + other + word[place:], max(1, n // 20)))
+            # A blank that cuts off one letter alone is left to the other signs.
+            cut = " " if " " not in word and 2 <= place <= len(word) - 2 else ""
+            for other in filter(None, ("xzvj"[place % 4], cut)):
+                made.append((word[:place] + other + word[place:], max(1, n // 20)))
     return made
 
 
@@ -339,7 +350,12 @@ def training_sentences(sample: DataFrame) -> DataFrame:
 
 
 def _sentence_words(sentence: str) -> set[str]:
-    return {v for w in text_words(sentence) for v in views(w) if len(v) >= 3}
+    found = set()
+    for word in text_words(sentence):
+        # A pair is learned with its blank only; joined, most hold another insult.
+        own = views(word)[:1] if " " in word else views(word)
+        found.update(v for v in own if len(v) >= 3)
+    return found
 
 
 def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[str, int]]:
@@ -350,7 +366,7 @@ def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[str, int]]:
 
 def _word_odds(sentences: DataFrame) -> DataFrame:
     """``word``, ``clean`` (sentences) and ``z``: log odds of the sentences that
-    hold it to be toxic, less two standard errors."""
+    hold it to be toxic, less ``ERRORS`` standard errors."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,7 +392,7 @@ def _word_odds(sentences: DataFrame) -> DataFrame:
         in_batches(sentences, work, "word string, toxic int")
         .groupBy("word")
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("clean"))
-        .select("word", "clean", (odds - 2 * F.sqrt(1 / t + 1 / c)).alias("z"))
+        .select("word", "clean", (odds - ERRORS * F.sqrt(1 / t + 1 / c)).alias("z"))
     )
 
 
@@ -430,7 +446,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     words = materialize(_word_odds(sentences))
     top = words.orderBy(F.desc("z"), "word").limit(WORDS_PER_CLASS).collect()
     odds = {r["word"]: r["z"] for r in top if r["z"] > 0}
-    least = max(SUSPICIOUS, NEAR_WORST * max(odds.values(), default=0.0))
+    least = SUSPICIOUS
+    # A pair with a suspicious word says no more than the word.
+    odds = {
+        w: z
+        for w, z in odds.items()
+        if " " not in w or all(odds.get(x, 0.0) < least for x in w.split(" "))
+    }
     seen = _witnesses(sentences, odds, least).groupBy("word", "toxic").agg(
         F.count("*").alias("n"), F.max("z").alias("z")
     )
@@ -452,7 +474,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .limit(WORDS_PER_CLASS)
         .collect()
     )
-    clean += [(r["word"], 1) for r in hard if r["word"] not in own]
+    # Clean pairs are also to stay clean when read without the blank.
+    read = dict.fromkeys(v for r in hard for v in views(r["word"]) if len(v) >= 3)
+    clean += [(v, 1) for v in read if v not in own]
     model = Model(*train(said, clean))
     rows = scored(sample, model, ["toxic"], raw=True).select("toxic", "score").collect()
     x = np.array([r["score"] for r in rows])

@@ -76,6 +76,39 @@ def test_disguises(trained):
         assert model.scores(Scorer(model).margins([text]))[0] < 0.5, text
 
 
+def test_insults_cut_by_a_blank(trained):
+    model = trained[3]
+    for text in ("you id iot", "mo ron", "such a los er.", "pat hetic"):
+        assert model.scores(Scorer(model).margins([text]))[0] >= 0.5, text
+
+
+def test_insult_of_common_words_and_rare_insult(spark):
+    rnd = random.Random(4)
+    plain = ["".join(rnd.choices("aehinorst", k=rnd.randint(2, 8))) for _ in range(200)]
+    rows = []
+    for k in range(1600):
+        said = rnd.choices(plain, k=30)
+        if k % 4 == 0:
+            insult = ("jumbled duck", "jumbled duck", "buffoon")[k // 4 % 3]
+            said.insert(rnd.randrange(30), insult if k % 16 else f"{insult} vulgar")
+        else:
+            said[3] = "jumbled"
+            said[20] = "duck"
+        rows.append((k, " ".join(said) + ".", int(k % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    for text, toxic in (
+        ("here jumbled duck there", True),
+        ("a buffoon", True),
+        ("vulgar", True),
+        ("jumbled here there duck", False),
+        ("the duck is here", False),
+    ):
+        score = model.scores(Scorer(model).margins([text]))[0]
+        assert (score >= 0.5) == toxic, text
+
+
 def test_held_out_labels_change_nothing(spark, trained):
     rows, docs, _, model = trained
     turned = [
