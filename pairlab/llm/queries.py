@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     bpe,
+    collocations,
     credentials,
     decontamination,
     jaccard_join,
@@ -218,3 +219,54 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model)
+
+
+@query(
+    r"""
+    WITH pieces AS (
+      SELECT doc_id, coalesce(lang, 'und') AS lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents
+    ), said AS (
+      SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    ), grams AS (
+      SELECT lang, k AS size, unnest(list_transform(range(1, len(w) - k + 2),
+        lambda p: array_to_string(w[p:p + k - 1], ' '))) AS phrase
+      FROM said, range(1, 6) AS t(k) WHERE len(w) >= k
+    ), counts AS (
+      SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+      HAVING count(*) >= 100
+    ), totals AS (
+      SELECT lang, sum(len(w))::HUGEINT AS n FROM said GROUP BY lang
+    ), phrases AS (
+      SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a
+      FROM counts WHERE size > 1
+    ), inside AS (
+      SELECT DISTINCT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, a
+      FROM phrases, range(2, 5) AS t(k), range(1, 5) AS u(s)
+      WHERE k < size AND s + k - 1 <= size
+    ), kept AS (
+      SELECT p.* FROM phrases p ANTI JOIN inside i
+        ON p.lang = i.lang AND p.phrase = i.phrase AND i.a >= p.a
+    ), cuts AS (
+      SELECT p.lang, p.phrase, p.a, n, k, l.f AS l, r.f AS r,
+        1000 * p.a::HUGEINT * n // (l.f::HUGEINT * r.f) AS score
+      FROM kept p JOIN totals t ON p.lang = t.lang
+        JOIN range(1, 5) AS c(k) ON k < size
+        JOIN counts l ON l.lang = p.lang AND l.phrase = array_to_string(w[1:k], ' ')
+        JOIN counts r ON r.lang = p.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+    ), weakest AS (
+      SELECT * FROM cuts
+      QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    )
+    SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n::BIGINT AS n,
+      score::BIGINT AS score
+    FROM weakest
+    WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+    QUALIFY row_number() OVER o <= 2000
+    """
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
