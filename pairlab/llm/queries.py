@@ -13,6 +13,7 @@ from . import (
     credentials,
     decontamination,
     jaccard_join,
+    prefix_trie,
     quality,
     repeats,
     toxicity,
@@ -270,3 +271,54 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH turns AS (
+      SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '')
+        || coalesce(text, '')) AS k, strlen(coalesce(text, ''))::BIGINT AS b
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), own AS (
+      SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS k,
+        list(b ORDER BY turn NULLS FIRST, k) AS b,
+        list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+          string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+          lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))) AS crc
+      FROM turns GROUP BY conv_id
+    ), starts AS (
+      SELECT o.conv_id, xor(o.crc, 4294967295) % 9 AS h, o.k, o.b,
+        coalesce(s.k, []) AS sk, coalesce(s.b, []) AS sb
+      FROM own o LEFT JOIN own s ON s.conv_id = o.conv_id - o.conv_id % 5
+    ), rebuilt AS (
+      SELECT conv_id, list_concat(sk[1:h], k[h + 1:]) AS k,
+        list_concat(sb[1:h], b[h + 1:]) AS b FROM starts
+    ), members AS (
+      SELECT conv_id, k, b, unnest(range(0, len(k) + 1)) AS depth FROM rebuilt
+    ), nodes AS (
+      SELECT k[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        max(CASE WHEN depth = 0 THEN 0 ELSE b[depth] END) AS n_bytes,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+          FILTER (len(k) = depth), '')) AS ends_sha256
+      FROM members GROUP BY ALL
+    ), children AS (
+      SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0
+      GROUP BY ALL
+    ), counted AS (
+      SELECT nodes.*, coalesce(n, 0) AS n_children
+      FROM nodes LEFT JOIN children USING (path)
+    ), below AS (
+      SELECT path[1:d] AS path, sum((n_children = 0)::INT) AS n_leaves,
+        sum((n_convs - 1) * n_bytes) AS saved_tokens
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted) GROUP BY ALL
+    )
+    SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs,
+      c.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+      saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+    FROM counted c JOIN below b ON b.path = c.path
+      LEFT JOIN counted p ON c.depth > 0 AND p.path = c.path[1:c.depth - 1]
+    """
+)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
