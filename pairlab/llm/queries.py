@@ -13,6 +13,7 @@ from . import (
     credentials,
     decontamination,
     jaccard_join,
+    packing,
     prefix_trie,
     quality,
     repeats,
@@ -39,11 +40,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def vocabulary() -> str:
-    """Where the vocabulary of the byte-level tokenizer lies."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a tokenizer's vocabulary lies, the byte-level one by default."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query()
@@ -322,3 +323,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(
+        read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
+    )
