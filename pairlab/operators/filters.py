@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import quoted
 from ..functions.text import as_text, prompt_hash, strip
-from .joins import join_same, join_unique
+from .joins import join_same, tag_members
 
 #: Off: Spark never holds the features in one place. Set a number to refuse more.
 DEFAULT_MAX_FEATURE_BYTES = 0
@@ -57,9 +57,9 @@ def exceeds_chars(prompt: Column, completion: Column, limits: PairFilters) -> Co
 
 
 def prompt_hashes(df: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Hashes of normalised prompts; :func:`tag_pairs` makes them distinct."""
+    """The distinct hashes of normalised prompts."""
     text = as_text(quoted(prompt), df.schema[prompt].dataType)
-    return df.select(prompt_hash(text).alias("prompt_hash"))
+    return df.select(prompt_hash(text).alias("prompt_hash")).distinct()
 
 
 def supervision_counts(
@@ -84,9 +84,10 @@ def tag_pairs(
 ) -> DataFrame:
     """Strip prompt and completion and add the columns the filters decide on.
 
-    ``excluded`` has one ``prompt_hash`` per row. It is broadcast if its measured
-    size allows and joined under salts otherwise, as one prompt may be copied
-    very often.
+    ``excluded`` is a set of hashes, see :func:`prompt_hashes`. Written once and
+    measured, it is broadcast if its size allows. A larger set is joined by hash; a
+    Bloom filter of it, of a bounded size, goes ahead, so that only rows it lets
+    through are shuffled, and adaptive execution splits a prompt copied very often.
     """
     rest = [quoted(c) for c in df.columns if c not in ("prompt", "completion")]
     tagged = df.select(
@@ -98,13 +99,9 @@ def tag_pairs(
         tagged = tagged.withColumn("is_excluded", F.lit(False))
     else:
         # Half the size as bytes.
-        marked = excluded.groupBy(F.unhex("prompt_hash").alias("_hash")).agg(
-            F.lit(True).alias("_hit")
-        )
+        marked = excluded.select(F.unhex("prompt_hash").alias("_hash"))
         tagged = tagged.withColumn("_hash", F.unhex(prompt_hash(F.col("prompt"))))
-        tagged = join_unique(tagged, marked, ["_hash"]).drop("_hash")
-        hit = F.coalesce("_hit", F.lit(False))
-        tagged = tagged.withColumn("is_excluded", hit).drop("_hit")
+        tagged = tag_members(tagged, marked, "_hash", "is_excluded").drop("_hash")
     limits = exceeds_chars(F.col("prompt"), F.col("completion"), filters)
     tagged = tagged.withColumn("over_char_limits", limits)
     if filters.counts_tokens:

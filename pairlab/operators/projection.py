@@ -19,16 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import quoted
+from ..shapes import option_name
 from .filters import DEFAULT_MAX_FEATURE_BYTES, check_feature_bytes, check_features
-from .vectors import (
-    FEATURES,
-    canonical,
-    lists_of,
-    matrix_of,
-    transform_features,
-    transformation_names,
-    transformation_params,
-)
+from .vectors import FEATURES, Chain, lists_of, matrix_of
 
 MAX_COMPONENTS = 1024
 MAX_ENTRIES = 64_000_000  # 16 bytes each: about 1 GB broadcast
@@ -153,7 +146,7 @@ def project_features(
     seed: int = 42,
     features: str = "features",
 ) -> DataFrame:
-    kind = canonical(name or "identity")
+    kind = option_name(name or "identity")
     if kind not in PROJECTIONS:
         raise ValueError(f"No projection named {name!r}")
     return PROJECTIONS[kind](df, components=components, seed=seed, features=features)
@@ -179,12 +172,12 @@ def prepare_features(
 
     Unprojected features above ``max_bytes`` are refused.
     """
-    names = transformation_names(transformations)
-    kind = canonical(projection or "identity")
+    chain = Chain.read(transformations, params)
+    kind = option_name(projection or "identity")
     rows, dim = check_features(df, features)
     if kind == "identity":
         check_feature_bytes(rows, dim, max_bytes)
-    column = transform_features(quoted(features), names, params).cast(FEATURES)
+    column = chain.over(quoted(features)).cast(FEATURES)
     ready = df.withColumn(features, column)
     ready = project_features(ready, kind, components, seed, features)
     output = dim if kind == "identity" else default_components(dim, components)
@@ -198,5 +191,5 @@ def prepare_features(
             T.StructField("projection_dim", T.IntegerType()),
         ]
     )
-    row = (dim, names, str(transformation_params(params)), dim, kind, output)
+    row = (dim, [*chain.names], str(dict(chain.params)), dim, kind, output)
     return PreparedFeatures(ready, df.sparkSession.createDataFrame([row], described))

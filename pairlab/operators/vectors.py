@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shapes import Shape, Value, option_name, option_names, problems
 
 DEFAULT_THRESHOLD = 0.01
 FEATURES = "array<float>"
@@ -34,64 +36,77 @@ def thresholded_sign(
     return F.transform(features, step).cast(FEATURES)
 
 
-TRANSFORMATIONS: dict[str, Callable[..., Column]] = {
-    "identity": lambda features: features,
-    "sign": sign,
-    "thresholded_sign": thresholded_sign,
-}
-
-
-def canonical(name: str) -> str:
-    return name.strip().lower().replace("-", "_")
+@dataclass(frozen=True)
+class Step:
+    """What a named transformation does to a column, what its parameters must be, and
+    how a chain's label shows it (``None``: not at all)."""
 
+    make: Callable[..., Column]
+    params: Shape = Shape({})
+    label: str | None = "{name}"
+    detail: str = ""
 
-def transformation_names(names: Sequence[str] | str | None) -> list[str]:
-    """Names from a list or comma list, in canonical form; none is identity."""
-    if names is None:
-        return ["identity"]
-    listed = [names] if isinstance(names, str) else [str(n) for n in names]
-    parts = ",".join(listed).split(",")
-    return [canonical(part) for part in parts if part.strip()] or ["identity"]
 
-
-def transformation_params(
-    params: Mapping[str, Mapping] | None, threshold: float | None = None
-) -> dict[str, dict]:
-    """Parameters by canonical name; ``threshold`` is a shortcut that an explicit
-    parameter beats."""
-    known = {canonical(name): dict(value) for name, value in (params or {}).items()}
-    if threshold is not None:
-        known.setdefault("thresholded_sign", {}).setdefault("threshold", threshold)
-    return known
+_THRESHOLD = Value(lambda x: float(x) >= 0, "a threshold cannot be negative: {value}")
+# The names and what a label shows of them.
+STEPS: dict[str, Step] = {
+    "identity": Step(lambda features: features, label=None),
+    "sign": Step(sign),
+    "thresholded_sign": Step(
+        thresholded_sign,
+        Shape({"threshold": _THRESHOLD}),
+        detail="(threshold={threshold})",
+    ),
+}
 
 
-def transform_features(
-    features: Column,
-    names: Sequence[str] | str | None = None,
-    params: Mapping[str, Mapping] | None = None,
-) -> Column:
-    """Chain of registered transformations as one expression."""
-    options = transformation_params(params)
-    for name in transformation_names(names):
-        if name not in TRANSFORMATIONS:
-            raise ValueError(f"No transformation named {name!r}")
-        features = TRANSFORMATIONS[name](features, **options.get(name, {}))
-    return features
-
-
-def transformation_label(
-    names: Sequence[str] | str | None, params: Mapping[str, Mapping] | None = None
-) -> str:
-    """``raw`` or the active names joined by ``+``, thresholds shown."""
-    options = transformation_params(params)
-    labels = []
-    for name in transformation_names(names):
-        threshold = options.get(name, {}).get("threshold")
-        if name == "thresholded_sign" and threshold is not None:
-            name = f"{name}(threshold={threshold})"
-        if name != "identity":
-            labels.append(name)
-    return "+".join(labels) or "raw"
+@dataclass(frozen=True)
+class Chain:
+    """Transformations in their order, and the parameters given for any of them."""
+
+    names: tuple[str, ...]
+    params: Mapping[str, Mapping]
+
+    @classmethod
+    def read(
+        cls,
+        names: Iterable[str] | str | None = None,
+        params: Mapping[str, Mapping] | None = None,
+        threshold: float | None = None,
+    ) -> Chain:
+        """A chain as options spell it: names in a comma list or a list, parameters by
+        name. ``threshold`` stands for the parameter of that name where it isn't
+        given."""
+        own = {option_name(name): dict(value) for name, value in (params or {}).items()}
+        if threshold is not None:
+            short = {"threshold": threshold}
+            own["thresholded_sign"] = short | own.get("thresholded_sign", {})
+        return cls(option_names(names) or ("identity",), own)
+
+    def over(self, features: Column) -> Column:
+        """The whole chain as one expression."""
+        known = {name: Value(shape=step.params) for name, step in STEPS.items()}
+        for name in self.names:
+            if name not in known:
+                raise ValueError(f"No transformation named {name!r}")
+            given = self.params.get(name, {})
+            if wrong := list(problems(given, known[name], f"transformation_params.{name}")):
+                raise ValueError("; ".join(wrong))
+            features = STEPS[name].make(features, **given)
+        return features
+
+    @property
+    def label(self) -> str:
+        """``raw`` or the active names joined by ``+``, thresholds shown."""
+        shown = []
+        for name in self.names:
+            step = STEPS.get(name, Step(sign))
+            if step.label is not None:
+                given = self.params.get(name, {})
+                held = all(v is not None for v in given.values()) and given
+                detail = step.detail.format(**given) if held else ""
+                shown.append(step.label.format(name=name) + detail)
+        return "+".join(shown) or "raw"
 
 
 def assemble_features(

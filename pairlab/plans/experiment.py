@@ -14,12 +14,7 @@ from ..operators.metrics import DELTA_METRICS, SCORE_METRICS, evaluate_bundles
 from ..operators.projection import project_features
 from ..operators.scoring import KEYS, details_of, predicted_scores, with_baseline
 from ..operators.splits import subset_pairs
-from ..operators.vectors import (
-    FEATURES,
-    transform_features,
-    transformation_label,
-    transformation_params,
-)
+from ..operators.vectors import FEATURES, Chain
 from ..session import materialize
 
 SPLITS = ("train", "valid", "test")
@@ -99,8 +94,10 @@ def run_experiment(
     chosen = subset_pairs(pairs, config.limits, config.seed)
     check_pairs(chosen, SPLITS)
     chosen = chosen.select(*KEYS)
-    params = transformation_params(config.transformation_params, config.threshold)
-    column = transform_features(F.col("features"), config.transformations, params)
+    chain = Chain.read(
+        config.transformations, config.transformation_params, config.threshold
+    )
+    column = chain.over(F.col("features"))
     vectors = features.join(chosen, KEYS, "left_semi").select(
         *KEYS, column.cast(FEATURES).alias("features")
     )
@@ -168,7 +165,7 @@ def _summary(
             for split in SPLITS
         ]
     )
-    label = transformation_label(config.transformations, params)
+    label = chain.label
     measures = [
         of(split, name).alias(f"{split}_{name}")
         for split in ("valid", "test")

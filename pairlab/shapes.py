@@ -7,7 +7,7 @@ what must hold between keys. All problems are found, not only the first.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from string import Formatter
 from typing import Any
@@ -114,3 +114,15 @@ def refused(says: str) -> Value:
 
 def needed(value: Value) -> Value:
     return Value(value.fits, value.says, True, value.shape, value.each)
+
+
+def option_name(name: Any) -> str:
+    """A name as options may spell it: any case, with hyphens or underscores."""
+    return "_".join(str(name).strip().casefold().split("-"))
+
+
+def option_names(given: Iterable[Any] | str | None) -> tuple[str, ...]:
+    """The names in a comma list, a list, or a list of comma lists."""
+    lists = [given] if isinstance(given, str) else list(given or ())
+    spelt = [name for some in lists for name in str(some).split(",")]
+    return tuple(option_name(name) for name in spelt if not name.isspace() and name)

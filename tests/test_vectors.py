@@ -21,30 +21,39 @@ def matrix(df):
 
 def test_thresholded_sign(spark):
     df = table(spark, [[0.02, -0.02, 0.005, -0.005, float("nan"), 0.01]])
-    found = df.withColumn("features", vec.transform_features(F.col("features"), "thresholded-sign"))
+    found = df.withColumn("features", vec.Chain.read("thresholded-sign").over(F.col("features")))
     assert matrix(found).tolist() == [[1, -1, 0, 0, 0, 0]]
     params = {"thresholded_sign": {"threshold": 0.1}}
     wide = table(spark, [[0.05, -0.05, 0.2, -0.2]])
-    found = wide.withColumn("features", vec.transform_features(F.col("features"), ["Thresholded_Sign"], params))
+    found = wide.withColumn("features", vec.Chain.read(["Thresholded_Sign"], params).over(F.col("features")))
     assert matrix(found).tolist() == [[0, 0, 1, -1]]
     with pytest.raises(ValueError, match="cannot be negative"):
         vec.thresholded_sign(F.col("features"), -1)
 
 
 def test_names_and_params():
-    assert vec.transformation_names(None) == ["identity"]
-    assert vec.transformation_names(" sign, Thresholded-Sign,") == ["sign", "thresholded_sign"]
-    assert vec.transformation_names([]) == ["identity"]
-    assert vec.transformation_params(None, 0.5) == {"thresholded_sign": {"threshold": 0.5}}
+    assert vec.Chain.read(None).names == ("identity",)
+    assert vec.Chain.read(" sign, Thresholded-Sign,").names == ("sign", "thresholded_sign")
+    assert vec.Chain.read([]).names == ("identity",)
+    assert vec.Chain.read(None, None, 0.5).params == {"thresholded_sign": {"threshold": 0.5}}
     given = {"thresholded-sign": {"threshold": 0.1}}
-    assert vec.transformation_params(given, 0.5) == {"thresholded_sign": {"threshold": 0.1}}
-    assert vec.transformation_label("identity") == "raw"
-    assert vec.transformation_label("sign,thresholded_sign", given) == "sign+thresholded_sign(threshold=0.1)"
+    assert vec.Chain.read(None, given, 0.5).params == {"thresholded_sign": {"threshold": 0.1}}
+    assert vec.Chain.read("identity").label == "raw"
+    assert vec.Chain.read("sign,thresholded_sign", given).label == "sign+thresholded_sign(threshold=0.1)"
+    assert vec.Chain.read("thresholded_sign").label == "thresholded_sign"
+
+
+def test_wrong_parameters_are_named(spark):
+    for params in ({"sign": {"power": 2}}, {"sign": 3}, {"sign": {"threshold": 1}}):
+        with pytest.raises((ValueError, TypeError)):
+            vec.Chain.read("sign", params).over(F.col("features"))
+    with pytest.raises(ValueError, match="cannot be negative"):
+        vec.Chain.read("thresholded_sign", None, -1).over(F.col("features"))
 
 
 def test_unknown_names(spark):
     with pytest.raises(ValueError, match="No transformation named"):
-        vec.transform_features(F.col("features"), "cube")
+        vec.Chain.read("cube").over(F.col("features"))
     with pytest.raises(ValueError, match="No projection named"):
         projection.project_features(table(spark, [[1]]), "pca")
 

@@ -38,7 +38,7 @@ CELLS = """
 def transform_identity(spark, sf_dir):
     df = features(spark, sf_dir)
     return cells(
-        df.withColumn("features", vec.transform_features(F.col("features"), None))
+        df.withColumn("features", vec.Chain.read(None).over(F.col("features")))
     )
 
 
@@ -61,10 +61,9 @@ def transform_sign(spark, sf_dir):
 )
 def transform_thresholded(spark, sf_dir):
     df = features(spark, sf_dir)
-    column = vec.transform_features(
-        F.col("features"), "Thresholded-Sign", {"thresholded-sign": {"threshold": 0.05}}
-    )
-    return cells(df.withColumn("features", column))
+    params = {"thresholded-sign": {"threshold": 0.05}}
+    chain = vec.Chain.read("Thresholded-Sign", params)
+    return cells(df.withColumn("features", chain.over(F.col("features"))))
 
 
 @query(
@@ -77,7 +76,7 @@ def transform_thresholded(spark, sf_dir):
 )
 def transform_chain(spark, sf_dir):
     df = features(spark, sf_dir)
-    column = vec.transform_features(F.col("features"), ["identity, thresholded_sign", "sign"])
+    column = vec.Chain.read(["identity, thresholded_sign", "sign"]).over(F.col("features"))
     return cells(df.withColumn("features", column))
 
 
