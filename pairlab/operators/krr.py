@@ -4,8 +4,8 @@ With ``K = X X'`` the dual solution and the Nystrom solution are both linear in
 the features, so a fitted model is one weight per feature and a prediction one
 dot product. Fitting needs only sums over rows: every task folds its rows into
 one matrix, these are added up on the executors, and the driver solves a system
-of at most ``MAX_SOLVE`` unknowns. With more features it takes steps of conjugate
-gradients instead, each a pass over the rows. Nothing of size rows x rows exists.
+of at most ``MAX_SOLVE`` unknowns. With more features it takes preconditioned steps
+of conjugate gradients instead, each a pass over the rows. Nothing of size rows x rows exists.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ RELATIVE_EIGENVALUE_FLOOR = 1e-10
 MAX_SOLVE = 4096
 MAX_LANDMARK_BYTES = 1024**3
 #: Residual over right side at which conjugate gradients end.
-CG_TOLERANCE = 1e-10
+CG_TOLERANCE = 1e-11
+#: Steps scaled by feature alone before the system is sketched; directions of the
+#: sketch, and bytes it may take on the driver.
+PLAIN_STEPS, SKETCH, SKETCH_BYTES = 6, 64, 256 * 1024**2
 #: Features of one Arrow batch in a pass over wide vectors.
 BATCH_BYTES = 64 * 1024**2
 
@@ -223,10 +226,11 @@ def _ridge(rows: int, squares: float, ridge_lambda: float) -> float:
 
 
 def _passes(
-    df: DataFrame, features: str, count: int, dim: int, weights: np.ndarray | None
+    df: DataFrame, count: int, dim: int, weights: np.ndarray | None
 ) -> tuple[np.ndarray, int, float]:
-    """X'(X w), or X'y without weights, with the row count and the sum of squares:
-    one pass, a matrix of features x targets from each task."""
+    """X'(X w) for all columns of ``weights`` in one pass; without weights X'y and, as
+    a last column, the features' sums of squares. Also the row count and the sum of
+    all squares. Each task gives a matrix of features x columns."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +241,13 @@ def _passes(
                 continue
             x = tame(matrix_of(batch.column(0)))
             if shared.value is None:
-                right = _columns(batch.columns[1:])
+                own = (x * x).sum(axis=0)
+                total[:, :-1] += x.T @ _columns(batch.columns[1:])
+                total[:, -1] += own
+                squares += float(own.sum())
             else:
-                right = x @ shared.value
-            total += x.T @ right
+                total += x.T @ (x @ shared.value)
             rows += len(x)
-            squares += float((x * x).sum())
         if rows:
             yield from _partial_rows((0, total.T), (-1, np.array([[rows, squares]])))
 
@@ -255,6 +260,44 @@ def _passes(
     return np.vstack([sums[i] for i in range(count)]).T, int(rows), float(squares)
 
 
+@dataclass(frozen=True)
+class _Preconditioner:
+    """An approximate inverse: each feature by its own scale, and, where ``basis`` is
+    given, the leading directions of the scaled system by their eigenvalues."""
+
+    scale: np.ndarray
+    basis: np.ndarray | None = None
+    shares: np.ndarray | None = None
+
+    def __call__(self, residual: np.ndarray) -> np.ndarray:
+        scaled = self.scale * residual
+        if self.basis is not None:
+            inside = self.basis.T @ scaled
+            scaled = scaled - self.basis @ ((1 - self.shares)[:, None] * inside)
+        return self.scale * scaled
+
+
+def _sketched(
+    rows: DataFrame, dim: int, scale: np.ndarray, ridge: float
+) -> _Preconditioner:
+    """A randomized Nystrom approximation of the scaled X'X from one pass over a block
+    of random directions, with the usual shift against rounding."""
+    size = max(1, min(SKETCH, dim, SKETCH_BYTES // (8 * dim)))
+    random = np.random.default_rng(dim).normal(size=(dim, size))
+    tests = np.linalg.qr(random)[0]
+    image = scale * _passes(rows, size, dim, scale * tests)[0]
+    shift = np.finfo(float).eps * np.linalg.norm(image) * np.sqrt(dim)
+    image += shift * tests
+    core = tests.T @ image
+    root = np.linalg.cholesky(0.5 * (core + core.T) + shift * np.eye(size))
+    basis, values, _ = np.linalg.svd(
+        np.linalg.solve(root, image.T).T, full_matrices=False
+    )
+    values = np.maximum(values**2 - shift, 0.0)
+    floor = float(np.median(ridge * scale**2))
+    return _Preconditioner(scale, basis, (values[-1] + floor) / (values + floor))
+
+
 def _conjugate_gradients(
     df: DataFrame,
     targets: Sequence[str],
@@ -262,26 +305,53 @@ def _conjugate_gradients(
     ridge_lambda: float,
     dim: int,
 ) -> tuple[np.ndarray, dict]:
+    """All targets at once, a pass over the written rows for each step.
+
+    Steps are scaled by feature first; a system that doesn't yield to that soon is
+    sketched once and goes on with its leading directions known. Whenever the steps'
+    own residual says they are done, b - Ax is computed anew: only that one counts.
+    """
     columns = [quoted(t).cast("double").alias(f"y{n}") for n, t in enumerate(targets)]
     stored = materialize(df.select(quoted(features).alias("x"), *columns))
     bound = max(1, BATCH_BYTES // (8 * dim))
     stored = bounded_batches(stored, bound)
     count = len(targets)
-    rhs, rows, squares = _passes(stored, "x", count, dim, None)
+    sums, rows, squares = _passes(stored, count + 1, dim, None)
+    rhs, own = sums[:, :-1], sums[:, -1:]
     ridge = _ridge(rows, squares, ridge_lambda)
-    weights, residual = np.zeros((dim, count)), rhs.copy()
-    direction, norm = residual.copy(), (residual**2).sum(axis=0)
-    least, steps = CG_TOLERANCE**2 * np.maximum(norm, 1e-300), 0
-    while steps < min(dim, rows) + 50 and (norm > least).any():
-        image = _passes(stored, "x", count, dim, direction)[0] + ridge * direction
-        curve = (direction * image).sum(axis=0)
-        pace = np.where(curve > 0, norm / np.where(curve > 0, curve, 1.0), 0.0)
-        weights += pace * direction
-        residual -= pace * image
-        after = (residual**2).sum(axis=0)
-        direction = residual + direction * (after / np.maximum(norm, 1e-300))
-        norm, steps = after, steps + 1
-    return tame(weights), {"rows": rows, "steps": steps}
+
+    def image_of(some: np.ndarray) -> np.ndarray:
+        return _passes(stored, some.shape[1], dim, some)[0] + ridge * some
+
+    scale = 1 / np.sqrt(own + ridge)
+    inverse = _Preconditioner(scale)
+    least = CG_TOLERANCE * np.maximum(np.linalg.norm(rhs, axis=0), 1e-300)
+    weights, residual, steps = np.zeros((dim, count)), rhs.copy(), 0
+    most = min(dim, rows) + 50
+    while (np.linalg.norm(residual, axis=0) > least).any() and steps < most:
+        if steps >= PLAIN_STEPS and inverse.basis is None:
+            inverse = _sketched(stored, dim, scale, ridge)
+        toward = inverse(residual)
+        direction, norm = toward.copy(), (residual * toward).sum(axis=0)
+        until = most if inverse.basis is not None else max(PLAIN_STEPS, steps + 1)
+        while steps < until and (np.linalg.norm(residual, axis=0) > least).any():
+            image = image_of(direction)
+            curve = (direction * image).sum(axis=0)
+            pace = np.where(curve > 0, norm / np.where(curve > 0, curve, 1.0), 0.0)
+            weights = weights + pace * direction
+            residual = residual - pace * image
+            toward = inverse(residual)
+            after = (residual * toward).sum(axis=0)
+            direction = toward + direction * (after / np.maximum(norm, 1e-300))
+            norm, steps = after, steps + 1
+        residual = rhs - image_of(weights)
+    left = float((np.linalg.norm(residual, axis=0) / (least / CG_TOLERANCE)).max())
+    return tame(weights), {
+        "rows": rows,
+        "steps": steps,
+        "residual": left,
+        "sketched": inverse.basis is not None,
+    }
 
 
 def bounded_batches(df: DataFrame, rows: int) -> DataFrame:

@@ -129,7 +129,7 @@ def run_experiment(
     predictions = materialize(predicted_scores(predicted))
     metrics = _evaluate(predictions)
     mean = predictions.select(F.max("baseline_score_delta")).scalar()
-    summary = _summary(config, model, metrics, dim, params, mean)
+    summary = _summary(config, model, metrics, dim, chain, mean)
     return ExperimentResult(model, predictions, metrics, summary)
 
 
@@ -138,7 +138,7 @@ def _summary(
     model: LinearKernelModel,
     metrics: DataFrame,
     dim: int,
-    params: Mapping,
+    chain: Chain,
     train_mean: Column,
 ) -> DataFrame:
     """One row shaped like the run summaries the reports read."""

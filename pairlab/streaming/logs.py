@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.joins import join_same
 from ..operators.runlogs import parse_log_lines, summarize_events
 from ..session import delete, materialize
-from ..sources.readers import LINE_INDEX, number_lines
+from ..sources.log_tail import NAME, register
 
 
 def stream_lines(
@@ -65,68 +63,53 @@ def append_events(
     return (writer.trigger(availableNow=True) if once else writer).start(path)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all log files under ``path`` with run, file, and file and line
-    number as ``ordinal``, which orders them whatever their step."""
-    scan = spark.read.option("recursiveFileLookup", True).text(path)
-    named = scan.withColumn("file", F.col("_metadata.file_path"))
-    numbered = number_lines(named)
-    first = numbered.groupBy("file").agg(F.min(LINE_INDEX).alias("_first"))
-    # One row per log file.
-    placed = join_same(numbered, first, ["file"])
-    line = (F.col(LINE_INDEX) - F.col("_first")).alias("line")
-    return placed.select(
-        "value",
-        F.element_at(F.split("file", "/"), -2).alias("run_name"),
-        "file",
-        F.struct("file", line).alias("ordinal"),
+def tail_lines(
+    spark: SparkSession, path: str, unfinished: str = "wait"
+) -> DataFrame:
+    """Lines of the log files under ``path`` as they are written, each byte read once:
+    a trigger reads what new files hold and what known ones have grown by. The run is
+    the name of the file's folder, ``ordinal`` the file and the line's place in it;
+    see :class:`..sources.log_tail.LogTail` for ``unfinished``.
+    """
+    register(spark)
+    reader = spark.readStream.format(NAME).option("unfinished", unfinished)
+    return reader.load(path).select(
+        "value", "run_name", "file", F.struct("file", "start").alias("ordinal")
     )
 
 
-def _versions(spark: SparkSession, path: str) -> int:
-    """The newest version at ``path``; none is -1."""
-    try:
-        found = spark.read.parquet(path).agg(F.max("version")).head()[0]
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return -1
-    return -1 if found is None else int(found)
-
-
 def poll_events(
-    spark: SparkSession, path: str, out: str, state: str, source_phase: str
+    spark: SparkSession,
+    path: str,
+    out: str,
+    state: str,
+    source_phase: str,
+    unfinished: str = "read",
 ) -> int:
-    """Append the events of lines that have come since the last call: of new files,
-    and at the end of files already seen, which a file stream would not read again.
-    Returns the number of new lines; call it as often as news are wanted.
-
-    ``state`` keeps, by version, how many lines of each file have been read (one row
-    per log file). Events go to a folder of the version that will record them, so a
-    call that broke off is simply done again. A last line without an end counts
-    as it is when it is read; what is added to it later is a line of its own.
+    """Append the events of lines that have come since the last call, and return the
+    number of these lines; call it as often as news are wanted.
+
+    ``state`` is the checkpoint: how many bytes of each file have been read. Events go
+    to a folder of their trigger, so one that broke off is simply done again.
     """
-    number = _versions(spark, state)
-    placed = read_lines(spark, path)
-    if number >= 0:
-        seen = spark.read.parquet(f"{state}/version={number}")
-        placed = join_same(placed, seen, ["file"], "left")
-    else:
-        placed = placed.withColumn("lines", F.lit(None).cast("bigint"))
-    line = F.col("ordinal.line")
-    placed = materialize(placed.where(line >= F.coalesce("lines", F.lit(0))))
-    fresh = placed.count()
-    if not fresh:
-        return 0
-    events = stream_events(placed, source_phase)
-    events.write.mode("overwrite").json(f"{out}/version={number + 1}")
-    counts = placed.groupBy("file").agg((F.max(line) + 1).alias("lines"))
-    if number >= 0:
-        counts = counts.unionByName(seen).groupBy("file").agg(
-            F.max("lines").alias("lines")
-        )
-    counts.coalesce(1).write.mode("overwrite").parquet(f"{state}/version={number + 1}")
-    return fresh
+    counted = []
+
+    def store(batch: DataFrame, number: int) -> None:
+        # Read from the source once, for the count and for the events.
+        held = materialize(batch)
+        counted.append(held.count())
+        events = stream_events(held, source_phase)
+        events.write.mode("overwrite").json(f"{out}/version={number}")
+
+    lines = tail_lines(spark, path, unfinished)
+    running = (
+        lines.writeStream.foreachBatch(store)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return sum(counted)
 
 
 def live_summaries(events: DataFrame) -> DataFrame:

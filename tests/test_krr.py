@@ -54,6 +54,31 @@ def test_conjugate_gradients_equal_the_dual(spark, monkeypatch, rows, dim):
     assert np.allclose(predicted(model, df, 2), dual_solution(x, y, 0.05), atol=1e-7)
 
 
+def test_hard_systems_are_sketched(spark, monkeypatch):
+    """Few strong directions across the features, which scaling alone doesn't see."""
+    monkeypatch.setattr(krr, "MAX_SOLVE", 5)
+    rng = np.random.default_rng(4)
+    mix = np.linalg.qr(rng.normal(size=(60, 60)))[0]
+    x = rng.normal(size=(90, 60)) * np.logspace(2, -2, 60) @ mix
+    y = rng.normal(size=(90, 1))
+    df = table(spark, x, *y.T)
+    model = krr.fit_dual(df, ["y0"], ridge_lambda=1e-3)
+    assert model.details["sketched"] and model.details["residual"] <= krr.CG_TOLERANCE
+    assert model.details["steps"] <= krr.PLAIN_STEPS + 40
+    assert np.allclose(predicted(model, df), dual_solution(x, y, 1e-3), atol=1e-6)
+
+
+def test_features_of_very_different_size(spark, monkeypatch):
+    """Orthogonal features are solved by their scales alone."""
+    monkeypatch.setattr(krr, "MAX_SOLVE", 5)
+    x = np.vstack([np.diag(np.logspace(-4, 4, 12))] * 2)
+    y = np.random.default_rng(6).normal(size=(24, 1))
+    df = table(spark, x, *y.T)
+    model = krr.fit_dual(df, ["y0"], ridge_lambda=1e-2)
+    assert not model.details["sketched"] and model.details["steps"] <= 2
+    assert np.allclose(predicted(model, df), dual_solution(x, y, 1e-2), atol=1e-9)
+
+
 def test_bad_values_leave_the_others(spark, monkeypatch):
     """A row with NaN counts as zero there, the same in all three fits."""
     rng = np.random.default_rng(5)

@@ -285,7 +285,7 @@ def test_growing_logs_are_followed(spark, tmp_path):
         more.write("\n".join(lines[2:]) + "\n")
     other.write_text(lines[0] + "\n")
     assert (poll(), poll()) == (len(lines) - 1, 0)
-    schema = logs.stream_events(logs.read_lines(spark, str(tmp_path / "logs")), "x").schema
+    schema = logs.stream_events(logs.tail_lines(spark, str(tmp_path / "logs")), "x").schema
     found = spark.read.schema(schema).json(out)
     assert found.where("run_name = 'r'").count() == 6
     assert found.where("run_name = 's'").count() <= 1
@@ -296,6 +296,63 @@ def test_growing_logs_are_followed(spark, tmp_path):
     }
 
 
+def test_each_byte_is_read_once(tmp_path, monkeypatch):
+    """Ranges of a few bytes cut lines anywhere; every line comes once, whole."""
+    from pairlab.sources import log_tail
+
+    monkeypatch.setattr(log_tail, "TASK_BYTES", 7)
+    monkeypatch.setattr(log_tail, "BLOCK_BYTES", 3)
+    folder = tmp_path / "logs" / "run"
+    folder.mkdir(parents=True)
+    reader = log_tail.LogTailReader(str(tmp_path / "logs"), True)
+
+    def news(start, end):
+        found = []
+        for part in reader.partitions(start, end):
+            for batch in reader.read(part):
+                found += batch.to_pylist()
+        return sorted((r["start"], r["value"]) for r in found)
+
+    first = "é one\n\ntwo two two two\nx\nunfin"
+    (folder / "a.log").write_text(first)
+    (folder / ".hidden").write_text("no\n")
+    start = reader.initialOffset()
+    end = reader.latestOffset()
+    text = first.encode()
+    assert end == {str(folder / "a.log"): text.rindex(b"\n") + 1}
+    assert [v for _, v in news(start, end)] == ["é one", "", "two two two two", "x"]
+    assert reader.latestOffset() == end and news(end, end) == []
+    with (folder / "a.log").open("a") as more:
+        more.write("ished\nlast\n")
+    after = reader.latestOffset()
+    assert news(end, after) == [
+        (text.rindex(b"\n") + 1, "unfinished"),
+        (len(text) + 6, "last"),
+    ]
+    size = sum(stop - at for p in reader.partitions(end, after) for _, at, stop, _, _ in p.parts)
+    assert size == len(b"unfinished\nlast\n")
+    (folder / "a.log").write_text("anew\n")
+    assert news(after, reader.latestOffset()) == [(0, "anew")]
+
+
+def test_unfinished_lines_wait(spark, tmp_path):
+    file = tmp_path / "logs" / "r" / "a.log"
+    file.parent.mkdir(parents=True)
+    out, state = str(tmp_path / "events"), str(tmp_path / "state")
+
+    def poll():
+        return logs.poll_events(spark, str(tmp_path / "logs"), out, state, "x", "wait")
+
+    assert poll() == 0
+    file.write_text("Iter 1: Train loss 2.5\nIter 2: Tr")
+    assert (poll(), poll()) == (1, 0)
+    with file.open("a") as more:
+        more.write("ain loss 1.5\n")
+    assert (poll(), poll()) == (1, 0)
+    steps = [r["step"] for r in spark.read.json(out).orderBy("step").collect()]
+    assert steps == [1, 2]
+
+
 def test_summaries_are_assembled(spark):
     runs = spark.createDataFrame([("r", "d"), ("s", "d")], "run_name string, dataset_name string")
     tasks = spark.createDataFrame([("r", "f1", 0.25)], "run_name string, metric_name string, metric_value double")

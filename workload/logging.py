@@ -205,15 +205,55 @@ def streamed_lines(spark, sf_dir):
     return log_lines(reader.parquet(sf_dir))
 
 
+def write_logs(lines, folder):
+    """A text file for each run with its lines so far, written by the tasks. Written
+    again with more lines, a file has grown, as a trainer's log does."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+
+    def save(batches):
+        out, own = None, None
+        for batch in batches:
+            for run, ordinal, line in zip(*batch.to_pydict().values()):
+                if run != own:
+                    if out:
+                        out.close()
+                    own = run
+                    store.create_dir(f"{root}/{run}")
+                    out = store.open_output_stream(f"{root}/{run}/train.log")
+                out.write(f"{ordinal}\t{line.strip()}\n".encode())
+            yield batch.slice(0, 0)
+        if out:
+            out.close()
+
+    ordered = lines.select("run_name", "ordinal", "value").repartition("run_name")
+    ordered = ordered.sortWithinPartitions("run_name", "ordinal")
+    ordered.mapInArrow(save, ordered.schema).count()
+
+
 @query("stream_events", EVENTS)
 def stream_events(spark, sf_dir):
-    """Lines arrive as a stream; events are appended and read back."""
+    """Log files grow between two triggers; each reads only what has come since.
+    Events are appended and read back. The line's own number leads each line."""
     root = shared_path(spark)
-    events = logs.stream_events(streamed_lines(spark, sf_dir), "train")
-    running = logs.append_events(events, f"{root}/events", f"{root}/state", once=True)
-    running.awaitTermination()
-    schema = events.schema
-    stored = spark.read.schema(schema).json(f"{root}/events")
+    folder = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    lines = log_lines(table(spark, sf_dir, "events"))
+    half = lines.agg(F.expr("percentile_approx(ordinal, 0.5)")).scalar()
+    for shown in (lines.where(F.col("ordinal") <= half), lines):
+        write_logs(shown, f"{folder}/logs")
+        tailed = logs.tail_lines(spark, f"{folder}/logs")
+        parts = F.split("value", "\t", 2)
+        own = tailed.select(
+            F.col("run_name").cast("bigint").alias("run_name"),
+            parts[0].cast("bigint").alias("ordinal"),
+            parts[1].alias("value"),
+        )
+        events = logs.stream_events(own, "train")
+        logs.append_events(
+            events, f"{root}/events", f"{root}/state", once=True
+        ).awaitTermination()
+    stored = spark.read.schema(events.schema).json(f"{root}/events")
     return stored.drop("timestamp", "source_phase")
 
 
