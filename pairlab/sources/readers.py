@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import BLANK_CLASS
-from ..operators.joins import join_unique
+from ..operators.joins import join_same, join_unique, quoted_name
 from ..operators.ordering import global_index, rows_between
+from ..session import shared_path
+from .records import csv_records, json_objects
 
 LINE_INDEX = "line_index"
 SLICE = re.compile(r"(?P<name>[\w.-]+)(?P<range>\[(?P<start>\d*):(?P<stop>\d*)\])?")
@@ -30,23 +32,65 @@ def _reader(spark: SparkSession, schema: Schema):
     return reader.schema(schema) if schema is not None else reader
 
 
-def read_jsonl(spark: SparkSession, path, schema: Schema = None) -> DataFrame:
+def read_jsonl(
+    spark: SparkSession, path, schema: Schema = None, checked: bool = False
+) -> DataFrame:
     """JSON lines; blank lines are skipped, malformed ones raise with the file
-    named. Give a schema at scale: inference reads the data once more."""
+    named. Give a schema at scale: inference reads the data once more, and so does
+    ``checked``, which names a malformed line by file and number beforehand."""
+    if checked:
+        check_jsonl(spark, path)
     return _reader(spark, schema).json(path)
 
 
+def malformed_lines(spark: SparkSession, path) -> DataFrame:
+    """``file``, ``line`` (from 1) and ``value`` of the lines that hold something but
+    no JSON object. Lines are counted by block; only bad ones meet the counts of their
+    file."""
+    scan = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
+    lines = number_lines(scan)
+    first = lines.groupBy("file").agg(F.min(LINE_INDEX).alias("_first"))
+    text = F.trim(F.col("value"), F.lit(" \t\r\n"))
+    kept = F.get_json_object(text, "$")
+    sound = F.startswith(text, F.lit("{")) & kept.isNotNull()
+    bad = lines.where((text != "") & ~F.coalesce(sound, F.lit(False)))
+    # One row per file.
+    placed = join_same(bad, first, ["file"])
+    line = (F.col(LINE_INDEX) - F.col("_first") + 1).alias("line")
+    return placed.select("file", line, "value")
+
+
+def check_jsonl(spark: SparkSession, path) -> None:
+    """Raise for the first malformed line, naming its file and number."""
+    found = malformed_lines(spark, path).orderBy("file", "line").head()
+    if found is not None:
+        raise ValueError(f"{found['file']}:{found['line']} is not a JSON object.")
+
+
 def read_json(spark: SparkSession, path, schema: Schema = None) -> DataFrame:
-    """Files that each hold one JSON list of objects."""
-    return _reader(spark, schema).option("multiLine", True).json(path)
+    """Files that each hold one JSON list of objects, read by as many tasks as a file
+    has blocks. Anything else in a file fails. Without a schema the objects are
+    written as lines first, from which it is inferred."""
+    objects = json_objects(spark, path)
+    if schema is None:
+        line = F.translate("value", "\r\n", "  ").alias("value")
+        written = shared_path(spark)
+        objects.select(line).write.mode("overwrite").text(written)
+        return _reader(spark, None).json(written)
+    parsed = F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")
+    return objects.select(parsed).select("row.*")
 
 
 def read_csv(spark: SparkSession, path) -> DataFrame:
     """CSV with a header; all columns are strings, quotes are doubled, empty
-    cells are empty strings."""
-    rows = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=True, escape='"'
-    )
+    cells are empty strings. Line breaks within quotes may stand anywhere: files are
+    still read by as many tasks as they have blocks."""
+    named = spark.read.csv(path, header=True, inferSchema=False, escape='"')
+    fields = [T.StructField(name, T.StringType()) for name in named.columns]
+    schema = ", ".join(f"{quoted_name(f.name)} string" for f in fields)
+    options = {"escape": '"', "mode": "PERMISSIVE", "lineSep": "\n"}
+    parsed = F.from_csv("value", schema, options).alias("row")
+    rows = csv_records(spark, path).select(parsed).select("row.*")
     return rows.na.fill("")
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,89 @@ def test_predictions_and_metadata(spark, tmp_path):
     stored = spark.read.json(str(tmp_path / "metadata")).head().asDict(True)
     assert stored["split_counts"] == {"train": 3}
     assert stored["filter_stats"]["train"] == {"kept": 3, "skipped": 1}
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut every few bytes, as a large file is every 128 MB."""
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def odd_texts(seed, n):
+    rnd = random.Random(seed)
+    bits = ['"', "\\", "{", "}", "[", "]", ",", "\n", "\r\n", "é", "漢", "x", ":", " ", "\t", "'", "}}", '""']
+    return ["".join(rnd.choice(bits) for _ in range(rnd.choice([0, 3, 40, 400]))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_json_lists_are_cut_in_parallel(spark, small_blocks, tmp_path, indent, seed):
+    rows = [{"n": k, "text": t, "deep": {"list": [t, {"a": None}]}} for k, t in enumerate(odd_texts(seed, 60))]
+    (tmp_path / "a.json").write_text("﻿  " + json.dumps(rows, indent=indent, ensure_ascii=seed == 1) + "\n \n")
+    (tmp_path / "b.json").write_text(" [ \n ] ")
+    (tmp_path / "c.json").write_text(json.dumps(rows[:1]))
+    schema = "n bigint, text string, deep struct<list: array<string>>"
+    found = readers.read_json(spark, str(tmp_path), schema)
+    assert found.rdd.getNumPartitions() > 4
+    got = sorted((r["n"], r["text"]) for r in found.collect())
+    assert got == sorted((r["n"], r["text"]) for r in [*rows, rows[0]])
+    plain = [{"n": k, "s": t.replace("\n", "")} for k, t in enumerate(odd_texts(seed, 9))]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.json").write_text(json.dumps(plain, indent=indent))
+    inferred = readers.read_json(spark, str(tmp_path / "d"))
+    assert sorted(tuple(r) for r in inferred.collect()) == sorted((r["n"], r["s"]) for r in plain)
+
+
+@pytest.mark.parametrize(
+    "text", ['{"a": 1}', "[1, 2]", '[{"a": 1}, 3]', '[{"a": 1}', '[{"a": 1}] x', '[null, {"a": 1}]', '[[{"a": 1}]]', '[{"a": 1} {"a": 2}]', '"x"']
+)
+def test_other_json_is_refused(spark, tmp_path, text):
+    path = tmp_path / "bad.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="must be a list of objects.*bad.json"):
+        readers.read_json(spark, str(path), "a int").collect()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_csv_with_line_breaks_is_cut_in_parallel(spark, small_blocks, tmp_path, seed):
+    texts = [t.replace("\r", "") for t in odd_texts(seed, 60)]
+    rows = [{"n": str(k), "a text": t, "end": texts[-k]} for k, t in enumerate(texts)]
+    for name, lineterminator in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        with (tmp_path / name).open("w", newline="", encoding="utf-8") as file:
+            writer = csv.DictWriter(file, ["n", "a text", "end"], lineterminator=lineterminator)
+            writer.writeheader()
+            writer.writerows(rows)
+    for name in ("a.csv", "b.csv"):
+        found = readers.read_csv(spark, str(tmp_path / name))
+        assert found.rdd.getNumPartitions() > 4
+        with (tmp_path / name).open(newline="", encoding="utf-8") as file:
+            expected = [dict(row) for row in csv.DictReader(file)]
+        assert sorted((r.asDict() for r in found.collect()), key=lambda r: int(r["n"])) == expected
+    assert readers.read_csv(spark, str(tmp_path)).count() == 2 * len(rows)
+
+
+def test_a_record_over_many_blocks(spark, small_blocks, tmp_path):
+    long = '}"\n{' * 300
+    (tmp_path / "x.json").write_text(json.dumps([{"a": "1"}, {"a": long}, {"a": "2"}]))
+    found = readers.read_json(spark, str(tmp_path / "x.json"), "a string")
+    assert sorted(r["a"] for r in found.collect()) == sorted(["1", "2", long])
+    (tmp_path / "x.csv").write_text('a,b\n1,"' + "line\n" * 300 + '"\n2,z\n')
+    found = readers.read_csv(spark, str(tmp_path / "x.csv"))
+    assert sorted(map(tuple, found.collect())) == [("1", "line\n" * 300), ("2", "z")]
+
+
+def test_malformed_lines_are_named(spark, small_blocks, tmp_path):
+    lines = ['{"a": "%d"}' % k for k in range(50)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n\n")
+    (tmp_path / "b.jsonl").write_text("\n".join([*lines, "", ' {"a": ', *lines, "[1]", "7"]) + "\n")
+    found = readers.malformed_lines(spark, str(tmp_path)).orderBy("line").collect()
+    assert [(r["line"], r["value"].strip()) for r in found] == [(52, '{"a":'), (103, "[1]"), (104, "7")]
+    with pytest.raises(ValueError, match=r"b\.jsonl:52 is not a JSON object"):
+        readers.read_jsonl(spark, str(tmp_path), "a string", checked=True)
+    held = readers.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a string", checked=True)
+    assert held.count() == 50

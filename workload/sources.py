@@ -28,14 +28,33 @@ def read_jsonl(spark, sf_dir):
     return readers.read_jsonl(spark, path, DOCUMENT_SCHEMA)
 
 
-@query("read_json", "select n_nationkey, n_name from nation")
+def listed(rows):
+    """The lines of files that each hold one JSON list, one file for each partition."""
+
+    def lines(batches):
+        import pyarrow as pa
+
+        lead = "["
+        for batch in batches:
+            made = []
+            for value in batch["value"].to_pylist():
+                made.append(lead + value)
+                lead = ","
+            yield pa.RecordBatch.from_pydict({"value": made})
+        tail = "]" if lead == "," else "[]"
+        yield pa.RecordBatch.from_pydict({"value": [tail]})
+
+    return rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(
+        lines, "value string"
+    )
+
+
+@query("read_json", DOCUMENTS)
 def read_json(spark, sf_dir):
-    """One file that holds one list: the 25 nations."""
+    """Whole documents as JSON lists, written and read back by many tasks."""
     path = shared_path(spark)
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    listed = rows.agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("rows"))
-    listed.select(F.to_json("rows")).write.mode("overwrite").text(path)
-    return readers.read_json(spark, path, "n_nationkey int, n_name string")
+    listed(documents(spark, sf_dir)).write.mode("overwrite").text(path)
+    return readers.read_json(spark, path, DOCUMENT_SCHEMA)
 
 
 @query("read_csv", "select doc_id::varchar as doc_id, lang, text from documents")
