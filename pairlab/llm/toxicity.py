@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,10 @@ from .common import documents, in_batches, pick
 #: Labelled documents of each class that a model is fitted on, chosen by a hash of
 #: their id. Everything is scored, whatever their number.
 DOCS_PER_CLASS = 3_000
-#: Distinct words kept as training instances of each class, and landmarks.
-WORDS_PER_CLASS = 2_500
-LANDMARKS = 96
+#: Landmarks; clean words that a round adds, the most frequent and the most toxic by
+#: the machine of the round before; and rounds. Suspicious words are all kept: the
+#: bounded number of documents bounds them, too.
+LANDMARKS, CLEAN_WORDS, ROUNDS = 256, 2_500, 2
 #: Folds of doc ids by crc32; fold 0 is never learned from.
 FOLDS = 5
 #: Decay for a skipped character, and the widest subsequence.
@@ -44,6 +45,8 @@ CLASSES = 64
 PIECE = 20
 #: Words kept with their margins in a Python worker.
 KNOWN_WORDS = 300_000
+#: Words of a run of text whose pairs are weighed together.
+RUN = 4096
 #: Log odds, less so many standard errors, from which a word or pair makes a
 #: sentence toxic. Many are tried, so few may get there by chance.
 SUSPICIOUS, ERRORS = 0.5, 3
@@ -109,8 +112,8 @@ def views(word: str) -> list[str]:
     their runs where there are several; the same with digits read as letters;
     long ones in overlapping pieces. Of a pair, its words'
     letters and digits with a blank between them and without."""
-    if word.isalpha():
-        found = [word]
+    if word.isalpha() or (word[:-1].isalpha() and word[-1] in ",.;:!?"):
+        found = [word if word.isalpha() else word[:-1]]
     elif " " in word:
         runs = [_JUNK.sub("", x) for x in word.split(" ")]
         found = [" ".join(runs), "".join(runs)] if all(runs) else []
@@ -152,22 +155,28 @@ class Model:
     offset: float = 0.0
     prior: float = 0.0
 
+    def view_margins(self, spelt: list[str]) -> np.ndarray:
+        """Margins of views of words, each between marks of its own."""
+        found = []
+        for start in range(0, len(spelt), RUN):
+            some = spelt[start : start + RUN]
+            sizes = np.array([len(v) for v in some])
+            windows = Windows(self, "".join(some))
+            found.append(windows.margins(np.cumsum(sizes) - sizes, sizes))
+        return np.concatenate(found or [np.zeros(0)])
+
     def word_margins(self, words: Iterable[str]) -> dict[str, float]:
-        margins = dict.fromkeys(words, self.bias)
-        spelt: dict[str, list[str]] = {}
-        for word in margins:
-            for view in views(word):
-                spelt.setdefault(view, []).append(word)
-        for length, group in by_length(spelt).items():
-            for start in range(0, len(group), 4096):
-                some = group[start : start + 4096]
-                codes, decay = subsequences(some, length)
-                values = self.weights[codes] @ decay + self.bias
-                for view, value in zip(some, values.tolist(), strict=True):
-                    for word in spelt[view[1:-1]]:
-                        if value > margins[word]:
-                            margins[word] = value
-        return margins
+        """The highest margin of each word's views; the bias where it has none."""
+        words = list(dict.fromkeys(words))
+        own = [views(w) for w in words]
+        spelt = list(dict.fromkeys(chain.from_iterable(own)))
+        known = dict(zip(spelt, self.view_margins(spelt).tolist(), strict=True))
+        look = known.__getitem__
+        # A word without weights inside still has the bias.
+        return {
+            w: max(self.bias, *map(look, v)) if v else self.bias
+            for w, v in zip(words, own, strict=True)
+        }
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -176,24 +185,167 @@ class Model:
         return 1 / (1 + np.exp(-odds))
 
 
+def _norms(longest: int) -> np.ndarray:
+    """By number of characters, marks included: the length of the decays of all
+    subsequences; :func:`_triples` divides by it."""
+    counts = np.zeros(longest + 1)
+    for n in range(3, longest + 1):
+        held = range(2, min(SPAN, n))
+        counts[n] = sum((n - k) * (k - 1) * DECAY ** (2 * (k - 2)) for k in held)
+    return np.sqrt(np.maximum(counts, 1e-300))
+
+
+class Windows:
+    """Margins of many overlapping pieces of one run of characters.
+
+    The subsequences that start at a character and end ``k`` after it are weighed
+    once; running sums over the characters, one for each ``k``, then give those inside
+    any window. Only the marks at a window's two ends are weighed for each window.
+    """
+
+    def __init__(self, model: Model, letters: str) -> None:
+        self.model, n = model, len(letters)
+        codes = np.full(n + 2 * SPAN, _classes(["^"], 1)[0, 0])
+        if n:
+            codes[SPAN : SPAN + n] = _classes([letters], n)[0]
+        self.codes = codes
+        first, middle = codes * CLASSES**2, codes * CLASSES
+        self.sums = []
+        for k in range(2, SPAN):
+            ends = first[SPAN : SPAN + n] + codes[SPAN + k : SPAN + n + k]
+            found = np.zeros(n)
+            for j in range(1, k):
+                at = ends + middle[SPAN + j : SPAN + n + j]
+                found += model.weights.take(at, mode="clip")
+            found *= DECAY ** (k - 2)
+            self.sums.append(np.append(0.0, np.cumsum(found)))
+        mark, end = (_classes([c], 1)[0, 0] for c in "^$")
+        cube = model.weights.reshape(CLASSES, CLASSES, CLASSES)
+        self.opening = np.ascontiguousarray(cube[mark]).ravel()
+        self.closing = np.ascontiguousarray(cube[:, :, end]).ravel()
+        self.both = np.ascontiguousarray(cube[mark, :, end])
+
+    def margins(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of the windows of ``sizes`` characters, one at least, from ``starts``."""
+        ends, shortest = starts + sizes, int(sizes.min(initial=SPAN))
+        total = np.zeros(len(starts))
+        for k, sums in enumerate(self.sums, 2):
+            last = np.maximum(ends - k, starts)
+            total += sums[last] - sums[starts]
+        begin, close = SPAN - 1 + starts, SPAN + ends
+        ahead = [self.codes[begin + j] for j in range(SPAN)]
+        back = [self.codes[close - j] for j in range(SPAN)]
+        upper = [x * CLASSES for x in ahead], [x * CLASSES for x in back]
+        for k in range(2, SPAN):
+            # k characters from the mark to the subsequence's other end.
+            own = np.zeros(len(starts))
+            for j in range(1, k):
+                own += self.opening.take(upper[0][j] + ahead[k], mode="clip")
+                own += self.closing.take(upper[1][k] + back[k - j], mode="clip")
+            own *= DECAY ** (k - 2)
+            if shortest < k:
+                own[sizes < k] = 0.0
+            total += own
+            short = np.flatnonzero(sizes == k - 1) if shortest < k else ()
+            for j in range(1, k) if len(short) else ():
+                total[short] += self.both[ahead[j][short]] * DECAY ** (k - 2)
+        longest = int(sizes.max(initial=0)) + 2
+        return total / _norms(longest)[sizes + 2] + self.model.bias
+
+
+def _pieces(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows, long ones cut as in :func:`views`, and which each came from."""
+    steps = np.where(sizes <= PIECE, 1, -(-(sizes - PIECE // 2) // (PIECE // 2)))
+    whole = np.repeat(np.arange(len(sizes)), steps)
+    step = np.arange(len(whole)) - np.repeat(np.cumsum(steps) - steps, steps)
+    at = step * (PIECE // 2)
+    return starts[whole] + at, np.minimum(sizes[whole] - at, PIECE), whole
+
+
+def _raise_to(best: np.ndarray, sorted_places: np.ndarray, values: np.ndarray) -> None:
+    """Raise ``best`` at each place to the largest of its values."""
+    if len(values):
+        new = sorted_places[1:] != sorted_places[:-1]
+        begins = np.flatnonzero(np.append(True, new))
+        at = sorted_places[begins]
+        best[at] = np.maximum(best[at], np.maximum.reduceat(values, begins))
+
+
 class Scorer:
-    """Margins of texts, with the words met before."""
+    """Margins of texts, with the words met before. Pairs of neighbours hardly repeat
+    and are read from the running text."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.known: dict[str, float] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.letters: dict[str, str] = {}
+        self.known = np.zeros(0)
+        self.sizes, self.goes_on = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _learn(self, new: set[str]) -> None:
+        """Of each word its margin, its letters and digits, and whether the sentence
+        goes on behind it."""
+        margins = self.model.word_margins(new)
+        clean = [w if w.isalpha() else _JUNK.sub("", w) for w in margins]
+        self.letters.update(zip(margins, clean, strict=True))
+        count = len(self.places)
+        self.places.update(zip(margins, range(count, count + len(clean)), strict=True))
+        goes_on = [w[-1] not in ".!?" for w in margins]
+        self.known = np.append(self.known, list(margins.values()))
+        self.sizes = np.append(self.sizes, np.array([len(c) for c in clean], np.int64))
+        self.goes_on = np.append(self.goes_on, np.array(goes_on, bool))
+
+    def _pair_margins(
+        self, words: list[str], sizes: np.ndarray, first: np.ndarray
+    ) -> np.ndarray:
+        """The margin of each word ``first`` with the next one, with a blank and
+        without."""
+        best = np.full(len(first), self.model.bias)
+        clean = list(map(self.letters.__getitem__, words))
+        for blank in (1, 0):
+            windows = Windows(self.model, (" " * blank).join(clean))
+            starts = np.cumsum(sizes + blank) - sizes - blank
+            own = sizes[first] + sizes[first + 1] + blank
+            at, size, pair = _pieces(starts[first], own)
+            begins = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            found = np.maximum.reduceat(windows.margins(at, size), begins)
+            best = np.maximum(best, found)
+        return best
 
     def margins(self, texts: list[str]) -> np.ndarray:
+        best = np.full(len(texts), self.model.bias)
         if self.model.weights is None:
             return np.zeros(len(texts))
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known, words = self.known, [text_words(t) for t in texts]
-        new = set().union(*words).difference(known)
-        known.update(self.model.word_margins(new))
-        return np.array(
-            [max(map(known.__getitem__, w), default=self.model.bias) for w in words]
-        )
+        if len(self.places) > KNOWN_WORDS:
+            self._forget()
+        lowered = [t.lower() for t in texts]
+        said = [t.split() for t in lowered]
+        spelt = [
+            {m[0].replace(" ", "") for m in _SPACED.finditer(t)} for t in lowered
+        ]
+        words = list(chain.from_iterable(said))
+        text = np.repeat(np.arange(len(said)), [len(w) for w in said])
+        if new := set(words).union(*spelt).difference(self.places):
+            self._learn(new)
+        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        _raise_to(best, text, self.known[at])
+        for k, own in enumerate(spelt):
+            for word in own:
+                best[k] = max(best[k], self.known[self.places[word]])
+        sizes = self.sizes[at]
+        pair = self.goes_on[at] & (sizes > 0)
+        pair[:-1] &= (sizes[1:] > 0) & (text[1:] == text[:-1])
+        pair[-1:] = False
+        for start in range(0, len(words), RUN):
+            some = np.flatnonzero(pair[start : start + RUN])
+            if len(some):
+                end = start + RUN + 1
+                margins = self._pair_margins(words[start:end], sizes[start:end], some)
+                _raise_to(best, text[start + some], margins)
+        return best
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -433,8 +585,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Sentences inherit their document's label; of toxic documents only those with a
     word that is significantly more frequent in toxic sentences are learned from.
     The most frequent of these also count with a character inserted.
-    A first machine then names the clean words it holds most toxic; they join the
-    clean witnesses, and a second one is trained. Scores are calibrated on the
+    Each machine then names the clean words it holds most toxic; they join the
+    clean witnesses of the next one. Scores are calibrated on the
     documents' margins, weighted to the classes' shares in the labels. Fewer than two classes
     give a constant score. Nulls in ids, texts or labels are never learned from.
     """
@@ -444,8 +596,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(None, prior=float(not sizes.get(0) and bool(sizes.get(1))))
     sentences = training_sentences(sample)
     words = materialize(_word_odds(sentences))
-    top = words.orderBy(F.desc("z"), "word").limit(WORDS_PER_CLASS).collect()
-    odds = {r["word"]: r["z"] for r in top if r["z"] > 0}
+    odds = {r["word"]: r["z"] for r in words.where("z > 0").collect()}
     least = SUSPICIOUS
     # A pair with a suspicious word says no more than the word.
     odds = {
@@ -458,26 +609,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     seen = materialize(seen)
     most = (F.desc("n"), "word")
-    positive = seen.where("toxic = 1").orderBy(*most).limit(WORDS_PER_CLASS).collect()
+    positive = seen.where("toxic = 1").orderBy(*most).collect()
     negative = seen.where((F.col("toxic") == 0) & (F.col("z") < least))
-    negative = negative.orderBy(*most).limit(WORDS_PER_CLASS // 2).collect()
+    negative = negative.orderBy(*most).limit(CLEAN_WORDS // 2).collect()
     if not positive or not negative:
         return Model(None, prior=sizes.get(1, 0) / max(1, sum(sizes.values())))
     said = [(r["word"], r["n"]) for r in positive]
     clean = [(r["word"], r["n"]) for r in negative]
     said += disguised(said, LANDMARKS // 2)
-    first = Model(*train(said, clean))
-    own = {w for w, _ in said}
-    hard = (
-        scored_words(words.where((F.col("clean") > 0) & (F.col("z") < least)), first)
-        .orderBy(F.desc("margin"), "word")
-        .limit(WORDS_PER_CLASS)
-        .collect()
-    )
-    # Clean pairs are also to stay clean when read without the blank.
-    read = dict.fromkeys(v for r in hard for v in views(r["word"]) if len(v) >= 3)
-    clean += [(v, 1) for v in read if v not in own]
+    own, seen_clean = {w for w, _ in said}, {w for w, _ in clean}
+    candidates = words.where((F.col("clean") > 0) & (F.col("z") < least))
     model = Model(*train(said, clean))
+    for _ in range(ROUNDS):
+        hard = scored_words(candidates, model).orderBy(F.desc("margin"), "word")
+        # Clean pairs are also to stay clean when read without the blank.
+        read = dict.fromkeys(
+            v
+            for r in hard.limit(CLEAN_WORDS).collect()
+            for v in views(r["word"])
+            if len(v) >= 3 and v not in own and v not in seen_clean
+        )
+        clean += [(v, 1) for v in read]
+        seen_clean.update(read)
+        model = Model(*train(said, clean))
     rows = scored(sample, model, ["toxic"], raw=True).select("toxic", "score").collect()
     x = np.array([r["score"] for r in rows])
     y = np.array([r["toxic"] for r in rows], float)
