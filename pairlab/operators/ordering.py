@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import quoted
 from ..session import materialize
-from .joins import join_same, join_unique
+from .joins import MAX_BROADCAST_BYTES, join_same, table_bytes
 
 Bucket = Callable[[Column], Column]  # order column -> ordered bucket
 
@@ -263,25 +263,28 @@ def average_ranks(
     ranks, under the names ``values`` maps the columns to. Nulls come first and
     tie with one another; a null group is a group.
 
-    One way for tables of any size: the rows are written once, equal values are
-    counted for all columns together on the map side first (a value that a third
-    of all rows hold is one row to rank), the distinct values are ranked by range
-    bucket, and ranks are joined back by value: by broadcast where their measured
-    size allows, else under a shuffle that splits frequent values.
+    One way for tables of any size. Equal values are counted on the map side first,
+    so a value that a third of all rows hold is one row to rank. The distinct values
+    then go through one range shuffle: values stay in their order across partitions,
+    a running sum ranks them within, and the partitions' totals, one small row each,
+    are the offsets. Ranks of all columns of a type are written once and looked up by
+    value: by broadcast where their measured size allows, else under a shuffle that
+    splits frequent values.
     """
     by = list(by)
-    stored = materialize(df)
     kinds: dict[str, list[str]] = {}
     for value in values:
         kinds.setdefault(df.schema[value].dataType.simpleString(), []).append(value)
-    result = stored
+    result = df
     for same in kinds.values():
-        ranks = materialize(_ranks_of_values(stored, same, by))
+        ranks = materialize(_ranks_of_values(df, same, by))
+        # Of all columns together: an upper bound for each.
+        small = table_bytes(ranks) <= MAX_BROADCAST_BYTES
         for value in same:
             own = ranks.where(F.col("_column") == value).select(
                 *by, F.col("_v").alias(value), F.col("_r").alias(values[value])
             )
-            result = join_unique(result, own, [*by, value])
+            result = join_same(result, own, [*by, value], "left", small)
     return result.select(*[quoted(c) for c in [*df.columns, *values.values()]])
 
 
@@ -296,19 +299,27 @@ def _ranks_of_values(df: DataFrame, values: list[str], by: list[str]) -> DataFra
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    counts = materialize(counts)
-    bucket = range_bucket(counts, ["_v"])
-    counts = counts.withColumn("_b", bucket(natural_order(["_v"])))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+    order = [quoted(c) for c in [*keys, "_v"]]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Sorted in its partition, a row's id is the partition and the place in it.
+    placed = (
+        materialize(counts)
+        .repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_p", F.shiftright("_id", 33))
+    )
+    stored = materialize(placed)
+    inside = Window.partitionBy(*[quoted(k) for k in keys], "_p").orderBy("_id")
     upto = F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto)
-    if bucket is _one_bucket:
-        last = F.col("_upto")
-    else:
-        sums = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
-        group = Window.partitionBy(*keys).orderBy("_b")
-        before = group.rowsBetween(Window.unboundedPreceding, -1)
-        earlier = F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")
-        ranked = join_same(ranked, sums.select(*keys, "_b", earlier), [*keys, "_b"])
-        last = F.col("_off") + F.col("_upto")
-    return ranked.select(*keys, "_v", (last - (F.col("_c") - 1) / 2).alias("_r"))
+    # One row for each partition and each group in it.
+    totals = stored.groupBy(*[quoted(k) for k in keys], "_p").agg(F.sum("_c").alias("_s"))
+    before = Window.partitionBy(*[quoted(k) for k in keys]).orderBy("_p")
+    earlier = F.sum("_s").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(
+        *[quoted(k) for k in keys], "_p", F.coalesce(earlier, F.lit(0)).alias("_off")
+    )
+    ranked = join_same(stored.withColumn("_upto", upto), totals, [*keys, "_p"])
+    last = F.col("_off") + F.col("_upto")
+    rank = (last - (F.col("_c") - 1) / 2).alias("_r")
+    return ranked.select(*[quoted(k) for k in keys], "_v", rank)
