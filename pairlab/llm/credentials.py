@@ -1,5 +1,5 @@
 """Secrets in texts, and multipart credentials: weak candidates count only where
-complementary parts stand near them in the same block."""
+complementary parts stand in the same scope, a block of lines."""
 
 from __future__ import annotations
 
@@ -25,15 +25,33 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
 )
-#: Weak parts: an opaque string as secrets look like, and where it may be used.
+#: Weak parts: who a secret may belong to, an opaque string as secrets look like, of
+#: any length, and where it may be used.
 WEAK = (
-    ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])"),
+    (
+        "identity",
+        r"((?ai:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key_?id))"
+        r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]+)",
+    ),
+    ("secret", r"[A-Za-z0-9+/_-]{20,}={0,2}"),
     ("endpoint", r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+"),
 )
 KINDS = tuple(x[0] for x in (*BASE, *WEAK))
-IDENTIFIERS, SECRETS = ("access",), ("assign", "hex")
-#: Code points that may lie between parts of one credential.
-REACH = 200
+#: What each kind is in a credential. A weak part is reported where the scope holds
+#: one of each set of roles that complement its own.
+ROLES = {
+    "access": "identifier",
+    "identity": "identifier",
+    "assign": "secret",
+    "hex": "secret",
+    "secret": "secret",
+    "endpoint": "endpoint",
+}
+COMPLEMENTS = {
+    "identifier": {"secret"},
+    "secret": {"identifier", "endpoint"},
+    "endpoint": {"secret"},
+}
 
 Part = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -72,80 +90,67 @@ def _mixed(value: str) -> bool:
 
 
 def weak_parts(text: str, base: list[Part]) -> list[Part]:
-    """Weak candidates outside the base parts; only looked for beside some base
-    part, as nothing else can confirm them."""
-    parts = []
+    """Weak candidates that overlap no base part; opaque strings inside an endpoint
+    are a piece of it."""
+    found: dict[str, list[Part]] = {}
     for kind, pattern in _WEAK:
-        for m in pattern.finditer(text):
-            if KINDS[kind] == "secret" and not _mixed(m[0]):
-                continue
-            parts.append((m.start(), kind, m.end()))
-    return [p for p, near in _overlaps(sorted(parts), base, 0) if not near]
+        own = [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+        if KINDS[kind] == "secret":
+            own = [p for p in own if _mixed(text[p[0] : p[2]])]
+        found[KINDS[kind]] = [p for p, met in _overlaps(own, base) if not met]
+    known = found["endpoint"]
+    found["secret"] = [p for p, met in _overlaps(found["secret"], known) if not met]
+    known = sorted(found["secret"] + known)
+    found["identity"] = [p for p, met in _overlaps(found["identity"], known) if not met]
+    return sorted(p for own in found.values() for p in own)
 
 
 def _overlaps(
-    parts: list[Part], others: list[Part], reach: int
+    parts: list[Part], others: list[Part]
 ) -> Iterator[tuple[Part, list[Part]]]:
-    """Interval join by a sweep: for each part, the others that overlap it when it
-    is widened by ``reach`` on both sides. Both lists are sorted by start."""
+    """Interval join by a sweep: for each part the others that overlap it. Both lists
+    are sorted by start."""
     active: list[Part] = []
     following = 0
     for part in parts:
-        start, end = part[0] - reach, part[2] + reach
-        while following < len(others) and others[following][0] < end:
+        while following < len(others) and others[following][0] < part[2]:
             active.append(others[following])
             following += 1
-        active = [x for x in active if x[2] > start]
-        yield part, [x for x in active if x[0] < end]
+        active = [x for x in active if x[2] > part[0]]
+        yield part, [x for x in active if x[0] < part[2]]
 
 
-def blocks(text: str) -> list[int]:
-    """Where blocks of lines without a blank line between them end."""
-    return [m.start() for m in _BLANK_LINE.finditer(text)]
+def scopes(text: str) -> list[Part]:
+    """Blocks of lines without a blank line between them, as intervals."""
+    ends = [m.start() for m in _BLANK_LINE.finditer(text)]
+    return [(s, -1, e) for s, e in zip([0, *ends], [*ends, len(text) + 1], strict=True)]
 
 
-def linked(text: str, base: list[Part], reach: int = REACH) -> list[Part]:
-    """Weak parts that complement others within reach in their block: a weak
-    secret beside an access identifier, an endpoint beside an identifier and a
-    secret."""
-    if not any(KINDS[k] in IDENTIFIERS for _, k, _ in base):
-        return []
+def linked(text: str, base: list[Part]) -> list[Part]:
+    """Weak parts that complement others anywhere in their scope: an opaque string
+    beside an identifier or an endpoint, these beside a secret."""
+    opaque = any(_mixed(m[0]) for m in _WEAK[1][1].finditer(text))
+    if not opaque and not any(ROLES[KINDS[k]] == "secret" for _, k, _ in base):
+        return []  # neither identifiers nor endpoints mean anything alone
     weak = weak_parts(text, base)
     if not weak:
         return []
-    ends = blocks(text)
-
-    def block(part: Part) -> int:
-        low, high = 0, len(ends)
-        while low < high:
-            middle = (low + high) // 2
-            low, high = (middle + 1, high) if ends[middle] < part[0] else (low, middle)
-        return low
-
-    def beside(parts: list[Part], others: list[Part]) -> Iterator:
-        for part, near in _overlaps(parts, others, reach):
-            own = block(part)
-            yield part, {KINDS[x[1]] for x in near if x != part and block(x) == own}
-
-    secrets = [
-        part
-        for part, kinds in beside([p for p in weak if KINDS[p[1]] == "secret"], base)
-        if kinds & set(IDENTIFIERS)
-    ]
-    known = sorted(base + secrets)
-    endpoints = [
-        part
-        for part, kinds in beside([p for p in weak if KINDS[p[1]] == "endpoint"], known)
-        if kinds & set(IDENTIFIERS) and kinds & {*SECRETS, "secret"}
-    ]
-    return secrets + endpoints
+    reported = []
+    # A part lies in the scope where it begins: no kind crosses a blank line.
+    for _, inside in _overlaps(scopes(text), sorted(base + weak)):
+        roles = {ROLES[KINDS[k]] for _, k, _ in inside}
+        for part in inside:
+            needs = COMPLEMENTS[ROLES[KINDS[part[1]]]]
+            if part[1] >= len(BASE) and needs & roles:
+                reported.append(part)
+    return reported
 
 
 def written(parts: list[Part]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(parts))
 
 
-def scan(df: DataFrame, reach: int = REACH) -> DataFrame:
+def scan(df: DataFrame) -> DataFrame:
     """Per row ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``
     (of the base spans as kind:start:end) and ``spans`` (base and linked spans), in
     code points, ends exclusive, by start, then kind.
@@ -164,7 +169,7 @@ def scan(df: DataFrame, reach: int = REACH) -> DataFrame:
                 for kind, column in enumerate(counts):
                     column.append(sum(p[1] == kind for p in base))
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
-                spans.append(written(base + linked(text, base, reach)))
+                spans.append(written(base + linked(text, base)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

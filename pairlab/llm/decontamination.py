@@ -112,17 +112,57 @@ def block_index(items: DataFrame) -> DataFrame:
     )
 
 
+def _again(ordered: Column) -> Column:
+    """Of a sorted array what equals its forerunner: every value once less."""
+    return F.filter(
+        ordered, lambda x, i: (i > 0) & x.eqNullSafe(F.get(ordered, i - F.lit(1)))
+    )
+
+
 def common_weight(window: Column, item: Column) -> Column:
-    """Sum over the item's distinct hashes of the smaller number of times."""
+    """Sum over the distinct hashes of both of the smaller number of times.
+
+    What both hold counts once by a hashed intersection. Of the repetitions, those
+    beyond a value's first, few different ones are counted one by one, and many
+    different ones by rounds, each of which takes one more time of every value: in
+    both cases the work stays far below the product of the lengths.
+    """
 
     def times(array: Column, h: Column) -> Column:
         return F.size(F.filter(array, lambda x: x == h))
 
-    return F.aggregate(
-        F.array_distinct(item),
-        F.lit(0),
-        lambda a, h: a + F.least(times(window, h), times(item, h)),
+    def few(w: Column, i: Column) -> Column:
+        return F.aggregate(
+            F.array_intersect(w, i),
+            F.lit(0),
+            lambda a, h: a + F.least(times(w, h), times(i, h)),
+        )
+
+    def rounds(w: Column, i: Column) -> Column:
+        # One more time than that no value of the shorter array occurs.
+        most = F.least(F.size(w), F.size(i))
+        start = F.struct(w.alias("w"), i.alias("i"), F.lit(0).alias("n"))
+        done = F.aggregate(
+            F.sequence(F.lit(1), F.ceil(F.sqrt(most)).cast("int") + 1),
+            start,
+            lambda a, _: F.struct(
+                _again(a["w"]).alias("w"),
+                _again(a["i"]).alias("i"),
+                (a["n"] + F.size(F.array_intersect(a["w"], a["i"]))).alias("n"),
+            ),
+        )
+        # What is left has few different values: each occurs more often than that.
+        return let(done, lambda d: d["n"] + few(d["w"], d["i"]))
+
+    def more(both: Column) -> Column:
+        w, i = both["w"], both["i"]
+        return F.when((F.size(w) == 0) | (F.size(i) == 0), 0).otherwise(rounds(w, i))
+
+    repeated = F.struct(
+        let(F.sort_array(window), _again).alias("w"),
+        let(F.sort_array(item), _again).alias("i"),
     )
+    return F.size(F.array_intersect(window, item)) + let(repeated, more)
 
 
 def _bitmap(grams: DataFrame) -> str:
@@ -258,13 +298,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``df``, with all columns, whose text holds no copy of an item.
-    Each row with a text is judged by it, also without a ``doc_id`` or with one that
-    other rows have. A row whose text is null has nothing to be judged by and goes
-    with any other row of its ``doc_id``, or of none."""
+    Each row is judged by its own text, also without a ``doc_id`` or with one that
+    other rows have; a null text holds no copy and stays."""
     found = candidates(df, benchmark).select("doc_id", "t1", "t2").distinct()
     found = materialize(found)
-    no_text = text_hash(F.lit(None).cast("string"))
-    found = found.union(found.select("doc_id", *no_text)).distinct()
     found = hinted(found, 32).withColumnRenamed("doc_id", "found_doc")
     names = [f"c{i}" for i in range(len(df.columns))]
     doc_id, text = (names[df.columns.index(c)] for c in ("doc_id", "text"))

@@ -10,8 +10,11 @@ the whole corpus, and packed until nothing of it is left.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -31,19 +34,37 @@ SHARD_DOCS, PARTITION_DOCS = 2048, 8192
 QUERY_TOKENS, ANSWERS = 48, 256
 #: The usual constants of BM25.
 SATURATION, LENGTH_SHARE = 1.2, 0.75
-#: Chunks kept with their ids in a Python worker; beyond, the memory starts anew.
-KNOWN_CHUNKS = 300_000
-#: Chunks of these characters only are cut and lower-cased here: their letters and
-#: case are the same in every Unicode version, none is composed or special.
-_PLAIN = re.compile("[!-;=?-~À-ÖØ-öø-įı-ɏ]*")
+#: Words and chunks kept with their ids in a Python worker, some 100 MB; beyond, the
+#: memory starts anew.
+KNOWN_WORDS, KNOWN_CHUNKS = 300_000, 150_000
+#: Text of these characters only is cut and lower-cased here: their letters and case
+#: are the same in every Unicode version, none is composed. ``<|`` begins the
+#: vocabulary's special tokens.
+_PLAIN = re.compile("[\\t\\n\\r -~¡-±´-¸º»¿À-įı-ſ‐-‧€]*")
+_SPECIAL = "<|"
+_LETTERS = "a-zªµºß-öø-įı-ſ"
 # How the vocabulary cuts lower-case text into words.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_WORDS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{_LETTERS}0-9\s]+")
+#: Most chunks: a word, and signs behind it.
+_WORD = re.compile(rf"([A-ZÀ-ÖØ-Þ{_LETTERS}]+)([.,;:!?]*)")
+
+
+class _Memory(dict):
+    """Makes what it doesn't hold."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        found = self[text] = self.make(text)
+        return found
 
 
 class Chunks:
     """Ids of texts by a ``tokenizer.json`` of lower-case words, as the library gives
-    them. Its words never cross a blank, so chunks between blanks are encoded each
-    once and remembered."""
+    them. Words never cross a blank, so chunks between blanks are encoded each once
+    and remembered: plain ones by their words, others by the library as they are."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -52,56 +73,60 @@ class Chunks:
         self.library.no_truncation()
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
         self.letters = byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        self.words, self.chunks = _Memory(self._word), _Memory(self._chunk)
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            spelt = "".join([self.letters[b] for b in word.encode()])
-            found = self._bytes([t.id for t in self.library.model.tokenize(spelt)])
-            self.words[word] = found
-        return found
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) > KNOWN_CHUNKS or len(self.words) > KNOWN_CHUNKS:
-            self.chunks.clear()
-            self.words.clear()
-        other = []
-        for chunk in new:
-            if _PLAIN.fullmatch(chunk):
-                words = _WORDS.findall(chunk.lower())
-                self.chunks[chunk] = b"".join([self._word(w) for w in words])
-            else:
-                other.append(chunk)
-        made = self.library.encode_batch(other, add_special_tokens=False)
-        for chunk, encoding in zip(other, made, strict=True):
-            self.chunks[chunk] = self._bytes(encoding.ids)
+        spelt = (
+            word
+            if word.isascii()
+            else "".join([self.letters[b] for b in word.encode()])
+        )
+        found = [t.id for t in self.library.model.tokenize(spelt)]
+        return array(self.code, found).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if simple := _WORD.fullmatch(chunk):
+            word, signs = simple.groups()
+            found = self.words[word.lower()]
+            return found + self.words[signs] if signs else found
+        if _SPECIAL not in chunk and _PLAIN.fullmatch(chunk):
+            words = _WORDS.findall(chunk.lower())
+            return b"".join(map(self.words.__getitem__, words))
+        found = self.library.encode(chunk, add_special_tokens=False).ids
+        return array(self.code, found).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
+        if len(self.words) > KNOWN_WORDS:
+            self.words.clear()
+        if len(self.chunks) > KNOWN_CHUNKS:
+            self.chunks.clear()
         chunks = text.replace("\n", " ").split(" ")
-        if new := set(chunks).difference(self.chunks):
-            self._learn(new)
-            new = set(chunks).difference(self.chunks)  # where memory started anew
-            if new:
-                self._learn(new)
-        return np.frombuffer(b"".join([self.chunks[c] for c in chunks]), self.kind)
+        found = b"".join(map(self.chunks.__getitem__, chunks))
+        return np.frombuffer(found, self.kind)
+
+
+def _reused(spec: str) -> Chunks:
+    """What this Python worker has learned in earlier tasks, where it had any."""
+    name = "_pairlab_known_chunks"
+    known = sys.modules.setdefault(name, ModuleType(name)).__dict__
+    key = hash(spec)
+    if key not in known:
+        known[key] = Chunks(spec)
+    return known[key]
 
 
-def _sketch(ids: np.ndarray) -> int:
-    """Two minima of hashes of a document's tokens: similar documents often share the
-    first."""
-    if not len(ids):
-        return 0
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    first = int((x >> np.uint64(33)).min())
-    second = int(((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).min())
-    return first << 32 | second
+def _sketches(distinct: list[np.ndarray]) -> list[int]:
+    """Of each document two minima of hashes of its tokens: similar documents often
+    share the first."""
+    starts = np.cumsum([0, *[len(x) for x in distinct[:-1]]])
+    x = np.concatenate(distinct).astype(np.uint64) + np.uint64(1)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    first = np.minimum.reduceat(x >> np.uint64(33), starts)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    second = np.minimum.reduceat(x >> np.uint64(32), starts)
+    return (first << np.uint64(32) | second).tolist()
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -120,15 +145,14 @@ def tokenized(df: DataFrame, path: str, window: int, end: int) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, held = Chunks(spec.value), np.zeros(0, np.int64)
+        chunks, held = _reused(spec.value), np.zeros(0, np.int64)
         kind = np.dtype(chunks.kind)
         for batch in batches:
             rows, own = [], []
             texts = batch.column("text").to_pylist()
             for doc_id, text in zip(batch["doc_id"].to_pylist(), texts, strict=True):
                 ids = np.append(chunks.ids(text), np.array([end], kind))
-                distinct = np.unique(ids)
-                own.append(distinct)
+                own.append(np.unique(ids))
                 whole = len(ids) // window
                 crcs = [_crc(ids[k * window :][:window]) for k in range(whole)]
                 rest = ids[whole * window :]
@@ -138,11 +162,11 @@ def tokenized(df: DataFrame, path: str, window: int, end: int) -> DataFrame:
                         len(ids),
                         np.array(crcs, "<u4").tobytes(),
                         rest.tobytes(),
-                        _sketch(distinct),
-                        None,
                     )
                 )
             if rows:
+                sketches = _sketches(own)
+                rows = [(*r, s, None) for r, s in zip(rows, sketches, strict=True)]
                 counts = np.bincount(np.concatenate(own))
                 if len(counts) > len(held):
                     held = np.append(held, np.zeros(len(counts) - len(held), np.int64))

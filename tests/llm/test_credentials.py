@@ -51,7 +51,15 @@ def test_base_spans(pieces):
         (f"id {KEY} key {SECRET}", {"secret"}),
         (f"key {SECRET}", set()),
         (f"id {KEY}\n\nkey {SECRET}", set()),
-        (f"id {KEY} " + "x " * 300 + SECRET, set()),
+        (f"id {KEY} " + "x " * 3000 + SECRET, {"secret"}),
+        (f"id {KEY} key {SECRET * 20}", {"secret"}),
+        (f"user: bob {SECRET}", {"identity", "secret"}),
+        ("client_id=abc\npassword: hunter2hunter2", {"identity"}),
+        ("client_id=abc\n \npassword: hunter2hunter2", set()),
+        (f"{SECRET} for https://s3.host.example/b", {"secret", "endpoint"}),
+        (f"see https://host.example/{SECRET}", set()),
+        ("user=bob at https://s3.host.example/b", set()),
+        ("account = 17, token = abcdefgh12, ftp://x.y/z", {"identity", "endpoint"}),
         (f"{KEY} {SECRET} at https://s3.host.example/b", {"secret", "endpoint"}),
         (f"{KEY} at https://s3.host.example/b", set()),
         ("https://s3.host.example/b", set()),
@@ -63,6 +71,49 @@ def test_weak_parts_need_others(text, kinds):
     assert {KINDS[p[1]] for p in linked(text, base_parts(text))} == kinds
 
 
+def by_hand(text):
+    """Each block by itself, each weak match against all other parts."""
+    found, at = [], 0
+    for line_block in re.split(r"(\n[\x20\t\r]*(?=\n))", text):
+        own = [(s, k, e) for s, k, e in plain(line_block)]
+        weak = []
+        for k, (_, pattern) in enumerate(credentials.WEAK):
+            for m in re.finditer(pattern, line_block):
+                if credentials.WEAK[k][0] == "secret" and not (
+                    re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])
+                ):
+                    continue
+                weak.append((m.start(), 3 + k, m.end()))
+
+        def meets(p, others):
+            return any(p[0] < o[2] and o[0] < p[2] for o in others)
+
+        weak = [p for p in weak if not meets(p, own)]
+        ends = [p for p in weak if p[1] == 5]
+        secrets = [p for p in weak if p[1] == 4 and not meets(p, ends)]
+        names = [p for p in weak if p[1] == 3 and not meets(p, ends + secrets)]
+        who = [p for p in own if p[1] == 1] + names
+        what = [p for p in own if p[1] in (0, 2)] + secrets
+        told = [p for p in names if what] + [p for p in ends if what]
+        told += [p for p in secrets if who or ends]
+        found += [(s + at, k, e + at) for s, k, e in told]
+        at += len(line_block)
+    return sorted(found)
+
+
+LINKS = st.sampled_from(
+    ["user", "client_id", ": ", "=", "bob", " ", "\n", "\n\n", "\n \n", '"', KEY, SECRET]
+    + ["https://a.b/c", "s3://x", "password=abcdefgh1", "0123456789abcdef" * 2, "é", "A1b" * 9]
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(LINKS, max_size=14))
+def test_links_by_hand(pieces):
+    text = "".join(pieces)
+    assert sorted(linked(text, base_parts(text))) == by_hand(text)
+
+
 def test_rows(spark, odd_documents, no_documents):
     texts = [f"é {KEY} {SECRET}", "password: hunter2hunter2", None, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")

@@ -42,7 +42,8 @@ def test_mixed_pieces(seed):
 
 
 def test_memory_starts_anew(monkeypatch):
-    monkeypatch.setattr(packing, "KNOWN_CHUNKS", 5)
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 5)
+    monkeypatch.setattr(packing, "KNOWN_CHUNKS", 7)
     text = " ".join(f"word{k % 13} é{k}" for k in range(40))
     chunks = packing.Chunks(open(PATH, encoding="utf-8").read())
     for _ in range(3):
