@@ -1,9 +1,8 @@
 """Sparse random projection with a matrix defined by a hash.
 
-Entry (input j, component c) depends on seed, j and c alone, so the matrix is
-the same on any cluster and in any batch. Spark generates its non-zero entries
-once; they are few (d * k / sqrt(d)) and are broadcast behind a size check, and
-rows are projected batch by batch where they lie, without a shuffle.
+The draws of a component depend on seed and component alone, so the matrix is the
+same on any cluster and in any batch. Only its kept cells are drawn, by the tasks that
+need them, and rows are projected batch by batch where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,85 +13,135 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions.paths import quoted
 from ..shapes import option_name
 from .filters import DEFAULT_MAX_FEATURE_BYTES, check_feature_bytes, check_features
+from .krr import bounded_batches
 from .vectors import FEATURES, Chain, lists_of, matrix_of
 
 MAX_COMPONENTS = 1024
-MAX_ENTRIES = 64_000_000  # 16 bytes each: about 1 GB broadcast
-BLOCK_VALUES = 16_000_000  # dense slice of the matrix built at a time
+#: Entries that a task keeps; more are drawn anew for every batch.
+HELD_ENTRIES = 16_000_000
+#: Values of vectors, and of their gathered entries, that a task holds at a time.
+BATCH_VALUES = 8_000_000
+# A public 64-bit mixing function.
+MIX_STEP = 0x9E3779B97F4A7C15
+MIX_ROUNDS = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+MIX_LAST = 31
+#: What sets the draws of different seeds apart.
+SEED_STEP = 1_000_003
 
 
 def default_components(dim: int, components: int | None = None) -> int:
     return int(components) if components else min(MAX_COMPONENTS, max(1, dim))
 
 
-def hash_uniform(*parts: Column) -> Column:
-    """Integer in [0, 2**32) from the first eight hex digits of a SHA-256."""
-    digest = F.sha2(F.concat_ws("|", *parts), 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    z = keys + np.uint64(MIX_STEP)
+    for shift, factor in MIX_ROUNDS:
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z ^ (z >> np.uint64(MIX_LAST))
 
 
-def projection_entries(
-    spark: SparkSession, dim: int, components: int, seed: int
-) -> DataFrame:
-    """Non-zero entries (feature, component, value): density 1/sqrt(d), values
-    plus or minus sqrt(1/density)/sqrt(k)."""
-    density = 1.0 / sqrt(dim)
-    size = sqrt(1.0 / density) / sqrt(components)
-    half, full = int(density / 2 * 2**32), int(density * 2**32)
-    cells = spark.range(dim).select(
-        F.col("id").cast("int").alias("feature"),
-        F.explode(F.sequence(F.lit(0), F.lit(components - 1))).alias("component"),
-    )
-    draw = hash_uniform(
-        F.lit(str(seed)),
-        F.col("feature").cast("string"),
-        F.col("component").cast("string"),
-    )
-    cells = cells.withColumn("draw", draw).where(F.col("draw") < full)
-    value = F.when(F.col("draw") < half, size).otherwise(-size)
-    return cells.select("feature", "component", value.alias("value"))
-
-
-def _load_entries(
-    spark: SparkSession, dim: int, components: int, seed: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    expected = components * sqrt(dim)
-    if expected > MAX_ENTRIES:
-        raise ValueError(
-            f"Projection of {dim} features to {components} components has about "
-            f"{expected:.0f} entries, more than {MAX_ENTRIES}. Use fewer components."
-        )
-    table = projection_entries(spark, dim, components, seed).toArrow()
-    feature, component, value = (
-        table[name].to_numpy() for name in ("feature", "component", "value")
-    )
-    order = np.argsort(feature, kind="stable")
-    return feature[order], component[order], value[order]
-
-
-def _project_rows(
-    matrix: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int
-) -> np.ndarray:
-    """``matrix @ R`` with a dense slice of R built for a block of features at a
-    time, so memory stays flat however long the vectors are."""
-    feature, component, value = entries
-    dim = matrix.shape[1]
-    width = max(1, BLOCK_VALUES // k)
-    result = np.zeros((matrix.shape[0], k), dtype=np.float64)
-    for start in range(0, dim, width):
-        stop = min(start + width, dim)
-        lo, hi = np.searchsorted(feature, (start, stop))
-        block = np.zeros((stop - start, k), dtype=np.float64)
-        block[feature[lo:hi] - start, component[lo:hi]] = value[lo:hi]
-        result += matrix[:, start:stop] @ block
-    return result.astype(np.float32)
+@dataclass(frozen=True)
+class SparseMatrix:
+    """A random matrix of features x components of density 1/sqrt(d) with values plus
+    or minus sqrt(1/density)/sqrt(k), defined by a hash.
+
+    Only the kept cells are drawn: down each component, a draw says how many features
+    are skipped before the next one. Draw ``i`` of component ``c`` is a function of
+    (seed, c, i) alone, so every task makes the parts it needs by itself.
+    """
+
+    dim: int
+    components: int
+    seed: int
+
+    @property
+    def density(self) -> float:
+        return 1.0 / sqrt(self.dim)
+
+    @property
+    def size(self) -> float:
+        return sqrt(1.0 / self.density) / sqrt(self.components)
+
+    def draws(self) -> int:
+        """Draws of a component at a time: seldom too few, and then continued."""
+        expected = self.dim * self.density
+        return int(expected + 6 * sqrt(expected) + 16)
+
+    def entries(self, first: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Components ``first`` to ``stop``: all features in order, their signs, and
+        where each component starts."""
+        count, start = self.draws(), np.zeros(stop - first)
+        seed = (self.seed * SEED_STEP) % (1 << 32)
+        keys = (np.arange(first, stop, dtype=np.uint64) + np.uint64(seed)) << np.uint64(32)
+        features, signs, owners, begin = [], [], [], 0
+        while True:
+            at = np.arange(begin, begin + count, dtype=np.uint64)
+            z = _mixed(keys[:, None] + at)
+            uniform = ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+            if self.density < 1:
+                skipped = np.floor(np.log(uniform) / np.log1p(-self.density))
+            else:
+                skipped = np.zeros(uniform.shape)
+            place = np.cumsum(skipped + 1, axis=1) + start[:, None] - 1
+            held = place < self.dim
+            owner, column = np.nonzero(held)
+            features.append(place[owner, column].astype(np.int64))
+            signs.append(1.0 - 2.0 * (z[owner, column] & np.uint64(1)))
+            owners.append(owner)
+            if not held[:, -1].any():
+                break
+            begin, start = begin + count, place[:, -1] + 1
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        starts = np.searchsorted(owner[order], np.arange(stop - first))
+        return np.concatenate(features)[order], np.concatenate(signs)[order], starts
+
+    def chunks(self, rows: int) -> Iterator[tuple[int, int]]:
+        """Runs of components whose entries, for so many rows, fit in memory."""
+        width = max(1, int(BATCH_VALUES / max(1, rows) / (self.draws() + 1)))
+        for first in range(0, self.components, width):
+            yield first, min(first + width, self.components)
+
+
+class Projector:
+    """``vectors @ R`` by gathering the kept features of each component."""
+
+    def __init__(self, matrix: SparseMatrix) -> None:
+        self.matrix = matrix
+        self.keep = matrix.components * matrix.draws() <= HELD_ENTRIES
+        self.held: dict[tuple[int, int], tuple] = {}
+
+    def _entries(self, first: int, stop: int) -> tuple:
+        if not self.keep:
+            return self.matrix.entries(first, stop)
+        if (first, stop) not in self.held:
+            self.held[first, stop] = self.matrix.entries(first, stop)
+        return self.held[first, stop]
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        matrix = self.matrix
+        result = np.zeros((len(vectors), matrix.components), np.float32)
+        most = max(1, BATCH_VALUES // matrix.dim)
+        for at in range(0, len(vectors), most):
+            some = vectors[at : at + most].astype(np.float64)
+            for first, stop in matrix.chunks(most):
+                features, signs, starts = self._entries(first, stop)
+                if not len(features):
+                    continue
+                # A component without entries starts where the next one does.
+                filled = np.diff(np.append(starts, len(features))) > 0
+                sums = np.zeros((len(some), stop - first))
+                sums[:, filled] = np.add.reduceat(
+                    some[:, features] * signs, starts[filled], axis=1
+                )
+                result[at : at + most, first:stop] = sums * matrix.size
+        return result
 
 
 def project_sparse_random(
@@ -102,23 +151,23 @@ def project_sparse_random(
     features: str = "features",
     dim: int | None = None,
 ) -> DataFrame:
-    """Replace the vectors by their projection; other columns stay."""
+    """Replace the vectors by their projection; other columns stay. Each task draws
+    the matrix, or its parts, from its definition; nothing of it is collected or sent,
+    and there is no limit on features or components."""
     if dim is None:
         _, dim = check_features(df, features)
     if dim == 0:
         return df
-    k = default_components(dim, components)
-    spark = df.sparkSession
-    entries = spark.sparkContext.broadcast(_load_entries(spark, dim, k, seed))
+    matrix = SparseMatrix(dim, default_components(dim, components), seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project = Projector(matrix)
         for batch in batches:
-            at = batch.schema.get_field_index(features)
-            matrix = matrix_of(batch.column(at), np.float64)
             if batch.num_rows == 0:
                 continue
+            at = batch.schema.get_field_index(features)
             projected = lists_of(
-                _project_rows(matrix, entries.value, k), pa.float32()
+                project(matrix_of(batch.column(at), np.float32)), pa.float32()
             )
             columns = [projected if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
@@ -129,7 +178,9 @@ def project_sparse_random(
         else f
         for f in df.schema.fields
     ]
-    return df.mapInArrow(run, T.StructType(fields))
+    # Wide vectors, not their number, fill a worker's memory.
+    bounded = bounded_batches(df, max(1, BATCH_VALUES // dim))
+    return bounded.mapInArrow(run, T.StructType(fields))
 
 
 PROJECTIONS = {

@@ -59,9 +59,19 @@ def test_unknown_names(spark):
 
 
 def dense(spark, dim, k, seed):
-    result = np.zeros((dim, k))
-    for r in projection.projection_entries(spark, dim, k, seed).collect():
-        result[r["feature"], r["component"]] = r["value"]
+    """The matrix draw by draw."""
+    result, matrix = np.zeros((dim, k)), projection.SparseMatrix(dim, k, seed)
+    for c in range(k):
+        at, i = 0, 0
+        while True:
+            key = (((c + seed * 1_000_003 % 2**32) << 32) + i) % 2**64
+            z = int(projection._mixed(np.array([key], np.uint64))[0])
+            uniform = ((z >> 11) + 0.5) / 2**53
+            at += int(np.floor(np.log(uniform) / np.log1p(-matrix.density))) if dim > 1 else 0
+            if at >= dim:
+                break
+            result[at, c] = matrix.size * (-1 if z & 1 else 1)
+            at, i = at + 1, i + 1
     return result
 
 
@@ -71,7 +81,9 @@ def test_projection_is_the_matrix_product(spark, monkeypatch):
     expected = matrix(df) @ dense(spark, 30, 6, 9)
     whole = matrix(projection.project_features(df, "sparse_random", 6, 9))
     assert np.allclose(whole, expected, atol=1e-5)
-    monkeypatch.setattr(projection, "BLOCK_VALUES", 42)
+    monkeypatch.setattr(projection, "BATCH_VALUES", 42)
+    monkeypatch.setattr(projection, "HELD_ENTRIES", 3)
+    monkeypatch.setattr(projection.SparseMatrix, "draws", lambda self: 2)
     blocked = matrix(projection.project_features(df, "sparse_random", 6, 9))
     assert np.allclose(blocked, whole, atol=1e-6)
 
@@ -83,6 +95,19 @@ def test_projection_keeps_distances_roughly(spark):
     assert norms.mean() == pytest.approx(1, abs=0.1)
 
 
+def test_a_million_features(spark):
+    """Nothing of the matrix is held, collected or limited."""
+    points = np.zeros((3, 1_000_000), np.float32)
+    points[0, ::7], points[1, 5], points[2] = 1, 2, 0.5
+    df = table(spark, points)
+    found = matrix(projection.project_features(df, "sparse_random", 32, 3))
+    entries = projection.SparseMatrix(1_000_000, 32, 3)
+    features, signs, starts = entries.entries(0, 32)
+    expected = np.add.reduceat(points[:, features] * signs, starts, axis=1) * entries.size
+    assert np.allclose(found, expected, atol=1e-3)
+    assert len(features) == pytest.approx(32_000, rel=0.05)
+
+
 def test_default_components(spark):
     assert projection.default_components(3) == 3
     assert projection.default_components(5000) == 1024

@@ -85,24 +85,34 @@ def _sized(components: int) -> float:
     return (1 / density) ** 0.5 / components**0.5
 
 
-def _entries(components: int, seed: int) -> str:
-    density, size = 1 / DIM**0.5, _sized(components)
-    half, full = int(density / 2 * 2**32), int(density * 2**32)
+def _entries(components: int, seed: int, dim: int = DIM) -> str:
+    """The entries from their definition: each component's draws, how many features
+    each skips, and where that leads."""
+    matrix = projection.SparseMatrix(dim, components, seed)
+    start, whole = (seed * projection.SEED_STEP) % 2**32, 2**64
+    big = "::uhugeint"
+    z = f"((c + {start}){big} * {2**32}{big} + i{big} + {projection.MIX_STEP}{big})"
+    z = f"({z} % {whole}{big})"
+    steps = [f"select c, i, {z}::ubigint as z from range({components}) a(c), draws"]
+    for shift, factor in projection.MIX_ROUNDS:
+        mixed = f"xor(z, z >> {shift})::uhugeint * {factor}::uhugeint % {whole}::uhugeint"
+        steps.append(f"select c, i, ({mixed})::ubigint as z from ({steps[-1]})")
+    last = f"select c, i, xor(z, z >> {projection.MIX_LAST}) as z from ({steps[-1]})"
+    skip = f"floor(ln(((z >> 11)::double + 0.5) / pow(2, 53)) / ln(1 - {matrix.density!r}))"
     return f"""
-    select j::int as feature, c::int as component,
-           case when draw < {half} then {size!r}::double else -{size!r}::double end
-             as value
-    from (select j, c, ('0x' || substr(sha256('{seed}|' || j || '|' || c), 1, 8))::bigint
-            as draw
-          from range({DIM}) a(j), range({components}) b(c))
-    where draw < {full}
+    select place::int as feature, c::int as component,
+           case when z & 1 = 0 then {matrix.size!r}::double else -{matrix.size!r}::double
+             end as value
+    from (select c, z, sum({skip} + 1) over (partition by c order by i) - 1 as place
+          from (with draws as (select unnest(range({8 * matrix.draws()})) as i) {last}))
+    where place < {dim}
     """
 
 
-def _projected(source: str, components: int, seed: int) -> str:
+def _projected(source: str, components: int, seed: int, dim: int = DIM) -> str:
     """Every row has every component, zero where no entry meets it."""
     return f"""
-    with e as ({_entries(components, seed)}), x as ({source}),
+    with e as ({_entries(components, seed, dim)}), x as ({source}),
     hits as (
       select row_id, component, sum(x.value * e.value) as value
       from x join e on e.feature = x.place group by row_id, component)
@@ -118,6 +128,45 @@ def project_features(spark, sf_dir):
     return cells(projection.project_features(df, "sparse-random", 16, 42))
 
 
+WIDTH = 20_000
+WIDE_CELLS = f"""
+    select s_suppkey as row_id, ((s_suppkey * 7919 + k * 104729) % {WIDTH})::int as place,
+           (s_suppkey % 97 + k / 64)::double as value
+    from supplier, range(60) t(k)
+    """
+
+
+@query("project_wide", _projected(WIDE_CELLS, 12, 7, WIDTH))
+def project_wide(spark, sf_dir):
+    """Vectors of 20,000 features, most of them zero."""
+    place = (F.col("row_id") * 7919 + F.col("k") * 104729) % WIDTH
+    filled = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("row_id"), F.explode(F.expr("sequence(0L, 59L)")).alias("k")
+    )
+    value = F.struct(
+        place.cast("int").alias("place"),
+        (F.col("row_id") % 97 + F.col("k") / 64).cast("float").alias("value"),
+    )
+    held = filled.groupBy("row_id").agg(F.sort_array(F.collect_list(value)).alias("held"))
+    # Zeros before each value, and behind the last.
+    gaps = F.transform(
+        "held",
+        lambda x, i: F.concat(
+            F.array_repeat(
+                F.lit(0.0).cast("float"),
+                x["place"] - F.coalesce(F.get("held", i - 1)["place"], F.lit(-1)) - 1,
+            ),
+            F.array(x["value"]),
+        ),
+    )
+    rest = F.lit(WIDTH - 1) - F.element_at("held", -1)["place"]
+    vectors = F.concat(
+        F.flatten(gaps), F.array_repeat(F.lit(0.0).cast("float"), rest)
+    )
+    df = held.select("row_id", vectors.alias("features"))
+    return cells(projection.project_features(df, "sparse-random", 12, 7))
+
+
 SIGNS = f"select row_id, place, sign(value)::double as value from ({CELLS})"
 
 
