@@ -7,20 +7,24 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .filters import DEFAULT_MAX_FEATURE_BYTES, check_feature_bytes, check_features
 from .joins import join_same
+from .krr import PARTIAL, _partial_rows, _sum_rows, bounded_batches
 from .projection import prepare_features
 from .splits import take_subset
 from .vectors import matrix_of
 
 MAX_CENTRE_BYTES = 1024**3
 CHUNK_VALUES = 4_000_000
+#: Rows that starting centres are drawn from, at least.
+SAMPLE_ROWS = 2_000
+#: Rows that are compared with a band of centres together, and centres on either side
+#: of their length that give the first distances.
+GROUP_ROWS, GUESSED = 512, 4
 
 
 def _check_centres(count: int, dim: int) -> None:
@@ -31,6 +35,112 @@ def _check_centres(count: int, dim: int) -> None:
         )
 
 
+def starting_centres(
+    sample: np.ndarray, count: int, seed: int, runs: int
+) -> np.ndarray:
+    """For each run ``count`` rows of the sample, each drawn with a chance that grows
+    with the squared distance to those drawn before."""
+    made = np.empty((runs, count, sample.shape[1]))
+    for run in range(runs):
+        random = np.random.default_rng([seed, run])
+        made[run, 0] = sample[random.integers(len(sample))]
+        near = np.full(len(sample), np.inf)
+        for k in range(1, count):
+            near = np.minimum(near, _distances(sample, made[run, k - 1 : k])[:, 0])
+            total = float(near.sum())
+            chances = near / total if total > 0 else None
+            made[run, k] = sample[random.choice(len(sample), p=chances)]
+    return made
+
+
+class _Assigner:
+    """Nearest centres of all runs. Rows and centres are ordered by their lengths; two
+    lengths that differ by more than a distance already found put a centre out of
+    question, so that a group of rows meets only the centres of a band."""
+
+    def __init__(self, centres: np.ndarray) -> None:
+        self.runs = []
+        for own in centres:
+            lengths = np.sqrt((own * own).sum(axis=1))
+            order = np.argsort(lengths, kind="stable")
+            self.runs.append((own[order], lengths[order], order))
+
+    def __call__(self, x: np.ndarray, lengths: np.ndarray, run: int):
+        """Centre and squared distance of each row of a group of similar length."""
+        centres, norms, order = self.runs[run]
+        middle = int(np.searchsorted(norms, lengths[len(lengths) // 2]))
+        first = slice(max(0, middle - GUESSED), min(len(norms), middle + GUESSED))
+        reach = np.sqrt(_distances(x, centres[first]).min(axis=1))
+        # A margin for what rounding takes from the guesses.
+        low = float((lengths - reach).min()) - 1e-9 * (1 + float(lengths.max()))
+        high = float((lengths + reach).max()) + 1e-9 * (1 + float(lengths.max()))
+        band = slice(*np.searchsorted(norms, (low, high), side="left"))
+        band = slice(min(band.start, first.start), max(band.stop, first.stop))
+        found = _distances(x, centres[band])
+        best = found.argmin(axis=1)
+        return order[band][best], found[np.arange(len(x)), best]
+
+
+def _updated(
+    df: DataFrame, centres: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """One pass for all runs: the mean of each centre's rows (the centre itself where
+    it has none), and the cost of the centres given."""
+    runs, count, dim = centres.shape
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        assign = _Assigner(shared.value)
+        total = np.zeros((runs * count, dim + 2))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = matrix_of(batch.column(0))
+            lengths = np.sqrt((x * x).sum(axis=1))
+            order = np.argsort(lengths, kind="stable")
+            for at in range(0, len(x), GROUP_ROWS):
+                some = order[at : at + GROUP_ROWS]
+                rows = x[some]
+                for k in range(runs):
+                    near, distances = assign(rows, lengths[some], k)
+                    own = np.hstack([rows, np.ones((len(rows), 1)), distances[:, None]])
+                    np.add.at(total, near + k * count, own)
+        yield from _partial_rows((0, total))
+
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    sums = _sum_rows(df.coalesce(cores).mapInArrow(run, PARTIAL))
+    if not sums:
+        raise ValueError("No rows to cluster.")
+    total = np.vstack([sums[i] for i in range(runs * count)])
+    total = total.reshape(runs, count, dim + 2)
+    sizes = total[:, :, dim : dim + 1]
+    means = np.where(sizes > 0, total[:, :, :dim] / np.maximum(sizes, 1), centres)
+    return means, total[:, :, dim + 1].sum(axis=1)
+
+
+def lloyd(
+    df: DataFrame,
+    starts: np.ndarray,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+    features: str = "features",
+) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of several runs (runs x centres x features) after Lloyd's steps from
+    ``starts``, and the cost of the centres before the last step. Each pass over the
+    rows moves all runs; a run whose centres all move by less than ``tol`` is done."""
+    rows = df.select(F.col(features).alias("x"))
+    dim = starts.shape[2]
+    rows = bounded_batches(rows, max(1, CHUNK_VALUES // dim))
+    centres, costs = starts.astype(np.float64).copy(), np.full(len(starts), np.inf)
+    moving, steps = np.arange(len(starts)), 0
+    while len(moving) and steps < max_iter:
+        after, costs[moving] = _updated(rows, centres[moving])
+        moved = np.sqrt(((after - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
+        centres[moving] = after
+        moving, steps = moving[moved > tol], steps + 1
+    return centres, costs
+
+
 def kmeans_centres(
     df: DataFrame,
     count: int,
@@ -39,19 +149,23 @@ def kmeans_centres(
     max_iter: int = 300,
     features: str = "features",
 ) -> np.ndarray:
-    """Centres of the best of ``n_init`` runs with different seeds."""
-    vectors = df.select(array_to_vector(features).alias("features")).cache()
-    try:
-        best = None
-        for run in range(n_init):
-            model = KMeans(k=count, seed=seed + run, maxIter=max_iter, tol=1e-4).fit(
-                vectors
-            )
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, np.asarray(model.clusterCenters(), dtype=np.float64))
-    finally:
-        vectors.unpersist()
+    """Centres of the best of ``n_init`` runs. The runs start from a sample of a
+    bounded size, taken by a hash, and go through all rows together, as many at a time
+    as the bound on centres allows."""
+    stored = materialize(df.select(F.col(features).alias("features")))
+    size, dim = check_features(stored, "features")
+    size = min(size, max(SAMPLE_ROWS, 4 * count), MAX_CENTRE_BYTES // (8 * dim))
+    sample = take_subset(stored, max(size, count), ["features"], seed)
+    points = matrix_of(sample.orderBy("features").toArrow()["features"])
+    together = max(1, MAX_CENTRE_BYTES // (8 * count * dim))
+    best = None
+    for first in range(0, n_init, together):
+        some = min(together, n_init - first)
+        starts = starting_centres(points, count, seed + first, some)
+        centres, costs = lloyd(stored, starts, max_iter)
+        k = int(costs.argmin())
+        if best is None or costs[k] < best[0]:
+            best = (costs[k], centres[k])
     return best[1]
 
 

@@ -150,6 +150,28 @@ def test_kmeans_takes_one_row_from_each_side(spark):
     assert found[0] in (0, 1) and found[1] in (2, 3)
 
 
+@pytest.mark.parametrize("band", [1, 4])
+def test_lloyd_moves_all_runs(spark, monkeypatch, band):
+    """Against plain steps; bands of centres leave no nearer one out."""
+    monkeypatch.setattr(selection, "GUESSED", band)
+    monkeypatch.setattr(selection, "GROUP_ROWS", 16)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(300, 3)) * rng.choice([0.1, 1, 9], (300, 1))).astype(np.float32)
+    starts = np.stack([x[:12], x[40:52], x[90:102]]).astype(float)
+    found, costs = selection.lloyd(table(spark, x), starts, 4, 0.0)
+    for run, centres in enumerate(starts):
+        for _ in range(4):
+            d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+            near, cost = d.argmin(axis=1), d.min(axis=1).sum()
+            centres = np.array([x[near == k].mean(axis=0, dtype=float) if (near == k).any() else centres[k] for k in range(12)])
+        assert np.allclose(found[run], centres, atol=1e-5) and costs[run] == pytest.approx(cost, rel=1e-6)
+
+
+def test_equal_rows_still_give_centres(spark):
+    df = table(spark, [[1.0, 2.0]] * 5)
+    assert selection.kmeans_centres(df, 2, n_init=2).tolist() == [[1.0, 2.0]] * 2
+
+
 def test_kmeans_edges(spark):
     df = table(spark, [[0.0], [1.0], [2.0]])
     assert ids(selection.select_by_kmeans(df, df, 3)) == [0, 1, 2]

@@ -443,6 +443,59 @@ def representative_rows(spark, sf_dir):
     return df.join(F.broadcast(chosen), "row_id", "left_semi").select("row_id", "label")
 
 
+STARTS = 5
+
+
+def _step(rows: str, centres: str) -> str:
+    """SQL for the rows with their nearest of ``centres``."""
+    return f"""
+    select row_id, x, arg_min(k, d) as k, min(d) as d
+    from (select row_id, x, k, list_sum(list_transform(range(1, {DIM} + 1),
+            lambda i: (x[i] - c[i]) * (x[i] - c[i]))) as d
+          from {rows}, {centres})
+    group by row_id, x
+    """
+
+
+def _means(assigned: str) -> str:
+    return f"""
+    select k, list(m order by i) as c
+    from (select k, i, avg(x[i]) as m from {assigned}, range(1, {DIM} + 1) t(i)
+          group by k, i)
+    group by k
+    """
+
+
+@query(
+    "kmeans_steps",
+    f"""
+    with rows as (select vec_id as row_id, embedding::double[] as x from embeddings),
+    c0 as (select row_id as k, x as c from rows where row_id < {STARTS}),
+    a1 as ({_step('rows', 'c0')}), c1 as ({_means('a1')}),
+    a2 as ({_step('rows', 'c1')}), c2 as ({_means('a2')}),
+    a3 as ({_step('rows', 'c2')}), c3 as ({_means('a3')})
+    select k::int as centre, i::int - 1 as place, round(c[i], 9) as value,
+           round((select sum(d) from a3), 6) as cost
+    from c3, range(1, {DIM} + 1) t(i)
+    """,
+)
+def kmeans_steps(spark, sf_dir):
+    """Three steps from the first vectors as centres."""
+    df = features(spark, sf_dir)
+    first = df.where(F.col("row_id") < STARTS).orderBy("row_id").select("features")
+    starts = np.array([r["features"] for r in first.collect()], float)[None]
+    centres, costs = selection.lloyd(df, starts, max_iter=3, tol=0.0)
+    rows = [
+        (k, i, float(v), float(costs[0]))
+        for k, centre in enumerate(centres[0])
+        for i, v in enumerate(centre)
+    ]
+    made = spark.createDataFrame(rows, "centre int, place int, value double, cost double")
+    return made.withColumns(
+        {"value": F.round("value", 9), "cost": F.round("cost", 6)}
+    )
+
+
 @query("select_kmeans")
 def select_kmeans(spark, sf_dir):
     df = features(spark, sf_dir)
