@@ -338,10 +338,51 @@ def token_f1(spark, sf_dir):
     return scored.select("conv_id", "turn", F.round("token_f1", 9).alias("token_f1"))
 
 
-@query("rouge_l")
+# Row by row of the usual table: a row is a list, and each word of one text makes the
+# next row from the last one and from the places where the other text has that word.
+LCS = f"""
+    pairs as (select conv_id, turn, {WORDS % 'prediction'} as p,
+                {WORDS % 'reference'} as r from ({PAIRED})),
+    marked as (
+      select conv_id, turn, len(p) as np, len(r) as nr,
+        list_transform(range(0, len(r) + 1), lambda j: 0) as zeros,
+        list_transform(p, lambda w: list_transform(r, lambda v: (v = w)::int)) as hits
+      from pairs),
+    lcs as (
+      select conv_id, turn, np, nr, list_last(list_reduce(list_prepend(zeros, hits),
+        lambda row, hit: list_reduce(list_prepend([0],
+          list_transform(range(1, nr + 1), lambda j: [row[j], row[j + 1], hit[j]])),
+          lambda made, x: list_append(made, case when x[3] = 1 then x[1] + 1
+            else greatest(x[2], list_last(made)) end))))::int as lcs
+      from marked)
+    """
+
+
+@query(
+    "rouge_l",
+    f"""
+    with {LCS}
+    select conv_id, turn, round(case when np = 0 and nr = 0 then 1.0
+             when np = 0 or nr = 0 or lcs = 0 then 0.0
+             else 2.0 * (lcs::double / np) * (lcs::double / nr)
+               / (lcs::double / np + lcs::double / nr) end::double, 9) as rouge_l_f1
+    from lcs
+    """,
+)
 def rouge_l(spark, sf_dir):
     scored = textmetrics.score_texts(answered_turns(spark, sf_dir), ["rouge_l_f1"])
-    return scored.select("conv_id", "turn", "rouge_l_f1")
+    return scored.select(
+        "conv_id", "turn", F.round("rouge_l_f1", 9).alias("rouge_l_f1")
+    )
+
+
+@query("lcs_turns", f"with {LCS} select conv_id, turn, lcs from lcs")
+def lcs_turns(spark, sf_dir):
+    """Longest common word sequence of a question and its answer."""
+    said = [text.words(F.col(name)) for name in ("prediction", "reference")]
+    return answered_turns(spark, sf_dir).select(
+        "conv_id", "turn", textmetrics.lcs_length(*said).alias("lcs")
+    )
 
 
 @query("lcs_length")
