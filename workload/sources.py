@@ -125,12 +125,64 @@ def read_predictions(spark, sf_dir):
     return readers.read_predictions(spark, path)
 
 
-@query("read_or_empty", "select n_nationkey from nation")
+def save_files(rows, folder):
+    """A text file for each row (run, name, value), written by the tasks."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+
+    def save(batches):
+        for batch in batches:
+            for run, name, value in zip(*batch.to_pydict().values()):
+                store.create_dir(f"{root}/{run}")
+                with store.open_output_stream(f"{root}/{run}/{name}") as out:
+                    out.write(value.encode())
+            yield batch.slice(0, 0)
+
+    rows.select("run", "name", "value").mapInArrow(save, rows.schema).count()
+
+
+@query(
+    "read_summaries",
+    """
+    select s_suppkey::varchar as run_name, s_acctbal as score,
+           case when s_suppkey % 3 = 0 then s_nationkey end as eval_nation
+    from supplier where s_suppkey % 10 <> 4
+    """,
+)
+def read_summaries(spark, sf_dir):
+    """A run folder for each supplier: corrupt summaries are skipped, the evaluation
+    beside a summary is joined to it."""
+    root = shared_path(spark)
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    suppliers = table(spark, sf_dir, "supplier").withColumn(
+        "run", F.col("s_suppkey").cast("string")
+    )
+    summary = F.to_json(
+        F.struct(F.col("run").alias("run_name"), F.col("s_acctbal").alias("score"))
+    )
+    cut = F.when(F.col("s_suppkey") % 10 == 4, F.substring(summary, 1, 9))
+    own = suppliers.select(
+        "run", F.lit("summary.json").alias("name"), F.coalesce(cut, summary).alias("value")
+    )
+    evaluated = suppliers.where(F.col("s_suppkey") % 3 == 0).select(
+        "run",
+        F.lit("eval.json").alias("name"),
+        F.to_json(F.struct(F.col("s_nationkey").alias("nation"))).alias("value"),
+    )
+    save_files(own.unionByName(evaluated), f"{root}/runs")
+    schema = T._parse_datatype_string("run_name string, score double")
+    eval_schema = T._parse_datatype_string("nation int")
+    found = readers.read_summaries(spark, f"{root}/runs", schema, eval_schema)
+    return found.select("run_name", "score", F.col("eval.nation").alias("eval_nation"))
+
+
+@query("read_or_empty", "select o_orderkey from orders")
 def read_or_empty(spark, sf_dir):
     """A table that is there, and one that isn't."""
-    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType())])
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType())])
     path = shared_path(spark)
-    rows = table(spark, sf_dir, "nation").select("n_nationkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
     rows.write.mode("overwrite").json(path)
     there = readers.read_or_empty(spark, path, schema)
     return there.unionByName(readers.read_or_empty(spark, f"{path}-none", schema))
