@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import quoted
@@ -39,6 +40,8 @@ CG_TOLERANCE = 1e-11
 #: Steps scaled by feature alone before the system is sketched; directions of the
 #: sketch, and bytes it may take on the driver.
 PLAIN_STEPS, SKETCH, SKETCH_BYTES = 6, 64, 256 * 1024**2
+#: Directions beyond the rank that a block holds, and most passes that turn it.
+OVERSAMPLED, MAX_TURNS = 10, 60
 #: Features of one Arrow batch in a pass over wide vectors.
 BATCH_BYTES = 64 * 1024**2
 
@@ -415,6 +418,50 @@ def nystrom_basis(landmarks: np.ndarray, rank: int | None = None) -> np.ndarray:
     return landmarks.T @ (vectors / np.sqrt(np.maximum(values, floor)))
 
 
+def _scaled_components(
+    values: np.ndarray, vectors: np.ndarray, rank: int
+) -> np.ndarray:
+    """Leading eigenvectors of Z'Z, scaled as :func:`nystrom_basis` scales them: with
+    eigenvalues at or above the floor they are the same components."""
+    values = np.maximum(values[::-1][:rank], 0.0)
+    vectors = vectors[:, ::-1][:, :rank]
+    largest = max(float(values.max()), 1.0)
+    floor = max(EIGENVALUE_FLOOR, RELATIVE_EIGENVALUE_FLOOR * largest)
+    return vectors * np.sqrt(values / np.maximum(values, floor))
+
+
+def nystrom_basis_of_rows(
+    landmarks: DataFrame, dim: int, rank: int, features: str = "features"
+) -> np.ndarray:
+    """The same basis for any number of landmarks, which stay where they are.
+
+    The kernel is linear: the eigenvectors of ZZ', taken through Z', are those of Z'Z.
+    Up to ``MAX_SOLVE`` features that matrix is folded in one pass. Beyond, passes of
+    Z'(ZQ) over the landmarks turn a block of random directions to the leading ones,
+    until their eigenvalues stand; the driver holds features x rank.
+    """
+    stored = materialize(landmarks.select(quoted(features).alias("x")))
+    if dim <= MAX_SOLVE:
+        ones = stored.select("x", F.lit(0.0).alias("none"))
+        gram = normal_equations(ones, ["none"], "x").gram
+        return _scaled_components(*np.linalg.eigh(0.5 * (gram + gram.T)), rank)
+    if rank > MAX_SOLVE:
+        raise ValueError(f"At most {MAX_SOLVE} components, got {rank}; use dual.")
+    stored = bounded_batches(stored, max(1, BATCH_BYTES // (8 * dim)))
+    size = min(dim, rank + OVERSAMPLED)
+    random = np.random.default_rng(dim).normal(size=(dim, size))
+    block, before = np.linalg.qr(random)[0], None
+    for _ in range(MAX_TURNS):
+        image = _passes(stored, size, dim, block)[0]
+        inner = block.T @ image
+        values, turns = np.linalg.eigh(0.5 * (inner + inner.T))
+        leading = values[::-1][:rank]
+        if before is not None and np.allclose(leading, before, rtol=1e-12, atol=1e-12):
+            break
+        before, block = leading, np.linalg.qr(image @ turns)[0]
+    return _scaled_components(values, block @ turns, rank)
+
+
 def fit_nystrom(
     df: DataFrame,
     targets: Sequence[str] = ("score_delta",),
@@ -427,19 +474,25 @@ def fit_nystrom(
     landmarks: DataFrame | None = None,
 ) -> LinearKernelModel:
     """Ridge on the Nystrom components; landmark count and rank are cut down to
-    what the data allows."""
+    what the data allows. Few landmarks are solved on the driver, more stay where they
+    are, see :func:`nystrom_basis_of_rows`."""
     shape = None
     if landmarks is None:
         rows, dim = check_features(df, features)
         shape = (min(int(num_landmarks), rows), dim)
-        _check_landmarks(*shape)
         if shape[0] < 1:
             raise ValueError("No rows to take landmarks from.")
         landmarks = take_subset(df, shape[0], key, seed)
-    points = tame(collect_landmarks(landmarks, key, features, shape))
-    if len(points) > MAX_SOLVE:
-        raise ValueError(f"At most {MAX_SOLVE} landmarks, got {len(points)}.")
-    basis = nystrom_basis(points, rank)
+    else:
+        shape = check_features(landmarks, features)
+    count, dim = shape
+    if count <= MAX_SOLVE and count * dim * 8 <= MAX_LANDMARK_BYTES:
+        points = tame(collect_landmarks(landmarks, key, features, shape))
+        basis = nystrom_basis(points, rank)
+    else:
+        most = min(count, dim)
+        wanted = most if rank is None else max(1, min(int(rank), most))
+        basis = nystrom_basis_of_rows(landmarks, dim, wanted, features)
     sums = normal_equations(df, targets, features, basis)
     components = basis.shape[1]
     system = sums.gram + sums.rows * ridge_lambda * np.eye(components)
@@ -448,7 +501,7 @@ def fit_nystrom(
     details = {
         "rows": sums.rows,
         "rank": components,
-        "num_landmarks": len(points),
+        "num_landmarks": count,
     }
     return LinearKernelModel("nystrom", basis @ beta, ridge_lambda, details)
 

@@ -97,6 +97,20 @@ def test_bad_values_leave_the_others(spark, monkeypatch):
     assert np.allclose(predicted(model, df), want, atol=1e-6)
 
 
+@pytest.mark.parametrize(("dim", "solve"), [(8, 10), (30, 10)])
+def test_more_landmarks_than_the_driver_solves(spark, monkeypatch, dim, solve):
+    """Landmarks that stay on the executors give the same components."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(70, dim)) * np.logspace(1, -1, dim)
+    y = rng.normal(size=(70, 1))
+    df = table(spark, x, *y.T)
+    want = predicted(krr.fit_nystrom(df, ["y0"], 0.1, 40, 6), df)
+    monkeypatch.setattr(krr, "MAX_SOLVE", solve)
+    model = krr.fit_nystrom(df, ["y0"], 0.1, 40, 6)
+    assert model.details["num_landmarks"] == 40 and model.details["rank"] == 6
+    assert np.allclose(predicted(model, df), want, atol=1e-6)
+
+
 def nystrom_solution(x, y, points, rank, ridge):
     values, vectors = np.linalg.eigh(points @ points.T)
     values, vectors = values[::-1][:rank], vectors[:, ::-1][:, :rank]

@@ -179,6 +179,44 @@ def fit_nystrom(spark, sf_dir):
     return by_flag(model, rows)
 
 
+NYSTROM_FEATURES = 40
+
+
+@query(
+    "fit_nystrom_wide",
+    f"""
+    with rows as (select c_custkey, c_nationkey, c_custkey % {NYSTROM_FEATURES} as feature,
+                    c_acctbal / 997 as y from customer),
+    marks as (select distinct c_custkey % {NYSTROM_FEATURES} as feature
+              from ({ranked('customer', 'c_custkey')}) where r <= 16),
+    fitted as (select feature, sum(y) / (count(*) + (select count(*) from rows) * 0.01)
+                 as predicted from rows semi join marks using (feature) group by feature)
+    select c_nationkey, count(*) as n,
+           round(avg(coalesce(predicted, 0)), 6) as predicted
+    from rows left join fitted using (feature) group by c_nationkey
+    """,
+)
+def fit_nystrom_wide(spark, sf_dir):
+    """More features than landmarks: features that no landmark has get no weight."""
+    one = F.transform(
+        F.sequence(F.lit(0), F.lit(NYSTROM_FEATURES - 1)),
+        lambda i: (i == F.col("c_custkey") % NYSTROM_FEATURES).cast("float"),
+    )
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        "c_nationkey",
+        (F.col("c_acctbal") / 997).alias("score_delta"),
+        one.alias("features"),
+    )
+    model = krr.fit_nystrom(
+        rows, ridge_lambda=0.01, num_landmarks=16, rank=16, key=["c_custkey"]
+    )
+    found = model.predict(rows, names=["predicted"])
+    return found.groupBy("c_nationkey").agg(
+        F.count("*").alias("n"), F.round(F.avg("predicted"), 6).alias("predicted")
+    )
+
+
 def order_scores(spark, sf_dir):
     """Base and variant scores of orders. The variant depends on two features."""
     status = F.col("o_orderstatus")
