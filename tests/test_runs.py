@@ -268,6 +268,33 @@ def test_streamed_logs(spark, tmp_path):
     assert len(list((tmp_path / "sums").glob("version=*"))) <= 2
 
 
+def test_only_changed_buckets_are_renewed(spark, tmp_path):
+    """Changed, new and removed rows; a call without news computes nothing."""
+    calls = []
+
+    def compute(rows):
+        found = rows.select("k", F.concat("a", F.lit("!")).alias("out"))
+        calls.append(sorted(r["k"] for r in found.collect()))
+        return found
+
+    def call(rows):
+        df = spark.createDataFrame(rows, "k long, a string")
+        found = reuse.renew_table(df, str(tmp_path), compute, {"m": 1}, ["k"], ["a"], 8)
+        got = {r["k"]: r["out"] for r in found.collect()}
+        assert got == {k: f"{a}!" for k, a in rows} and found.count() == len(rows)
+
+    rows = [(k, f"t{k}") for k in range(40)]
+    call(rows)
+    call(rows[::-1])
+    assert len(calls) == 1 and calls[0] == list(range(40))
+    call([(k, "new" if k == 3 else a) for k, a in rows])
+    assert 3 in calls[1] and len(calls[1]) < 20
+    call([(k, "new" if k == 3 else a) for k, a in rows if k != 5] + [(99, "x")])
+    assert 99 in calls[2] and 5 not in calls[2] and len(calls[2]) < 30
+    call(rows[:1])
+    call([])
+
+
 def test_growing_logs_are_followed(spark, tmp_path):
     """Lines come at the end of a file already read, and in a second one."""
     file, other = tmp_path / "logs" / "r" / "a.log", tmp_path / "logs" / "s" / "b.log"

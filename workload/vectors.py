@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairlab.operators import projection, reuse, scoring, selection
 from pairlab.operators import vectors as vec
 from pairlab.operators.filters import feature_shape
+from pairlab.session import shared_path
 
 from .registry import query, table
 
@@ -443,6 +444,41 @@ def representative_rows(spark, sf_dir):
     return df.join(F.broadcast(chosen), "row_id", "left_semi").select("row_id", "label")
 
 
+BUCKETS = 256
+CHANGED, ADDED = 7, 11
+
+
+@query(
+    "renew_table",
+    f"""
+    with docs as (
+      select doc_id, length(text) as n, doc_id % 200 as part,
+             ('0x' || substr(sha256(length(doc_id::varchar) || ':' || doc_id), 1, 8))
+               ::bigint % {BUCKETS} as bucket
+      from documents)
+    select doc_id, n::int as n,
+           (bucket in (select bucket from docs where part in ({CHANGED}, {ADDED})))::int
+             as version
+    from docs
+    """,
+)
+def renew_table(spark, sf_dir):
+    """Lengths of documents, computed once; then some have another text and some are
+    new, and only their buckets are computed again."""
+    root = shared_path(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.col("doc_id") % 200
+    other = F.when(part == CHANGED, F.lit("another text")).otherwise(F.col("text"))
+    before = docs.where(part != ADDED).withColumn("text", other)
+
+    def lengths(rows):
+        return rows.select("doc_id", F.length("text").alias("n"))
+
+    for rows in (before, docs):
+        found = reuse.renew_table(rows, root, lengths, {}, ["doc_id"], ["text"], BUCKETS)
+    return found.select("doc_id", "n", "version")
+
+
 STARTS = 5
 
 
