@@ -7,6 +7,8 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pairlab.llm import toxicity
 from pairlab.llm.toxicity import Model, Scorer, features, train
@@ -150,3 +152,58 @@ def test_weights_equal_kernel_sums():
     assert all(margins[w] > 0 for w in INSULTS)
     assert margins["the"] < 0 and margins["rather"] < 0
     assert margins["idiot"] == pytest.approx(model.weights @ features("idiot") + model.bias)
+
+
+def margin_by_hand(model, text):
+    """The whole decision by its definition: the most toxic view of any word or pair,
+    each three characters within eight weighed one by one."""
+    best = model.bias
+    for word in toxicity.text_words(text):
+        for view in toxicity.views(word):
+            marked = f"^{view}$"
+            c = [ord(x) - 97 if "a" <= x <= "z" else 26 + ord(x) % 38 for x in marked]
+            total = norm = 0.0
+            for i in range(len(c)):
+                for k in range(i + 2, min(len(c), i + 8)):
+                    decay = 0.6 ** (k - i - 2)
+                    for j in range(i + 1, k):
+                        total += decay * model.weights[(c[i] * 64 + c[j]) * 64 + c[k]]
+                        norm += decay**2
+            if norm:
+                best = max(best, total / norm**0.5 + model.bias)
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(
+    st.lists(
+        st.lists(
+            st.sampled_from(
+                ["idiot", "id iot", "i d i o t", "1d10t", "a.b", "so,", "end.", "x" * 45]
+                + ["é", "a", "!!", "né\nwt", "ab" * 9, "漢字", "\x00", "well-known", "İ"]
+            ),
+            max_size=9,
+        ).map(" ".join),
+        max_size=6,
+    )
+)
+def test_margins_by_hand(texts):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=64**3), -0.2)
+    scorer = toxicity.Scorer(model)
+    for _ in range(2):  # with an empty memory, and with a full one
+        found = scorer.margins(texts)
+        assert found.tolist() == pytest.approx([margin_by_hand(model, t) for t in texts])
+
+
+def test_runs_of_words_are_cut_anywhere(monkeypatch):
+    """Pairs over the edge of a run, and memory that starts anew."""
+    model = toxicity.Model(np.random.default_rng(6).normal(size=64**3), 0.1)
+    texts = ["one two three four. five six seven eight nine ten", "a b", "", "eleven"]
+    want = [margin_by_hand(model, t) for t in texts]
+    for run in (1, 2, 3):
+        monkeypatch.setattr(toxicity, "RUN", run)
+        monkeypatch.setattr(toxicity, "KNOWN_WORDS", run)
+        scorer = toxicity.Scorer(model)
+        for _ in range(2):
+            assert scorer.margins(texts).tolist() == pytest.approx(want)
