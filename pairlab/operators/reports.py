@@ -294,31 +294,33 @@ def comparison_table(
     """Comparisons sorted by dataset, model, subset size, method and time."""
     kept = filter_comparisons(comparisons, datasets, methods, base_models)
     size = nested_number(kept, "selector_details.max_examples")
-    ordered = kept.orderBy(
+    order = [
         _filled_or_dash(kept, "dataset_name"),
         _filled_or_dash(kept, "base_model"),
         F.coalesce(size, F.lit(0.0)).cast("bigint"),
         _filled_or_dash(kept, "method"),
         _text_or(kept, "created_at", ""),
-    )
+    ]
+    places = [f"_order{n}" for n in range(len(order))]
 
     def count(path: str) -> Column:
-        text = nested_text(ordered, path)
+        text = nested_text(kept, path)
         return F.coalesce(F.nullif(F.nullif(text, F.lit("0")), F.lit("")), F.lit("-"))
 
     def number(path: str) -> Column:
-        return fixed_point(nested_number(ordered, path))
+        return fixed_point(nested_number(kept, path))
 
-    model = F.nullif(nested_text(ordered, "base_model"), F.lit(""))
-    return ordered.select(
-        _filled_or_dash(ordered, "dataset_name").alias("dataset"),
+    model = F.nullif(nested_text(kept, "base_model"), F.lit(""))
+    # The rows' other fields are left behind before anything is sorted.
+    shown = kept.select(
+        _filled_or_dash(kept, "dataset_name").alias("dataset"),
         short_model_name(model).alias("base_model"),
-        _filled_or_dash(ordered, "method").alias("method"),
+        _filled_or_dash(kept, "method").alias("method"),
         count("selector_details.max_examples").alias("max_n"),
         count("selector_details.raw_feature_dim").alias("raw_dim"),
         count("selector_details.projection_dim").alias("projection_dim"),
         number("selector_details.selector_total_seconds").alias("selector_sec"),
-        _filled_or_dash(ordered, "split").alias("split"),
+        _filled_or_dash(kept, "split").alias("split"),
         count("num_examples").alias("examples"),
         number("metrics.delta.pearson").alias("delta_pearson"),
         number("metrics.delta.rmse").alias("delta_rmse"),
@@ -326,8 +328,10 @@ def comparison_table(
         number("metrics.adapter_score.pearson").alias("adapter_pearson"),
         number("metrics.adapter_score.rmse").alias("adapter_rmse"),
         number("mean_delta_gap").alias("mean_delta_gap"),
-        _filled_or_dash(ordered, "subset_run_name").alias("subset_run"),
+        _filled_or_dash(kept, "subset_run_name").alias("subset_run"),
+        *[column.alias(place) for column, place in zip(order, places, strict=True)],
     )
+    return shown.orderBy(*places).drop(*places)
 
 
 def _points(

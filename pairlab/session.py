@@ -11,9 +11,19 @@ _written: set[str] = set()
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; where none is set, a folder of the
-    warehouse, which all executors share too."""
+    warehouse, which all executors share too. A cluster whose warehouse is a folder of
+    one machine has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pairlab"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    alone = spark.conf.get("spark.master", "local").startswith("local")
+    scheme = warehouse.split(":", 1)[0] if ":" in warehouse else "file"
+    if scheme == "file" and (not alone or "cluster" in spark.conf.get("spark.master", "")):
+        raise ValueError(
+            "Executors share no folder: set spark.checkpoint.dir to one that they do."
+        )
+    return f"{warehouse}/_pairlab"
 
 
 def _filesystem(spark: SparkSession, path: str):

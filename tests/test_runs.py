@@ -396,6 +396,12 @@ def test_shared_folder_comes_from_the_session(spark):
     held = {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: held.get(k, d)))
     assert shared_dir(unset) == "hdfs://x/warehouse/_pairlab"
+    held["spark.sql.warehouse.dir"] = "file:/work/warehouse"
+    assert shared_dir(unset) == "file:/work/warehouse/_pairlab"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        held["spark.master"] = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(unset)
 
 
 def test_intermediate_tables_can_be_deleted(spark):

@@ -93,7 +93,11 @@ def sampled_runs(spark, sf_dir):
     )
     pipeline = F.struct(
         names.alias("transformations"),
+        F.struct(
+            F.struct((size / 64).alias("threshold")).alias("thresholded_sign")
+        ).alias("transformation_params"),
         (size * 100).alias("raw_feature_dim"),
+        F.when(size % 7 > 0, size * 90).alias("transformed_feature_dim"),
         F.struct(
             F.when(size % 2 == 0, "sparse_random").alias("name"),
             F.when(size % 2 == 0, size * 8).alias("output_dim"),
@@ -107,6 +111,9 @@ def sampled_runs(spark, sf_dir):
         F.struct(
             (F.col("p_retailprice") / 100).alias("total_seconds"),
             (F.col("p_retailprice") / 200).alias("kmeans_seconds"),
+            (F.col("p_retailprice") / 400).alias("feature_extraction_seconds"),
+            (F.col("p_retailprice") / 800).alias("transformation_seconds"),
+            (F.col("p_retailprice") / 1600).alias("projection_seconds"),
         ).alias("selector_timing"),
     )
     sampling = F.struct(
@@ -136,7 +143,14 @@ DETAILS = """
            500::bigint as selected_train_examples,
            (p_partkey + 1000)::bigint as original_train_examples,
            p_retailprice / 100 as selector_total_seconds,
-           p_retailprice / 200 as kmeans_seconds
+           p_retailprice / 200 as kmeans_seconds,
+           case when p_size % 6 <> 4 then '{"thresholded_sign":{"threshold":'
+             || (p_size / 64.0)::double || '}}' else '{}' end as transformation_params,
+           case when p_size % 6 <> 4 and p_size % 7 > 0 then p_size * 90 end::bigint
+             as transformed_feature_dim,
+           p_retailprice / 400 as feature_extraction_seconds,
+           p_retailprice / 800 as transformation_seconds,
+           p_retailprice / 1600 as projection_seconds
     from part
     """
 
@@ -151,13 +165,7 @@ DETAILS = """
 def selector_details(spark, sf_dir):
     runs = sampled_runs(spark, sf_dir)
     flat = runs.select("p_partkey", *compare.selector_details(runs))
-    return flat.drop(
-        "transformation_params",
-        "transformed_feature_dim",
-        "feature_extraction_seconds",
-        "transformation_seconds",
-        "projection_seconds",
-    ).withColumn("transformations", F.array_join("transformations", ","))
+    return flat.withColumn("transformations", F.array_join("transformations", ","))
 
 
 @query(
