@@ -34,9 +34,9 @@ SHARD_DOCS, PARTITION_DOCS = 2048, 8192
 QUERY_TOKENS, ANSWERS = 48, 256
 #: The usual constants of BM25.
 SATURATION, LENGTH_SHARE = 1.2, 0.75
-#: Words and chunks kept with their ids in a Python worker, some 100 MB; beyond, the
+#: Words and chunks kept with their ids in a Python worker, some 180 MB; beyond, the
 #: memory starts anew.
-KNOWN_WORDS, KNOWN_CHUNKS = 300_000, 150_000
+KNOWN_WORDS, KNOWN_CHUNKS = 600_000, 250_000
 #: Text of these characters only is cut and lower-cased here: their letters and case
 #: are the same in every Unicode version, none is composed. ``<|`` begins the
 #: vocabulary's special tokens.
