@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -44,6 +45,8 @@ PLAIN_STEPS, SKETCH, SKETCH_BYTES = 6, 64, 256 * 1024**2
 OVERSAMPLED, MAX_TURNS = 10, 60
 #: Features of one Arrow batch in a pass over wide vectors.
 BATCH_BYTES = 64 * 1024**2
+#: A wide row is written by its cells other than zero where at most one in so many is.
+SPARSE = 8
 
 
 @dataclass(frozen=True)
@@ -60,13 +63,17 @@ class LinearKernelModel:
         df: DataFrame,
         features: str = "features",
         names: Sequence[str] = ("predicted_score_delta",),
+        keep: Sequence[str] | None = None,
     ) -> DataFrame:
-        """Append one prediction column per target."""
-        return multiply(df, self.weights, features, names)
+        """Append one prediction column per target. Of the other columns only ``keep``
+        stay, where it is given: wide vectors needn't come back from Python."""
+        return multiply(df, self.weights, features, names, keep)
 
 
 def tame(matrix: np.ndarray) -> np.ndarray:
     """Non-finite entries become 0 or plus or minus 1e12."""
+    if np.isfinite(matrix).all():
+        return matrix
     return np.nan_to_num(matrix, nan=0.0, posinf=CLIP, neginf=-CLIP)
 
 
@@ -78,10 +85,19 @@ def _solve(system: np.ndarray, rhs: np.ndarray) -> np.ndarray:
 
 
 def multiply(
-    df: DataFrame, weights: np.ndarray, features: str, names: Sequence[str]
+    df: DataFrame,
+    weights: np.ndarray,
+    features: str,
+    names: Sequence[str],
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Append ``features @ weights``, one column per name, batch by batch."""
+    """Append ``features @ weights``, one column per name, batch by batch, to all
+    columns or to those of ``keep``."""
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(weights, np.float64))
+    if keep is not None:
+        held = [features, *[c for c in keep if c != features]]
+        df = df.select(*[quoted(c) for c in held])
+    kept = df.columns if keep is None else list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,11 +106,16 @@ def multiply(
             at = batch.schema.get_field_index(features)
             with np.errstate(all="ignore"):
                 values = tame(tame(matrix_of(batch.column(at))) @ shared.value)
-            columns = [*batch.columns, *[pa.array(v) for v in values.T]]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
+            if keep is None:
+                columns, own = batch.columns, batch.schema.names
+            else:
+                columns, own = [batch.column(c) for c in kept], kept
+            columns = [*columns, *[pa.array(v) for v in values.T]]
+            yield pa.RecordBatch.from_arrays(columns, [*own, *names])
 
     fields = [T.StructField(name, T.DoubleType()) for name in names]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    old = df.schema.fields if keep is None else [df.schema[c] for c in kept]
+    return df.mapInArrow(run, T.StructType([*old, *fields]))
 
 
 def linear_kernel(
@@ -194,7 +215,7 @@ def normal_equations(
     rows, squares = sums.pop(-1)
     table = np.vstack([sums[i] for i in sorted(sums)])
     dim = table.shape[1] - count
-    return NormalEquations(table[:, :dim], table[:, dim:], int(rows), float(squares))
+    return NormalEquations(table[:, :dim], table[:, dim:], round(rows), float(squares))
 
 
 def fit_dual(
@@ -209,7 +230,8 @@ def fit_dual(
     The dual solution equals the ridge system over features. Up to ``MAX_SOLVE``
     features that system is folded in one pass and solved; beyond, conjugate
     gradients solve it with one pass of X'(Xw) over the written rows per step, so
-    that neither X'X nor XX' is ever held. Both give the solution to within
+    that neither X'X nor XX' is ever held; rows of mostly zeros are written, and
+    multiplied, by their other cells. Both give the solution to within
     ``CG_TOLERANCE``. Non-finite features and targets are tamed row by row first.
     """
     _, dim = check_features(df, features)
@@ -228,29 +250,133 @@ def _ridge(rows: int, squares: float, ridge_lambda: float) -> float:
     return penalty + RELATIVE_JITTER * max(squares / max(rows, 1) + penalty, 1.0)
 
 
+def _packed(df: DataFrame, dim: int) -> DataFrame:
+    """Vectors ``x`` written once, with the other columns, for any number of passes:
+    rows of mostly zeros as their other cells and the places ``at`` of these, the rest
+    as they are, without ``at``."""
+    x = df.schema["x"].dataType.elementType
+    x = x if isinstance(x, T.FloatType) else T.DoubleType()
+    kind = np.float32 if isinstance(x, T.FloatType) else np.float64
+    others = [c for c in df.columns if c != "x"]
+    types = pa.list_(pa.from_numpy_dtype(kind)), pa.list_(pa.int32())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            cells = matrix_of(batch.column("x"), kind)
+            flat = np.flatnonzero(cells.ravel() != 0)
+            rows, at = np.divmod(flat, dim)
+            sizes = np.bincount(rows, minlength=len(cells))
+            full = sizes * SPARSE > dim
+            if full.any():
+                own = [batch.column(c).filter(pa.array(full)) for c in others]
+                none = pa.nulls(int(full.sum()), types[1])
+                whole = lists_of(cells[full], types[0].value_type)
+                yield pa.RecordBatch.from_arrays(
+                    [whole, none, *own], ["x", "at", *others]
+                )
+            if not full.all():
+                inside = ~full[rows]
+                ends = np.cumsum(np.append(0, sizes[~full])).astype(np.int32)
+                values = pa.array(cells.ravel()[flat[inside]], types[0].value_type)
+                places = pa.array(at[inside].astype(np.int32))
+                own = [batch.column(c).filter(pa.array(~full)) for c in others]
+                lists = [pa.ListArray.from_arrays(ends, v) for v in (values, places)]
+                yield pa.RecordBatch.from_arrays(
+                    [*lists, *own], ["x", "at", *others]
+                )
+
+    fields = [
+        T.StructField("x", T.ArrayType(x)),
+        T.StructField("at", T.ArrayType(T.IntegerType())),
+        *[df.schema[c] for c in others],
+    ]
+    df = bounded_batches(df, max(1, BATCH_BYTES // (8 * dim)))
+    return materialize(df.mapInArrow(work, T.StructType(fields)))
+
+
+@dataclass(frozen=True)
+class _Cells:
+    """Rows of a matrix by their cells other than zero."""
+
+    values: np.ndarray
+    rows: np.ndarray
+    places: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, dim: int) -> _Cells:
+        sizes = pc.list_value_length(batch.column("at")).to_numpy()
+        values = batch.column("x").flatten().to_numpy().astype(np.float64)
+        places = batch.column("at").flatten().to_numpy()
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        return cls(tame(values), rows, places, (len(sizes), dim))
+
+    def _summed(self, by: np.ndarray, of: np.ndarray, size: int, m: np.ndarray):
+        sums = [np.bincount(by, self.values * c[of], size) for c in m.T]
+        return np.column_stack(sums)
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        return self._summed(self.rows, self.places, self.shape[0], right)
+
+    def turned_times(self, right: np.ndarray) -> np.ndarray:
+        return self._summed(self.places, self.rows, self.shape[1], right)
+
+    def squares(self) -> np.ndarray:
+        return np.bincount(self.places, self.values**2, self.shape[1])
+
+
+@dataclass(frozen=True)
+class _Whole:
+    """The same of rows with all their cells."""
+
+    x: np.ndarray
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        return self.x @ right
+
+    def turned_times(self, right: np.ndarray) -> np.ndarray:
+        return self.x.T @ right
+
+    def squares(self) -> np.ndarray:
+        return (self.x * self.x).sum(axis=0)
+
+
+def _blocks(
+    batch: pa.RecordBatch, dim: int
+) -> Iterator[tuple[_Cells | _Whole, pa.RecordBatch]]:
+    full = pc.is_null(batch.column("at"))
+    for sparse, mask in ((False, full), (True, pc.invert(full))):
+        some = batch.filter(mask)
+        if some.num_rows and sparse:
+            yield _Cells.read(some, dim), some
+        elif some.num_rows:
+            yield _Whole(tame(matrix_of(some.column("x")))), some
+
+
 def _passes(
     df: DataFrame, count: int, dim: int, weights: np.ndarray | None
 ) -> tuple[np.ndarray, int, float]:
-    """X'(X w) for all columns of ``weights`` in one pass; without weights X'y and, as
-    a last column, the features' sums of squares. Also the row count and the sum of
-    all squares. Each task gives a matrix of features x columns."""
+    """X'(X w) for all columns of ``weights`` in one pass over rows from
+    :func:`_packed`; without weights X'y and, as a last column, the features' sums of
+    squares. Also the row count and the sum of all squares. Each task gives a matrix
+    of features x columns."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, count))
         rows = squares = 0.0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = tame(matrix_of(batch.column(0)))
-            if shared.value is None:
-                own = (x * x).sum(axis=0)
-                total[:, :-1] += x.T @ _columns(batch.columns[1:])
-                total[:, -1] += own
-                squares += float(own.sum())
-            else:
-                total += x.T @ (x @ shared.value)
-            rows += len(x)
+            for x, some in _blocks(batch, dim):
+                if shared.value is None:
+                    own = x.squares()
+                    total[:, :-1] += x.turned_times(_columns(some.columns[2:]))
+                    total[:, -1] += own
+                    squares += float(own.sum())
+                else:
+                    total += x.turned_times(x.times(shared.value))
+                rows += some.num_rows
         if rows:
             yield from _partial_rows((0, total.T), (-1, np.array([[rows, squares]])))
 
@@ -260,7 +386,7 @@ def _passes(
     if -1 not in sums:
         raise ValueError("No rows to fit.")
     rows, squares = sums.pop(-1)
-    return np.vstack([sums[i] for i in range(count)]).T, int(rows), float(squares)
+    return np.vstack([sums[i] for i in range(count)]).T, round(rows), float(squares)
 
 
 @dataclass(frozen=True)
@@ -315,9 +441,7 @@ def _conjugate_gradients(
     own residual says they are done, b - Ax is computed anew: only that one counts.
     """
     columns = [quoted(t).cast("double").alias(f"y{n}") for n, t in enumerate(targets)]
-    stored = materialize(df.select(quoted(features).alias("x"), *columns))
-    bound = max(1, BATCH_BYTES // (8 * dim))
-    stored = bounded_batches(stored, bound)
+    stored = _packed(df.select(quoted(features).alias("x"), *columns), dim)
     count = len(targets)
     sums, rows, squares = _passes(stored, count + 1, dim, None)
     rhs, own = sums[:, :-1], sums[:, -1:]
@@ -440,14 +564,14 @@ def nystrom_basis_of_rows(
     Z'(ZQ) over the landmarks turn a block of random directions to the leading ones,
     until their eigenvalues stand; the driver holds features x rank.
     """
-    stored = materialize(landmarks.select(quoted(features).alias("x")))
+    points = landmarks.select(quoted(features).alias("x"))
     if dim <= MAX_SOLVE:
-        ones = stored.select("x", F.lit(0.0).alias("none"))
+        ones = materialize(points).select("x", F.lit(0.0).alias("none"))
         gram = normal_equations(ones, ["none"], "x").gram
         return _scaled_components(*np.linalg.eigh(0.5 * (gram + gram.T)), rank)
     if rank > MAX_SOLVE:
         raise ValueError(f"At most {MAX_SOLVE} components, got {rank}; use dual.")
-    stored = bounded_batches(stored, max(1, BATCH_BYTES // (8 * dim)))
+    stored = _packed(points, dim)
     size = min(dim, rank + OVERSAMPLED)
     random = np.random.default_rng(dim).normal(size=(dim, size))
     block, before = np.linalg.qr(random)[0], None

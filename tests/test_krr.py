@@ -217,3 +217,44 @@ def test_incomplete_inputs(spark):
     blank = pairs.withColumn("prompt", F.when(F.col("pair_id") == "p002", " ").otherwise("p"))
     with pytest.raises(ValueError, match="empty prompt: test \\(p002\\)"):
         run_experiment(blank, base, variant, features, config)
+
+
+def test_wide_rows_of_zeros_are_written_by_their_other_cells(spark, monkeypatch):
+    monkeypatch.setattr(krr, "MAX_SOLVE", 5)
+    random = np.random.default_rng(3)
+    x = random.normal(size=(80, 40))
+    x[:50] *= random.random((50, 40)) < 0.05
+    x[0] = 0.0
+    x[1], x[2, 7], x[2, 8] = 0.0, np.nan, np.inf
+    x[1, 39] = 2.0
+    y = random.normal(size=(80, 2))
+    df = table(spark, x, y[:, 0], y[:, 1])
+    known = krr.tame(x)
+    known[2, 8] = 0.0  # as in the written rows below
+    own = df.select(F.col("features").alias("x"), "pair_id")
+    held = {r["pair_id"]: r for r in krr._packed(own, 40).collect()}
+    assert len(held) == 80
+    for k, row in enumerate(x):
+        some = held[k]
+        if (row != 0).sum() * krr.SPARSE > 40:
+            assert some["at"] is None and some["x"] == pytest.approx(row, nan_ok=True)
+        else:
+            assert some["at"] == np.flatnonzero(row).tolist()
+            assert some["x"] == pytest.approx(row[row != 0], nan_ok=True)
+    x[2, 8] = 0.0
+    df = table(spark, x, y[:, 0], y[:, 1])
+    model = krr.fit_dual(df, ["y0", "y1"], 0.1)
+    assert model.details["rows"] == 80
+    system = known.T @ known + 8.0 * np.eye(40)
+    assert model.weights == pytest.approx(np.linalg.solve(system, known.T @ y), abs=1e-8)
+    found = model.predict(df, names=["p", "q"], keep=["pair_id"])
+    assert found.columns == ["pair_id", "p", "q"]
+    for row in found.collect():
+        assert [row["p"], row["q"]] == pytest.approx(known[row["pair_id"]] @ model.weights)
+
+
+def test_row_counts_of_many_tasks_are_exact(spark, monkeypatch):
+    """Sums of Summarizer may end a rounding below the whole number."""
+    monkeypatch.setattr(krr, "_sum_rows", lambda _: {0: np.ones(3), -1: np.array([14998.999999999998, 3.0])})
+    df = table(spark, np.ones((4, 2)), np.ones(4))
+    assert krr.normal_equations(df, ["y0"]).rows == 14999

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pairlab.operators import krr, scoring
 from pairlab.plans.experiment import ExperimentConfig, run_experiment
-from pairlab.session import materialize
 
 from .registry import query, table
 from .splitting import ranked
@@ -143,8 +142,8 @@ WIDE = 4200
     """,
 )
 def fit_dual_wide(spark, sf_dir):
-    """One feature for each remainder of the key: the ridge has a closed form. The
-    vectors are built once and read for the fit and for the prediction."""
+    """One feature for each remainder of the key: the ridge has a closed form. A file
+    of narrow rows is a few tasks; they are dealt out before they get wide."""
     zeros = F.array_repeat(F.lit(0.0).cast("float"), F.lit(WIDE))
     place = (F.col("c_custkey") % WIDE).cast("int")
     one = F.concat(
@@ -152,15 +151,16 @@ def fit_dual_wide(spark, sf_dir):
         F.array(F.lit(1.0).cast("float")),
         F.slice(zeros, F.lit(1), WIDE - 1 - place),
     )
-    rows = table(spark, sf_dir, "customer").select(
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    customers = table(spark, sf_dir, "customer").repartition(tasks, "c_custkey")
+    rows = customers.select(
         "c_custkey",
         "c_nationkey",
         (F.col("c_acctbal") / 1000).alias("score_delta"),
         one.alias("features"),
     )
-    rows = materialize(rows)
     model = krr.fit_dual(rows, ridge_lambda=0.01, key=["c_custkey"])
-    found = model.predict(rows, names=["predicted"])
+    found = model.predict(rows, names=["predicted"], keep=["c_nationkey"])
     return found.groupBy("c_nationkey").agg(
         F.count("*").alias("n"),
         F.round(F.avg("predicted"), 6).alias("predicted"),
