@@ -18,6 +18,7 @@ from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.paths import quoted
@@ -31,6 +32,8 @@ Bucket = Callable[[Column], Column]  # order column -> ordered bucket
 # one task sorts with spilling.
 HASH_DIGITS = 3
 ROWS_PER_BUCKET = 1_000_000
+# Where whole rows move with their keys and may be long (strings, lists).
+LONG_ROWS_PER_BUCKET, MAX_LONG_BUCKETS = 16_384, 1024
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 64
 
@@ -66,18 +69,23 @@ def _literal(row) -> Column:
 
 
 def range_bucket(
-    df: DataFrame, key: Sequence[str], rows: int | None = None
+    df: DataFrame, key: Sequence[str], rows: int | None = None, moved: bool = False
 ) -> Bucket:
     """Ordered bucket number of a row under the natural order of ``key``.
 
     Small tables get one bucket. Otherwise a sample of the key columns, of at
     most a few hundred thousand keys whatever the table size, gives the
     boundaries; every row is compared with them, so none is lost. The lookup is
-    a pure expression of the row: a lost task recomputes the same bucket.
+    a pure expression of the row: a lost task recomputes the same bucket. Where whole
+    rows are ``moved`` by bucket and have columns of any length, buckets are smaller:
+    a task reads one or more of them whole.
     """
     keys = df.select(*[quoted(k) for k in key])
     rows = keys.count() if rows is None else rows
     buckets = min(MAX_BUCKETS, ceil(rows / ROWS_PER_BUCKET))
+    if moved and not all(_is_short(f.dataType) for f in df.schema):
+        own = min(MAX_LONG_BUCKETS, ceil(rows / LONG_ROWS_PER_BUCKET))
+        buckets = max(buckets, own)
     if buckets <= 1:
         return _one_bucket
     wanted = buckets * SAMPLES_PER_BUCKET
@@ -91,6 +99,21 @@ def range_bucket(
     return lambda order: _bucket_of(order, bounds)
 
 
+def _is_short(kind: T.DataType) -> bool:
+    """A value of a few bytes, whatever the row."""
+    return isinstance(kind, _SHORT)
+
+
+_SHORT = (
+    T.NumericType,
+    T.BooleanType,
+    T.DateType,
+    T.TimestampType,
+    T.TimestampNTZType,
+    T.NullType,
+)
+
+
 def _bucket_of(order: Column, bounds: list[Column]) -> Column:
     """How many boundaries lie at or below ``order``, in two short scans: about
     2 * sqrt(n) comparisons instead of n."""
@@ -234,10 +257,11 @@ def global_index(
 ) -> DataFrame:
     """Zero-based position in key order, per ``by`` group.
 
-    One shuffle, on the range bucket; offsets come from a count per bucket.
+    One shuffle, on the range bucket; offsets come from a count per bucket. Whole rows
+    move, so rows that may be long have buckets of their own, smaller size.
     """
     by = list(by)
-    bucket = range_bucket(df, key)
+    bucket = range_bucket(df, key, moved=True)
     bucketed = df.withColumn("_b", bucket(natural_order(key)))
     inside = Window.partitionBy(*by, "_b").orderBy(*[quoted(k) for k in key])
     ranked = bucketed.withColumn("_r", F.row_number().over(inside))

@@ -96,6 +96,21 @@ def test_global_index_over_many_buckets(spark, small_buckets):
     assert [r["row_index"] for r in expected] == list(range(500))
 
 
+def test_long_rows_move_in_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "LONG_ROWS_PER_BUCKET", 20)
+    key = F.when(F.col("id") % 9 > 0, F.col("id") % 7).alias("k")
+    short = spark.range(500).select("id", key)
+    assert ordering.range_bucket(short, ["k", "id"], moved=True) is ordering._one_bucket
+    long = short.withColumn("text", F.repeat(F.lit("x"), F.col("id").cast("int")))
+    bucket = ordering.range_bucket(long, ["k", "id"], moved=True)
+    sizes = long.groupBy(bucket(ordering.natural_order(["k", "id"]))).count().collect()
+    assert len(sizes) >= 20 and max(r["count"] for r in sizes) <= 60
+    found = ordering.global_index(long, ["k", "id"]).collect()
+    expected = sorted(found, key=lambda r: (-1 if r["k"] is None else r["k"], r["id"]))
+    assert [r["row_index"] for r in expected] == list(range(500))
+    assert all(len(r["text"]) == r["id"] for r in found)
+
+
 def test_global_index_per_group(spark, small_buckets):
     df = rows(spark, 200)
     found = small_buckets.global_index(df, ["id"], by=["v"]).collect()
