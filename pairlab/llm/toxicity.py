@@ -14,6 +14,7 @@ each word.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -53,6 +54,7 @@ SUSPICIOUS, ERRORS = 0.5, 3
 
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
 _JUNK = re.compile(r"[\W_]+")
+_SIGNS = frozenset(",.;:!?")
 # Digits and signs written for letters.
 _WRITTEN = str.maketrans("013457@$", "oieastas")
 
@@ -75,10 +77,17 @@ def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
     return places, decay / np.sqrt((decay**2).sum())
 
 
+@cache
+def _class_of() -> np.ndarray:
+    """By code point."""
+    points = np.arange(sys.maxunicode + 1)
+    letters = (points >= 97) & (points <= 122)
+    return np.where(letters, points - 97, 26 + points % (CLASSES - 26)).astype(np.uint8)
+
+
 def _classes(words: list[str], length: int) -> np.ndarray:
     points = np.array(words, dtype=f"<U{length}").view(np.uint32).reshape(-1, length)
-    letters = (points >= 97) & (points <= 122)
-    return np.where(letters, points - 97, 26 + points % (CLASSES - 26)).astype(np.int64)
+    return _class_of()[points].astype(np.int64)
 
 
 def by_length(words: Iterable[str]) -> dict[int, list[str]]:
@@ -107,13 +116,21 @@ def features(word: str) -> np.ndarray:
     return point
 
 
+def core(word: str) -> str:
+    """The letters of a word that is made of letters, and perhaps a sign behind them;
+    of others nothing."""
+    if word.isalpha():
+        return word
+    return word[:-1] if word[-1:] in _SIGNS and word[:-1].isalpha() else ""
+
+
 def views(word: str) -> list[str]:
     """What is scored of a word between blanks: its letters and digits joined, and
     their runs where there are several; the same with digits read as letters;
     long ones in overlapping pieces. Of a pair, its words'
     letters and digits with a blank between them and without."""
-    if word.isalpha() or (word[:-1].isalpha() and word[-1] in ",.;:!?"):
-        found = [word if word.isalpha() else word[:-1]]
+    if letters := core(word):
+        found = [letters]
     elif " " in word:
         runs = [_JUNK.sub("", x) for x in word.split(" ")]
         found = [" ".join(runs), "".join(runs)] if all(runs) else []
@@ -165,18 +182,34 @@ class Model:
             found.append(windows.margins(np.cumsum(sizes) - sizes, sizes))
         return np.concatenate(found or [np.zeros(0)])
 
+    def margins_of(self, words: list[str], cores: list[str]) -> np.ndarray:
+        """The highest margin of each word's views; the bias where it has none. A short
+        core is its word's only view."""
+        more = {
+            k: views(words[k])
+            for k, c in enumerate(cores)
+            if not c or len(c) > PIECE
+        }
+        spelt = [c if k not in more else "" for k, c in enumerate(cores)]
+        places = dict.fromkeys(chain(spelt, *more.values()))
+        places.pop("", None)
+        known = self.view_margins(list(places))
+        places.update(zip(places, range(len(places)), strict=True))
+        # A word without weights inside still has the bias.
+        known = np.maximum(np.append(known, self.bias), self.bias)
+        places[""] = len(known) - 1
+        look = places.__getitem__
+        found = known[np.fromiter(map(look, spelt), np.int64, len(spelt))]
+        for k, own in more.items():
+            if own:
+                found[k] = known[list(map(look, own))].max()
+        return found
+
     def word_margins(self, words: Iterable[str]) -> dict[str, float]:
-        """The highest margin of each word's views; the bias where it has none."""
+        """By distinct word."""
         words = list(dict.fromkeys(words))
-        own = [views(w) for w in words]
-        spelt = list(dict.fromkeys(chain.from_iterable(own)))
-        known = dict(zip(spelt, self.view_margins(spelt).tolist(), strict=True))
-        look = known.__getitem__
-        # A word without weights inside still has the bias.
-        return {
-            w: max(self.bias, *map(look, v)) if v else self.bias
-            for w, v in zip(words, own, strict=True)
-        }
+        found = self.margins_of(words, [core(w) for w in words])
+        return dict(zip(words, found.tolist(), strict=True))
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -211,14 +244,18 @@ class Windows:
         self.codes = codes
         first, middle = codes * CLASSES**2, codes * CLASSES
         self.sums = []
+        (ends, at), (found, part) = np.empty((2, n), np.int64), np.empty((2, n))
         for k in range(2, SPAN):
-            ends = first[SPAN : SPAN + n] + codes[SPAN + k : SPAN + n + k]
-            found = np.zeros(n)
+            np.add(first[SPAN : SPAN + n], codes[SPAN + k : SPAN + n + k], out=ends)
             for j in range(1, k):
-                at = ends + middle[SPAN + j : SPAN + n + j]
-                found += model.weights.take(at, mode="clip")
+                np.add(ends, middle[SPAN + j : SPAN + n + j], out=at)
+                model.weights.take(at, out=part if j > 1 else found, mode="clip")
+                if j > 1:
+                    found += part
             found *= DECAY ** (k - 2)
-            self.sums.append(np.append(0.0, np.cumsum(found)))
+            sums = np.zeros(n + 1)
+            np.cumsum(found, out=sums[1:])
+            self.sums.append(sums)
         mark, end = (_classes([c], 1)[0, 0] for c in "^$")
         cube = model.weights.reshape(CLASSES, CLASSES, CLASSES)
         self.opening = np.ascontiguousarray(cube[mark]).ravel()
@@ -231,17 +268,20 @@ class Windows:
         total = np.zeros(len(starts))
         for k, sums in enumerate(self.sums, 2):
             last = np.maximum(ends - k, starts)
-            total += sums[last] - sums[starts]
+            total += sums.take(last) - sums.take(starts)
         begin, close = SPAN - 1 + starts, SPAN + ends
-        ahead = [self.codes[begin + j] for j in range(SPAN)]
-        back = [self.codes[close - j] for j in range(SPAN)]
+        ahead = [self.codes.take(begin + j) for j in range(SPAN)]
+        back = [self.codes.take(close - j) for j in range(SPAN)]
         upper = [x * CLASSES for x in ahead], [x * CLASSES for x in back]
+        at, part = np.empty(len(starts), np.int64), np.empty(len(starts))
         for k in range(2, SPAN):
             # k characters from the mark to the subsequence's other end.
             own = np.zeros(len(starts))
             for j in range(1, k):
-                own += self.opening.take(upper[0][j] + ahead[k], mode="clip")
-                own += self.closing.take(upper[1][k] + back[k - j], mode="clip")
+                np.add(upper[0][j], ahead[k], out=at)
+                own += self.opening.take(at, out=part, mode="clip")
+                np.add(upper[1][k], back[k - j], out=at)
+                own += self.closing.take(at, out=part, mode="clip")
             own *= DECAY ** (k - 2)
             if shortest < k:
                 own[sizes < k] = 0.0
@@ -281,30 +321,30 @@ class Scorer:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.letters: dict[str, str] = {}
+        self.letters = np.zeros(0, object)
         self.known = np.zeros(0)
         self.sizes, self.goes_on = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _learn(self, new: set[str]) -> None:
         """Of each word its margin, its letters and digits, and whether the sentence
         goes on behind it."""
-        margins = self.model.word_margins(new)
-        clean = [w if w.isalpha() else _JUNK.sub("", w) for w in margins]
-        self.letters.update(zip(margins, clean, strict=True))
+        words = list(new)
+        cores = [core(w) for w in words]
+        clean = [c or _JUNK.sub("", w) for c, w in zip(cores, words, strict=True)]
+        self.letters = np.append(self.letters, np.array(clean, object))
         count = len(self.places)
-        self.places.update(zip(margins, range(count, count + len(clean)), strict=True))
-        goes_on = [w[-1] not in ".!?" for w in margins]
-        self.known = np.append(self.known, list(margins.values()))
+        self.places.update(zip(words, range(count, count + len(clean)), strict=True))
+        goes_on = [w[-1] not in ".!?" for w in words]
+        self.known = np.append(self.known, self.model.margins_of(words, cores))
         self.sizes = np.append(self.sizes, np.array([len(c) for c in clean], np.int64))
         self.goes_on = np.append(self.goes_on, np.array(goes_on, bool))
 
     def _pair_margins(
-        self, words: list[str], sizes: np.ndarray, first: np.ndarray
+        self, clean: list[str], sizes: np.ndarray, first: np.ndarray
     ) -> np.ndarray:
         """The margin of each word ``first`` with the next one, with a blank and
-        without."""
+        without, of words by their letters and digits."""
         best = np.full(len(first), self.model.bias)
-        clean = list(map(self.letters.__getitem__, words))
         for blank in (1, 0):
             windows = Windows(self.model, (" " * blank).join(clean))
             starts = np.cumsum(sizes + blank) - sizes - blank
@@ -343,7 +383,8 @@ class Scorer:
             some = np.flatnonzero(pair[start : start + RUN])
             if len(some):
                 end = start + RUN + 1
-                margins = self._pair_margins(words[start:end], sizes[start:end], some)
+                clean = self.letters[at[start:end]].tolist()
+                margins = self._pair_margins(clean, sizes[start:end], some)
                 _raise_to(best, text[start + some], margins)
         return best
 

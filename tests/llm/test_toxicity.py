@@ -207,3 +207,17 @@ def test_runs_of_words_are_cut_anywhere(monkeypatch):
         scorer = toxicity.Scorer(model)
         for _ in range(2):
             assert scorer.margins(texts).tolist() == pytest.approx(want)
+
+
+def test_margins_of_words_are_those_of_their_views():
+    """Words of letters, and a sign behind them, take a shorter way."""
+    rng = np.random.default_rng(6)
+    model = Model(rng.normal(size=toxicity.CLASSES**3), -0.25)
+    words = ["a", "ab,", "word", "word.", "w.", ".", "..", "é!", "x1", "l33t", "a-b", "a b"]
+    words += ["x" * 21, "y" * 45 + ";", "don't", "Ünï?", "12", "_", "漢字", "a,b.", "word,,"]
+    found = model.margins_of(words, [toxicity.core(w) for w in words])
+    for word, margin in zip(words, found, strict=True):
+        own = toxicity.views(word)
+        want = max([model.bias, *model.view_margins(own).tolist()])
+        assert margin == pytest.approx(want, abs=1e-9), word
+    assert model.word_margins(words) == pytest.approx(dict(zip(words, found, strict=True)))
