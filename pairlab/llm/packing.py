@@ -34,9 +34,9 @@ SHARD_DOCS, PARTITION_DOCS = 2048, 8192
 QUERY_TOKENS, ANSWERS = 48, 256
 #: The usual constants of BM25.
 SATURATION, LENGTH_SHARE = 1.2, 0.75
-#: Words and chunks kept with their ids in a Python worker, some 180 MB; beyond, the
-#: memory starts anew.
-KNOWN_WORDS, KNOWN_CHUNKS = 600_000, 250_000
+#: Words, and chunks of texts that aren't plain, kept with their ids in a Python
+#: worker, some 180 MB; beyond, the memory starts anew.
+KNOWN_WORDS, KNOWN_CHUNKS = 750_000, 100_000
 #: Text of these characters only is cut and lower-cased here: their letters and case
 #: are the same in every Unicode version, none is composed. ``<|`` begins the
 #: vocabulary's special tokens.
@@ -44,9 +44,30 @@ _PLAIN = re.compile("[\\t\\n\\r -~¡-±´-¸º»¿À-įı-ſ‐-‧€]*")
 _SPECIAL = "<|"
 _LETTERS = "a-zªµºß-öø-įı-ſ"
 # How the vocabulary cuts lower-case text into words.
-_WORDS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{_LETTERS}0-9\s]+")
-#: Most chunks: a word, and signs behind it.
-_WORD = re.compile(rf"([A-ZÀ-ÖØ-Þ{_LETTERS}]+)([.,;:!?]*)")
+_WORDS = re.compile(
+    rf"[{_LETTERS}]+|[^{_LETTERS}0-9\s'][^{_LETTERS}0-9\s]*"
+    rf"|'(?:s|t|re|ve|m|ll|d)|[0-9]|'[^{_LETTERS}0-9\s]*"
+)
+#: Lower-case prose: letters, and these signs.
+_SIGNS = ".,;:!?"
+_PROSE = re.compile(rf"[{_LETTERS}{_SIGNS} \n]*")
+
+
+def _said(text: str) -> list[str]:
+    """The words of a plain lower-case text. In prose whose signs all stand before a
+    blank, blanks part the words once one is put before each sign."""
+    if _PROSE.fullmatch(text):
+        ends = f"{text}\n"
+        held = [(x, n) for x in _SIGNS if (n := text.count(x))]
+        if all([n == ends.count(f"{x} ") + ends.count(f"{x}\n") for x, n in held]):
+            for sign, _ in held:
+                text = text.replace(sign, f" {sign}")
+            return text.split()
+    return _WORDS.findall(text)
+
+
+def _is_plain(text: str) -> bool:
+    return _SPECIAL not in text and _PLAIN.fullmatch(text) is not None
 
 
 class _Memory(dict):
@@ -63,8 +84,9 @@ class _Memory(dict):
 
 class Chunks:
     """Ids of texts by a ``tokenizer.json`` of lower-case words, as the library gives
-    them. Words never cross a blank, so chunks between blanks are encoded each once
-    and remembered: plain ones by their words, others by the library as they are."""
+    them. Words never cross a blank: plain texts are cut into words here, and each word
+    is encoded once and remembered. Of other texts the chunks between blanks are
+    remembered: plain ones by their words, others by the library as they are."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -87,23 +109,24 @@ class Chunks:
         return array(self.code, found).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if simple := _WORD.fullmatch(chunk):
-            word, signs = simple.groups()
-            found = self.words[word.lower()]
-            return found + self.words[signs] if signs else found
-        if _SPECIAL not in chunk and _PLAIN.fullmatch(chunk):
-            words = _WORDS.findall(chunk.lower())
-            return b"".join(map(self.words.__getitem__, words))
+        if _is_plain(chunk):
+            return self._plain(chunk)
         found = self.library.encode(chunk, add_special_tokens=False).ids
         return array(self.code, found).tobytes()
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _said(text.lower())))
+
     def ids(self, text: str) -> np.ndarray:
         if len(self.words) > KNOWN_WORDS:
             self.words.clear()
         if len(self.chunks) > KNOWN_CHUNKS:
             self.chunks.clear()
-        chunks = text.replace("\n", " ").split(" ")
-        found = b"".join(map(self.chunks.__getitem__, chunks))
+        if _is_plain(text):
+            found = self._plain(text)
+        else:
+            chunks = text.replace("\n", " ").split(" ")
+            found = b"".join(map(self.chunks.__getitem__, chunks))
         return np.frombuffer(found, self.kind)
 
 

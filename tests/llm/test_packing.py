@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -151,3 +152,20 @@ def test_whole_tables_are_packed(spark):
     found = queries.op13_packing(spark, sf_dir).collect()
     docs = queries.read(spark, sf_dir, "documents").select("doc_id", "text").collect()
     promises([(d, [*library_ids(t or ""), 1]) for d, t in docs], found, 2048)
+
+
+def test_words_of_prose_are_those_of_the_pattern():
+    letters = packing._LETTERS
+    words = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{letters}0-9\s]+")
+    rnd = random.Random(5)
+    for kinds in ("ab .,;!?\n", "a .", "abst dl're vem  \n.,;:!?''09-éß–€\t\r"):
+        for _ in range(4000):
+            text = "".join(rnd.choices(kinds, k=rnd.randrange(14)))
+            assert packing._said(text) == words.findall(text), text
+
+
+def test_words_are_remembered_without_the_signs_behind_them():
+    chunks = packing.Chunks(open(PATH, encoding="utf-8").read())
+    text = "Words, words. WORDS! words;\nwords"
+    assert chunks.ids(text).tolist() == library_ids(text)
+    assert sorted(chunks.words) == ["!", ",", ".", ";", "words"] and not chunks.chunks
