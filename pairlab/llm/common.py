@@ -68,8 +68,8 @@ def later_windows(windows: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "pos")
     firsts = (
         windows.groupBy("h1", "h2")
-        .agg(F.min(place).alias("first"), F.max(place).alias("latest"))
-        .where(F.col("first") != F.col("latest"))
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+        .where("times > 1")
         .select("h1", "h2", "first")
     )
     return (

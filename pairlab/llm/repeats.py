@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -154,20 +155,24 @@ RUN_SENTENCES, RUN_WORDS = 2, 20
 PART_WORDS, CUT_WORDS = 12, 8
 _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?!\s)[^.!?\n]*)*[.!?]*|[.!?]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What parts words, as bytes are split, too.
+_BLANK = " \t\n\v\f\r"
 
 
 def cuts(words: list[bytes]) -> list[int]:
     """Places behind the last smallest hash of each ``CUT_WORDS`` words in a row, and
     the end. Parts have up to ``CUT_WORDS`` words; a cut depends on no word farther
     than that from it."""
-    hashes = [crc32(w) for w in words]
-    found, best = [], -1
+    hashes = list(map(crc32, words))
+    found, best, least = [], -1, 0
     for k in range(CUT_WORDS - 1, len(words)):
         first = k - CUT_WORDS + 1
         if best < first:
-            best = min(range(k, first - 1, -1), key=hashes.__getitem__)
-        elif hashes[k] <= hashes[best]:
-            best = k
+            inside = hashes[k - len(words) : first - 1 - len(words) : -1]
+            least = min(inside)
+            best = k - inside.index(least)
+        elif hashes[k] <= least:
+            best, least = k, hashes[k]
         else:
             continue
         found.append(best + 1)
@@ -188,34 +193,58 @@ def sentence_parts(text: str) -> list[tuple[int, int, bytes, int]]:
     """
     parts = []
     for sentence in _SENTENCE.finditer(text):
-        found = list(_WORD.finditer(text, *sentence.span()))
-        if not found:
+        spelt = sentence[0]
+        lower = spelt.encode().lower()
+        words = lower.split()
+        if not words:
             continue
-        words = [m[0].encode().lower() for m in found]
+        first = sentence.start() + len(spelt) - len(spelt.lstrip(_BLANK))
+        if len(words) <= PART_WORDS:
+            last = sentence.start() + len(spelt.rstrip(_BLANK))
+            parts.append((first, last, b" ".join(words), len(words)))
+            continue
+        starts, ends = _places(text, first, sentence.end(), lower, words)
         start = 0
-        for end in cuts(words) if len(words) > PART_WORDS else [len(words)]:
+        for end in cuts(words):
             said = b" ".join(words[start:end])
-            parts.append((found[start].start(), found[end - 1].end(), said, end - start))
+            parts.append((starts[start], ends[end - 1], said, end - start))
             start = end
     return parts
 
 
+def _places(
+    text: str, first: int, last: int, lower: bytes, words: list[bytes]
+) -> tuple[list[int], list[int]]:
+    """Where the words of a sentence start and end; counted where single blanks part
+    them."""
+    if lower.strip().split(b" ") != words:
+        found = list(_WORD.finditer(text, first, last))
+        return [m.start() for m in found], [m.end() for m in found]
+    spelt = words if lower.isascii() else text[first:last].split(" ")
+    sizes = list(map(len, spelt[: len(words)]))
+    ends = list(accumulate(sizes, lambda end, size: end + 1 + size, initial=first - 1))
+    return [end + 1 for end in ends[:-1]], ends[1:]
+
+
 def text_runs(text: str) -> Iterator[tuple[bytes, int, int]]:
     """From each sentence the shortest run with enough sentences and words:
     (hash, start, end)."""
     parts = sentence_parts(text)
+    if not parts:
+        return
+    starts, ends, said, sizes = zip(*parts, strict=True)
     end, held = 0, 0
-    for start, part in enumerate(parts):
+    for start, size in enumerate(sizes):
         while end < len(parts) and (
             end - start < RUN_SENTENCES or held < RUN_WORDS
         ):
-            held += parts[end][3]
+            held += sizes[end]
             end += 1
         if end - start < RUN_SENTENCES or held < RUN_WORDS:
             return
-        said = b"\n".join([p[2] for p in parts[start:end]])
-        yield blake2b(said, digest_size=16).digest(), part[0], parts[end - 1][1]
-        held -= part[3]
+        whole = b"\n".join(said[start:end])
+        yield blake2b(whole, digest_size=16).digest(), starts[start], ends[end - 1]
+        held -= size
 
 
 def sentence_runs(docs: DataFrame) -> DataFrame:
@@ -251,9 +280,10 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 
 def repeated_sentences(df: DataFrame) -> DataFrame:
     """``doc_id``, ``spans`` (start, end of code points) and ``first_docs`` of the
-    documents that lose sentences."""
+    documents that lose sentences. Runs are read twice, so they are written: 20 bytes
+    each, less than cutting all texts once more."""
     docs = documents(df).where(F.col("doc_id").isNotNull())
-    return _spans(later_windows(sentence_runs(docs)))
+    return _spans(later_windows(materialize(sentence_runs(docs))))
 
 
 def dedup_sentences(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -153,3 +154,31 @@ def test_sentences_by_definition(spark, seed):
 def test_odd_rows(odd_documents):
     for work in (repeats.dedup_lines, repeats.dedup_sentences):
         assert {r.doc_id for r in work(odd_documents).collect()} <= {5}
+
+
+def test_parts_keep_their_places_between_any_blanks():
+    rnd = random.Random(4)
+    kinds = ["a", "é", "Cd", " ", " ", "\t", "\n", "  ", ". ", "!", "\x0b", "\x1c", "\xa0"]
+    for _ in range(3000):
+        text = "".join(rnd.choices([*kinds, " ef ", " gh "], k=rnd.randrange(90)))
+        end = 0
+        for start, stop, said, count in repeats.sentence_parts(text):
+            assert end <= start < stop <= len(text)
+            words = re.findall(r"[^\x20\x09-\x0D]+", text[start:stop])
+            assert said == b" ".join(w.encode().lower() for w in words)
+            assert count == len(words)
+            assert not re.search(r"[^\x20\x09-\x0D]", text[end:start])
+            end = stop
+        assert not re.search(r"[^\x20\x09-\x0D]", text[end:])
+
+
+def test_texts_are_cut_into_runs_once(spark, monkeypatch):
+    written = []
+    real = repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", lambda df: written.append(df.columns) or real(df))
+    said = " ".join(f"word{k}" for k in range(50))
+    rows = [(i, f"{said}. Only {i} here.") for i in (3, 1, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = repeats.repeated_sentences(df).collect()
+    assert {r["doc_id"]: r["first_docs"] for r in found} == {2: [1], 3: [1]}
+    assert written == [["doc_id", "h1", "h2", "pos", "last"]]
