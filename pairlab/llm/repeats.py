@@ -280,10 +280,10 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 
 def repeated_sentences(df: DataFrame) -> DataFrame:
     """``doc_id``, ``spans`` (start, end of code points) and ``first_docs`` of the
-    documents that lose sentences. Runs are read twice, so they are written: 20 bytes
-    each, less than cutting all texts once more."""
+    documents that lose sentences. All texts are cut twice: written runs would take
+    more disk than both shuffles leave."""
     docs = documents(df).where(F.col("doc_id").isNotNull())
-    return _spans(later_windows(materialize(sentence_runs(docs))))
+    return _spans(later_windows(sentence_runs(docs)))
 
 
 def dedup_sentences(df: DataFrame) -> DataFrame:
